@@ -43,7 +43,7 @@ from .components import connected_components
 GROWTH, SLACK = 0.05, 2
 #: Cost of verifying a candidate, in postings scanned.
 VERIFY = 25.0
-STAR_ROUNDS = 3
+STAR_ROUNDS = 4
 
 
 def required(n, num: int, den: int):
@@ -152,57 +152,60 @@ def _bound(ua, ub, na, nb, num: int, den: int):
     return (ua + ub) * num <= F.least(na - ua, nb - ub) * (den - num)
 
 
+def _rest(posts: DataFrame, comp: DataFrame, num: int, den: int) -> DataFrame:
+    """Postings that may still link across components: the u of a row and the least u of other components keep the bound."""
+    rows = _open_lists(posts, comp)
+    least = rows.groupBy("token").agg(F.min(F.struct("u", "c")).alias("m"))
+    rows = rows.join(least, "token")
+    other = rows.where("c <> m.c").groupBy("token").agg(F.min("u").alias("u2"))
+    rows = rows.join(other, "token").withColumn("uo", F.when(F.col("c") == F.col("m.c"), F.col("u2")).otherwise(F.col("m.u")))
+    rows = rows.where((F.col("u") + F.col("uo")) * num <= (F.col("n") - F.col("u")) * (den - num))
+    return save(rows.select("token", "id", "n", "u", "l", "c"), "rest")
+
+
+def _star_pairs(rows: DataFrame, lot: int, num: int, den: int) -> DataFrame:
+    """Per class, the pivot of another component that it shares most lists with, as (a, b)."""
+    # first the centre of the list, the least share of shingles of its own; then members by lot
+    order = F.xxhash64("id", F.lit(lot)) if lot else F.col("u") / F.col("n")
+    centre = rows.groupBy("token").agg(F.min(F.struct(order.alias("o"), "id", "n", "u", "c")).alias("p"))
+    cand = rows.join(centre, "token").where("c <> p.c")
+    cand = cand.where(_compatible(F.col("n"), F.col("p.n"), num, den) & _bound(F.col("u"), F.col("p.u"), F.col("n"), F.col("p.n"), num, den))
+    cand = cand.groupBy("id", F.col("p.id").alias("pivot")).agg(F.count("*").alias("shared"))
+    cand = cand.groupBy("id").agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("pivot"))
+    return cand.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+
+
 def jaccard_links(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(node, component) over the distinct sets ``sets`` (id, n, tokens) that have a partner."""
     posts = save(_prefixes(sets, num, den), "postings")
+    n_posts = posts.count()
     spark = sets.sparkSession
-    links: list[DataFrame] = []
     comp = spark.createDataFrame([], "id long, component long")
     tried = spark.createDataFrame([], "a long, b long")
+    links: DataFrame | None = None
 
-    def components() -> DataFrame:
-        edges = links[0]
-        for x in links[1:]:
-            edges = edges.unionByName(x)
-        return save(connected_components(edges).select(F.col("node").alias("id"), "component"), "components")
-
-    for k in range(STAR_ROUNDS):
-        rows = save(_open_lists(posts, comp), "open")
-        # first the centre of the list, the least share of shingles of its own; then members by lot
-        order = F.xxhash64("id", F.lit(k)) if k else F.col("u") / F.col("n")
-        centre = rows.groupBy("token").agg(F.min(F.struct(order.alias("o"), "id", "n", "u", "c")).alias("p"))
-        cand = rows.join(centre, "token").where("c <> p.c")
-        cand = cand.where(_compatible(F.col("n"), F.col("p.n"), num, den) & _bound(F.col("u"), F.col("p.u"), F.col("n"), F.col("p.n"), num, den))
-        cand = cand.groupBy("id", F.col("p.id").alias("pivot")).agg(F.count("*").alias("shared"))
-        cand = cand.groupBy("id").agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("pivot"))
-        pairs = cand.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = save(pairs, "pairs")
-        drop(rows)
-        if pairs.isEmpty():
-            break
+    def link(pairs: DataFrame) -> None:
+        nonlocal links, comp
+        found = save(_verify(pairs, sets, num, den), "verified")
+        links = found if links is None else links.unionByName(found)
+        comp = save(connected_components(links).select(F.col("node").alias("id"), "component"), "components")
+
+    rows = posts.withColumn("c", F.col("id"))
+    for lot in range(STAR_ROUNDS):
+        pairs = save(_star_pairs(rows, lot, num, den).join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.unionByName(pairs)
-        linked = save(_verify(pairs, sets, num, den), "verified")
-        if linked.isEmpty():
+        link(pairs)
+        rows = _rest(posts, comp, num, den)
+        # pairs that are left, at most: go on with stars only while they are many
+        left = rows.groupBy("token").agg(F.count("*").alias("k")).agg(F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()[0] or 0
+        if left <= 4 * n_posts:
             break
-        links.append(linked)
-        comp = components()
-
-    # the whole rest: every pair of different components that the bounds leave
-    rows = _open_lists(posts, comp)
-    least = rows.groupBy("token").agg(F.min(F.struct("u", "c")).alias("m"))
-    rows = rows.join(least, "token")
-    other = rows.where("c <> m.c").groupBy("token").agg(F.min("u").alias("u2"))
-    rows = rows.join(other, "token").withColumn("uo", F.when(F.col("c") == F.col("m.c"), F.col("u2")).otherwise(F.col("m.u")))
-    rows = rows.where((F.col("u") + F.col("uo")) * num <= (F.col("n") - F.col("u")) * (den - num)).select("token", "id", "n", "u", "l", "c")
-    rows = save(rows, "rest")
-    if not rows.isEmpty():
+    if left:
         a, b = rows.alias("a"), rows.alias("b")
         pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.c") != F.col("b.c"))
-                       & _compatible(F.col("a.n"), F.col("b.n"), num, den) & _bound(F.col("a.u"), F.col("b.u"), F.col("a.n"), F.col("b.n"), num, den))
+                       & _compatible(F.col("a.n"), F.col("b.n"), num, den) & _bound(F.col("a.u"), F.col("b.u"), F.col("a.n"), F.col("b.n"), num, den))
         pairs = pairs.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("a.l", "b.l")).alias("l"))
-        pairs = pairs.where("shared >= l").join(tried, ["a", "b"], "left_anti")
-        links.append(save(_verify(pairs, sets, num, den), "verified"))
-        comp = components()
+        link(pairs.where("shared >= l").join(tried, ["a", "b"], "left_anti"))
     drop(posts, rows)
     return comp.select(F.col("id").alias("node"), "component")
 

@@ -75,7 +75,7 @@ def sample(ring: Column, n: int = 16) -> Column:
 def angle(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """Degrees between two vectors; null if one has no length."""
     n = F.sqrt(ax * ax + ay * ay) * F.sqrt(bx * bx + by * by)
-    return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.when(n > 0, (ax * bx + ay * by) / n)))))
+    return F.when(n > 0, F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (ax * bx + ay * by) / n)))))
 
 
 def largest(ring_list: Column) -> Column:

@@ -70,6 +70,15 @@ def drop(*tables: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the shuffle files of finished plans deleted.
+
+    The engine deletes them once the driver collects the plans that made them, which may
+    be long after their rows were written to a table by ``save``.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, drop, row_words, save, shingles, utf8
+from .common import batches, drop, release, row_words, save, shingles, utf8
 from .components import connected_components
 
 #: Prefixes may grow by this share of a set (and SLACK shingles) over the shortest.
@@ -116,20 +116,18 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 def _prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
     """Adaptive prefixes, as postings: token, id, n, u (shingles held alone), l (shared ones to ask for)."""
-    posts = sets.select("id", "n", F.explode("tokens").alias("token"))
-    shared = posts.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    own = Window.partitionBy("id")
-    ranked = posts.join(shared, "token").select(
-        "id",
-        "n",
-        "token",
-        F.row_number().over(own.orderBy("df", "token")).alias("k"),
-        F.sum("df").over(own.orderBy("df", "token")).alias("scan"),
-        (F.col("n") - F.count("*").over(own)).alias("u"),
-        F.expr(f"n * {den - num} div {den}").alias("base"),
-    )
+    posts = sets.select("id", F.explode("tokens").alias("token"))
+    shared = save(posts.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared")
+    # a class that holds too many shingles alone has no partner; only the others are ranked
+    kept = posts.join(shared.select("token"), "token").groupBy("id").agg(F.count("*").alias("kept"))
+    able = sets.select("id", "n").join(kept, "id").select("id", (F.col("n") - F.col("kept")).alias("u"), F.expr(f"n * {den - num} div {den}").alias("base"))
+    able = save(able.where("u <= base"), "able")
+    release(sets.sparkSession)
+    own = Window.partitionBy("id").orderBy("df", "token")
+    ranked = sets.join(able, "id").select("id", "n", "u", "base", F.explode("tokens").alias("token")).join(shared, "token")
+    ranked = ranked.select("id", "n", "u", "base", "token", F.row_number().over(own).alias("k"), F.sum("df").over(own).alias("scan"))
     # the u unshared shingles stand first: the first base + l shingles hold k = base + l - u shared ones
-    ranked = ranked.where("u <= base").withColumn("l", F.col("k") + F.col("u") - F.col("base"))
+    ranked = ranked.withColumn("l", F.col("k") + F.col("u") - F.col("base"))
     longest = F.ceil(F.col("n") * 2 * GROWTH) + 2 * SLACK
     cost = F.when((F.col("l") >= 1) & (F.col("l") <= longest), F.col("scan") * (1 + VERIFY / F.col("l")))
     best = ranked.groupBy("id").agg(F.min_by("l", cost).alias("best"))
@@ -180,6 +178,7 @@ def jaccard_links(sets: DataFrame, num: int, den: int) -> DataFrame:
     posts = save(_prefixes(sets, num, den), "postings")
     n_posts = posts.count()
     spark = sets.sparkSession
+    release(spark)
     comp = spark.createDataFrame([], "id long, component long")
     tried = spark.createDataFrame([], "a long, b long")
     links: DataFrame | None = None
@@ -189,6 +188,7 @@ def jaccard_links(sets: DataFrame, num: int, den: int) -> DataFrame:
         found = save(_verify(pairs, sets, num, den), "verified")
         links = found if links is None else links.unionByName(found)
         comp = save(connected_components(links).select(F.col("node").alias("id"), "component"), "components")
+        release(spark)
 
     rows = posts.withColumn("c", F.col("id"))
     for lot in range(STAR_ROUNDS):
@@ -228,20 +228,26 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
     if num < den:
         # a smaller set links only with its equals
         least = -(-num // (den - num))
-        posts = feats.where(F.col("n") >= least).select("row", "longest", "h1", F.explode("prefix").alias("token"))
+        long = feats.where(F.col("n") >= least)
+        posts = long.select("h1", F.explode("prefix").alias("token"))
         several = posts.groupBy("token").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("token")
-        left = posts.join(several, "token").groupBy("row").agg(F.count("*").alias("shared"), F.max("longest").alias("longest"))
-        left = left.where("shared >= longest").select(F.col("row").alias("id"))
+        several = save(several, "several")
+        release(docs.sparkSession)
+        posts = long.select("row", F.explode("prefix").alias("token"))
+        left = posts.join(several, "token").groupBy("row").agg(F.count("*").alias("shared"))
+        left = left.join(feats.select("row", "longest"), "row").where("shared >= longest").select(F.col("row").alias("id"))
         keep = save(classes.join(left, "id", "left_semi").select("h1", "h2", "id", "doc_id"), "thinned")
+        release(docs.sparkSession)
         sets = base.join(keep.select("doc_id").distinct(), "doc_id", "left_semi")
         sets = sets.mapInArrow(_sets(n), "doc_id long, h1 long, h2 long, tokens array<long>")
         sets = sets.join(keep.select("h1", "h2", "id"), ["h1", "h2"]).dropDuplicates(["id"])
         sets = save(sets.select("id", F.size("tokens").cast("long").alias("n"), "tokens"), "sets")
+        release(docs.sparkSession)
         comp = jaccard_links(sets, num, den)
         names = classes.select("id", "doc_id").join(comp.withColumnRenamed("node", "id"), "id")
         names = names.join(names.groupBy("component").agg(F.min("doc_id").alias("name")), "component").select("id", "name")
         named = save(classes.join(names, "id", "left").select("h1", "h2", F.coalesce("name", "doc_id").alias("name")), "named")
-        drop(sets, keep, classes)
+        drop(sets, keep, classes, several)
     else:
         named = classes.select("h1", "h2", F.col("doc_id").alias("name"))
     out = feats.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2").join(named, ["h1", "h2"], "left")

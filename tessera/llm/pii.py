@@ -157,6 +157,9 @@ def rewrite(text: str) -> Rewritten | None:
             elif c > "ɏ" and (p := _plain(c)) != c:
                 edits.append((i, i + 1, [(p, i, i + 1)]))
         out.splice(edits)
+        for k in range(1, len(out.text)):
+            if out.start[k] != out.end[k - 1]:  # something invisible went from here
+                out.new[k - 1] = out.new[k] = 1
     edits = []
     for m in _SPELLED.finditer(out.text):
         chars = []

@@ -151,6 +151,7 @@ class Model:
         self.d = np.array([np.log(base / (1 - base))])
         use = np.flatnonzero(n > 0)
         if not len(use) or y.min() == y.max():
+            self.c = np.zeros(ENCODED)  # nothing to tell apart: the base rate for all
             return self
         self.mean, self.sd = x.mean(0), x.std(0) + 1e-3
         x = ((x - self.mean) / self.sd).astype(np.float64)
@@ -204,10 +205,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fold
     order = sorted(range(len(xs)), key=lambda i: (got["y"][i], xs[i].tobytes()[:4096], len(xs[i])))  # whatever order the tasks ended in
     xs = [xs[i] for i in order]
     y = got["y"].to_numpy(float)[order] if len(xs) else np.zeros(0)
-    model = Model()
     if not xs:
+        model = Model()
+        model.c = np.zeros(ENCODED)
         return model
-    return model.fit(np.concatenate(xs), np.array([len(x) for x in xs]), y)
+    return Model().fit(np.concatenate(xs), np.array([len(x) for x in xs]), y)
 
 
 def _score(model: Model):

@@ -8,11 +8,11 @@ l.  A longer prefix costs more postings but asks for more shared ones.
 
 1.  ``shingle_table``: one scan; size, 128-bit fingerprint of the set (equal sets
     are one *class* from here on) and the longest prefix in hash order.
-2.  Thinning: shingles that two classes hold are found by a keyed min/max of those
-    prefixes; a document with fewer than l such shingles in its prefix has no
-    partner and goes.  No pair is built for this.
+2.  Thinning: a document with fewer than l shingles in its prefix that another row
+    holds has no partner and goes.  No pair is built for this; the shingles travel
+    packed (``lots``).
 3.  The classes left are read again with their whole sets and real document
-    frequencies.  In rare-first order each gets the length l of least estimated
+    frequencies, which travel packed too.  In rare-first order each gets the length l of least estimated
     cost: postings scanned plus candidates (postings / l) to verify; where some l
     leaves fewer than l shared shingles the class goes at no cost.
 4.  Star rounds: in each posting list the members are tested only against one
@@ -38,12 +38,15 @@ from pyspark.sql import functions as F
 
 from .common import batches, drop, release, row_words, save, shingles, utf8
 from .components import connected_components
+from .lots import frequencies, lot_ids, rows_with_shared
 
 #: Prefixes may grow by this share of a set (and SLACK shingles) over the shortest.
 GROWTH, SLACK = 0.05, 2
 #: Cost of verifying a candidate, in postings scanned.
 VERIFY = 25.0
 STAR_ROUNDS = 4
+#: Key tables of up to so many rows are broadcast (40 bytes a row); larger ones are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def required(n, num: int, den: int):
@@ -86,27 +89,50 @@ def shingle_table(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return save(out.withColumn("row", F.monotonically_increasing_id()), "shingles")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, a saved table of narrow rows, marked for broadcast if its counted rows keep the bound."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _sets(n: int):
+    """Whole sets of documents whose set is the one that the row names (h1, h2)."""
+
     def run(it):
         import pyarrow as pa
 
+        lot = lot_ids()
         for batch in it:
-            ids, texts = batches(batch, ["doc_id", "text"])
+            ids, texts, h1, h2, many = batches(batch, ["id", "text", "h1", "h2", "many"])
+            marks = np.stack([np.asarray(h1), np.asarray(h2)], axis=1).astype(np.int64)
             buf, offsets = utf8(texts)
             for i, j, h, at in row_words(buf, offsets):
                 sets = shingles(h, at, n)
-                marks = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
-                ends = np.cumsum([0, *map(len, sets)])
-                yield pa.record_batch(
-                    [ids.slice(i, j - i).cast(pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))],
-                    names=["doc_id", "h1", "h2", "tokens"],
-                )
+                for k, tokens in enumerate(sets, i):
+                    if hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() == marks[k].tobytes():
+                        yield pa.record_batch(
+                            [ids.slice(k, 1), pa.array([len(tokens)], pa.int64()), pa.array([lot(len(tokens))], pa.int64()), many.slice(k, 1), pa.ListArray.from_arrays(pa.array([0, len(tokens)], pa.int32()), pa.array(tokens.view(np.int64)))],
+                            names=["id", "n", "lot", "many", "tokens"],
+                        )
 
     return run
 
 
+def _whole_sets(docs: DataFrame, feats: DataFrame, keep: DataFrame, n: int) -> DataFrame:
+    """id, n, lot, tokens of the classes ``keep`` (h1, h2, id, doc_id), saved."""
+    again = feats.groupBy("doc_id", "h1", "h2").agg(F.count("*").alias("k")).where("k > 1").select("h1", "h2", "doc_id", F.lit(True).alias("many"))
+    key = keep.join(again, ["h1", "h2", "doc_id"], "left").select("doc_id", "id", "h1", "h2", F.coalesce("many", F.lit(False)).alias("many"))
+    key = save(key.where("doc_id is not null"), "keys")
+    sets = docs.join(_small(key), "doc_id").select("id", "text", "h1", "h2", "many")
+    sets = save(sets.mapInArrow(_sets(n), "id long, n long, lot long, many boolean, tokens array<long>"), "sets")
+    if sets.where("many").isEmpty():
+        return sets
+    # rows that repeat id and text: one of them
+    return save(sets.where("not many").unionByName(sets.where("many").dropDuplicates(["id"])), "sets")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of pairs (a, b), those that link.  Two equi-joins; a hot id is split by the engine's skew join."""
+    """Of saved pairs (a, b), those that link.  Equi-joins on the sets that a pair names."""
+    sets = sets.join(_small(save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "named")), "id", "left_semi")
     left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
@@ -114,24 +140,22 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return both.where(F.col("i") * den >= num * (F.size("ta") + F.size("tb") - F.col("i"))).select("a", "b")
 
 
-def _prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Adaptive prefixes, as postings: token, id, n, u (shingles held alone), l (shared ones to ask for)."""
-    posts = sets.select("id", F.explode("tokens").alias("token"))
-    shared = save(posts.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared")
-    # a class that holds too many shingles alone has no partner; only the others are ranked
-    kept = posts.join(shared.select("token"), "token").groupBy("id").agg(F.count("*").alias("kept"))
-    able = sets.select("id", "n").join(kept, "id").select("id", (F.col("n") - F.col("kept")).alias("u"), F.expr(f"n * {den - num} div {den}").alias("base"))
-    able = save(able.where("u <= base"), "able")
-    release(sets.sparkSession)
-    own = Window.partitionBy("id").orderBy("df", "token")
-    ranked = sets.join(able, "id").select("id", "n", "u", "base", F.explode("tokens").alias("token")).join(shared, "token")
-    ranked = ranked.select("id", "n", "u", "base", "token", F.row_number().over(own).alias("k"), F.sum("df").over(own).alias("scan"))
-    # the u unshared shingles stand first: the first base + l shingles hold k = base + l - u shared ones
-    ranked = ranked.withColumn("l", F.col("k") + F.col("u") - F.col("base"))
-    longest = F.ceil(F.col("n") * 2 * GROWTH) + 2 * SLACK
-    cost = F.when((F.col("l") >= 1) & (F.col("l") <= longest), F.col("scan") * (1 + VERIFY / F.col("l")))
-    best = ranked.groupBy("id").agg(F.min_by("l", cost).alias("best"))
-    return ranked.join(best, "id").where("l <= best").select("token", "id", "n", "u", F.col("best").alias("l"))
+def _choose(num: int, den: int):
+    """Of one class: its shingles that others hold and their frequencies -> the adaptive prefix."""
+
+    def run(n: int, tokens: np.ndarray, df: np.ndarray):
+        u, base = n - len(tokens), n * (den - num) // den
+        if u > base:  # too many shingles of its own for any partner
+            return None
+        order = np.lexsort((tokens, df))
+        # the u unshared shingles stand first: the first base + l shingles hold k = base + l - u shared ones
+        length = np.arange(1, len(tokens) + 1) + u - base
+        longest = math.ceil(n * 2 * GROWTH) + 2 * SLACK
+        cost = np.where((length >= 1) & (length <= longest), np.cumsum(df[order]) * (1 + VERIFY / np.maximum(length, 1)), np.inf)
+        best = int(np.argmin(cost))
+        return tokens[order[: best + 1]], u, int(length[best])
+
+    return run
 
 
 def _open_lists(posts: DataFrame, comp: DataFrame) -> DataFrame:
@@ -175,7 +199,7 @@ def _star_pairs(rows: DataFrame, lot: int, num: int, den: int) -> DataFrame:
 
 def jaccard_links(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(node, component) over the distinct sets ``sets`` (id, n, tokens) that have a partner."""
-    posts = save(_prefixes(sets, num, den), "postings")
+    posts = save(frequencies(sets, _choose(num, den)), "postings")
     n_posts = posts.count()
     spark = sets.sparkSession
     release(spark)
@@ -228,26 +252,16 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
     if num < den:
         # a smaller set links only with its equals
         least = -(-num // (den - num))
-        long = feats.where(F.col("n") >= least)
-        posts = long.select("h1", F.explode("prefix").alias("token"))
-        several = posts.groupBy("token").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("token")
-        several = save(several, "several")
-        release(docs.sparkSession)
-        posts = long.select("row", F.explode("prefix").alias("token"))
-        left = posts.join(several, "token").groupBy("row").agg(F.count("*").alias("shared"))
-        left = left.join(feats.select("row", "longest"), "row").where("shared >= longest").select(F.col("row").alias("id"))
-        keep = save(classes.join(left, "id", "left_semi").select("h1", "h2", "id", "doc_id"), "thinned")
+        left = rows_with_shared(feats.where(F.col("n") >= least))
+        keep = save(classes.join(left.withColumnRenamed("row", "id"), "id", "left_semi").select("h1", "h2", "id", "doc_id"), "thinned")
         release(docs.sparkSession)
-        sets = base.join(keep.select("doc_id").distinct(), "doc_id", "left_semi")
-        sets = sets.mapInArrow(_sets(n), "doc_id long, h1 long, h2 long, tokens array<long>")
-        sets = sets.join(keep.select("h1", "h2", "id"), ["h1", "h2"]).dropDuplicates(["id"])
-        sets = save(sets.select("id", F.size("tokens").cast("long").alias("n"), "tokens"), "sets")
+        sets = _whole_sets(base, feats, keep, n)
         release(docs.sparkSession)
         comp = jaccard_links(sets, num, den)
         names = classes.select("id", "doc_id").join(comp.withColumnRenamed("node", "id"), "id")
         names = names.join(names.groupBy("component").agg(F.min("doc_id").alias("name")), "component").select("id", "name")
         named = save(classes.join(names, "id", "left").select("h1", "h2", F.coalesce("name", "doc_id").alias("name")), "named")
-        drop(sets, keep, classes, several)
+        drop(sets, keep)
     else:
         named = classes.select("h1", "h2", F.col("doc_id").alias("name"))
     out = feats.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2").join(named, ["h1", "h2"], "left")

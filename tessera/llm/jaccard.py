@@ -175,7 +175,10 @@ def _bound(ua, ub, na, nb, num: int, den: int):
 
 
 def _rest(posts: DataFrame, comp: DataFrame, num: int, den: int) -> DataFrame:
-    """Postings that may still link across components: the u of a row and the least u of other components keep the bound."""
+    """Postings that may still link across components: the u of a row and the least u of other components keep the bound.
+
+    As components only grow, what left the postings once need not be looked at again.
+    """
     rows = _open_lists(posts, comp)
     least = rows.groupBy("token").agg(F.min(F.struct("u", "c")).alias("m"))
     rows = rows.join(least, "token")
@@ -214,16 +217,18 @@ def jaccard_links(sets: DataFrame, num: int, den: int) -> DataFrame:
         comp = save(connected_components(links).select(F.col("node").alias("id"), "component"), "components")
         release(spark)
 
-    rows = posts.withColumn("c", F.col("id"))
+    rows, before = posts.withColumn("c", F.col("id")), math.inf
     for lot in range(STAR_ROUNDS):
         pairs = save(_star_pairs(rows, lot, num, den).join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.unionByName(pairs)
         link(pairs)
-        rows = _rest(posts, comp, num, den)
+        rows = _rest(rows.select("token", "id", "n", "u", "l"), comp, num, den)
         # pairs that are left, at most: go on with stars only while they are many
         left = rows.groupBy("token").agg(F.count("*").alias("k")).agg(F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()[0] or 0
-        if left <= 4 * n_posts:
+        # and while a round leaves clearly fewer
+        if left <= 4 * n_posts or left > 0.9 * before:
             break
+        before = left
     if left:
         a, b = rows.alias("a"), rows.alias("b")
         pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.c") != F.col("b.c"))

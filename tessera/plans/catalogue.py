@@ -659,12 +659,37 @@ def _(t):
     return graph.fill_unassigned(t.tx.select("transcript_id", "cell_id"), _left(t))
 
 
+#: Neighbours of a vector in the edge tables over all vectors.
+K_VECTORS = 10
+
+
+def _edges(t, k=K_VECTORS):
+    """(src, dst, s): every vector and its nearest others."""
+    return graph.nearest_vectors(t.vectors, t.vectors, k)
+
+
+@query("q_similarity_all")
+def _(t):
+    return graph.similarity(_edges(t).select("src", "dst"), t.vectors, t.vectors).select("src", "dst", R("score", 5).alias("score"))
+
+
+@query("q_similarity_best_all")
+def _(t):
+    return graph.best(_edges(t, 1).select("src", "dst", vectors.link_score(F.col("s")).alias("score")), 0.5).select("src", R("score", 5).alias("score"))
+
+
+@query("q_softmax_all")
+def _(t):
+    return vectors.softmax(_edges(t), ["src"], "s").select("src", "dst", R("weight").alias("weight"))
+
+
 @query("q_attention_layer")
 def _(t):
-    v = t.vectors.select("id", F.slice("v", 1, 4).alias("h"))
-    e = _scored(t).select("src", "dst")
-    eye = [[1.0 if i == j else 0.1 for j in range(4)] for i in range(4)]
-    out = graph.attention_layer(v, e, eye, eye, [0.5, -0.25, 0.25, 1.0])
+    v = t.vectors.select("id", F.col("v").alias("h"))
+    size = t.vectors.agg(F.max(F.size("v"))).first()[0] or 0
+    e = _edges(t).select(F.col("dst").alias("src"), F.col("src").alias("dst"))  # every vector hears from its neighbours
+    eye = [[1.0 if i == j else 0.1 for j in range(size)] for i in range(size)]
+    out = graph.attention_layer(v, e, eye, eye, [(0.5, -0.25, 0.25, 1.0)[i % 4] for i in range(size)])
     return out.select("id", F.transform("h", lambda x: F.round(x, 6)).alias("h"))
 
 
@@ -687,8 +712,8 @@ def _(t):
 @query("q_link_scorer")
 def _(t):
     v = t.vectors
-    a, b = v.where("id % 10 <> 0"), v.where("id % 10 = 0")
-    e = a.select(F.col("id").alias("src"), F.col("label").alias("l1")).crossJoin(F.broadcast(b.select(F.col("id").alias("dst"), F.col("label").alias("l2")))).where("(src + dst) % 7 = 0")
+    end = lambda c, label: v.select(F.col("id").alias(c), F.col("label").alias(label))
+    e = _edges(t).select("src", "dst").join(end("src", "l1"), "src").join(end("dst", "l2"), "dst")
     f = learn.link_features(e.withColumn("label", (F.col("l1") == F.col("l2")).cast("int")), v, v)
     m = learn.fit_link_scorer(f, 10)
     from pyspark.ml.functions import vector_to_array
@@ -708,6 +733,11 @@ def _(t):
     return learn.transfer_labels(e, v.select("id", "label"))
 
 
+@query("q_label_transfer_all")
+def _(t):
+    return learn.transfer_labels(_edges(t, 5), t.vectors.select("id", "label"))
+
+
 # -- validation --------------------------------------------------------------------------------------
 
 _EXPR = f"""x as (select t.cell_type, g.gene, count(distinct t.cell_id) as cells from v_cells t cross join (select distinct gene from v_transcripts where cell_id is not null) g group by 1, 2),

@@ -96,6 +96,16 @@ def sensitivity(counts: DataFrame, types: DataFrame, marker_table: DataFrame, ma
     return some.join(F.broadcast(size), "cell_type").join(hit, "cell_id", "left").select("cell_id", "cell_type", (F.coalesce("k", F.lit(0)) / F.col("m")).alias("sensitivity"))
 
 
+def runs(rows: DataFrame, key: str, value: str, width: int) -> DataFrame:
+    """One row: runs of equal values in the order of an integer key, counted in key ranges of ``width`` and over their ends."""
+    b = rows.select(F.expr(f"{key} div {width}").alias("b"), key, value)
+    b = b.withColumn("p", F.lag(value).over(Window.partitionBy("b").orderBy(key)))
+    b = b.groupBy("b").agg(F.sum(F.when(F.col("p") != F.col(value), 1).otherwise(0)).alias("inside"), F.min_by(value, key).alias("first"), F.max_by(value, key).alias("last"))
+    b = b.withColumn("before", F.lag("last").over(Window.partitionBy(F.lit(0)).orderBy("b")))  # one row per range
+    new = F.when(F.col("before").isNull() | (F.col("before") != F.col("first")), 1).otherwise(0)
+    return b.agg(F.sum(F.col("inside") + new).alias("runs"))
+
+
 def calinski_harabasz(points: DataFrame, dims: list[str], label: str) -> DataFrame:
     """One row: between over within dispersion, from group sums."""
     sums = points.groupBy(label).agg(F.count("*").alias("n"), *(F.avg(d).alias(f"m_{d}") for d in dims), *(F.var_pop(d).alias(f"v_{d}") for d in dims))

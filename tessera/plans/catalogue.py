@@ -60,6 +60,21 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def whole(name: str, cuts: dict[str, str]):
+    """Register the uncut form of a query as ``name``_all; its SQL is that of ``name`` with the cuts replaced."""
+
+    def add(f: Callable[[Tables], DataFrame]):
+        query(f"{name}_all")(f)
+        sql = ORACLE_SQL[name]
+        for old, new in cuts.items():
+            assert old in sql, old
+            sql = sql.replace(old, new)
+        ORACLE_SQL[f"{name}_all"] = sql
+        return f
+
+    return add
+
+
 R = lambda c, k=6: F.round(F.col(c) if isinstance(c, str) else c, k)
 COUNTS = "(select cell_id, gene, count(*) as n from v_transcripts where cell_id is not null group by cell_id, gene)"
 
@@ -549,6 +564,11 @@ def _(t):
     return p.agg(F.sum(F.when(F.col("p").isNull() | (F.col("p") != F.col("method")), 1).otherwise(0)).alias("runs"))
 
 
+@whole("q_runs", {" where x < 60": ""})
+def _(t):
+    return metrics.runs(t.tx, "transcript_id", "method", 10**12)
+
+
 @query("q_unpivot", "select method, kind, v from (select method, count(cell_id) as a, sum(nuclear)::bigint as n from v_transcripts group by method) unpivot (v for kind in (a, n))")
 def _(t):
     w = t.tx.groupBy("method").agg(F.count("cell_id").alias("a"), F.sum("nuclear").alias("n"))
@@ -695,8 +715,7 @@ def _(t):
 
 @query("q_segment")
 def _(t):
-    small = t.tx.where("x < 400 and y < 400")
-    return segment.segment(small, t.bd, segment.by_distance(10), dist_tx=2).groupBy("bound").agg(F.count("*").alias("n"), F.count("cell_id").alias("assigned"))
+    return segment.segment(t.tx, t.bd, segment.by_distance(10), dist_tx=2).groupBy("bound").agg(F.count("*").alias("n"), F.count("cell_id").alias("assigned"))
 
 
 # -- learning ----------------------------------------------------------------------------------------
@@ -829,11 +848,21 @@ def _(t):
     return metrics.calinski_harabasz(t.tx.where("x < 500"), ["x", "y", "z"], "method").select(R("calinski_harabasz", 4).alias("calinski_harabasz"))
 
 
+@whole("q_calinski", {" where x < 500": ""})
+def _(t):
+    return metrics.calinski_harabasz(t.tx, ["x", "y", "z"], "method").select(R("calinski_harabasz", 4).alias("calinski_harabasz"))
+
+
 @query("q_silhouette", f"with p as (select row_number() over () as i, * from {_PTS}), g as (select method as g, count(*) as n, sum(x) as sx, sum(y) as sy, sum(z) as sz, sum(x * x + y * y + z * z) as q from p group by method), d as (select i, method, g, n, (x * x + y * y + z * z) * n + q - 2 * (x * sx + y * sy + z * sz) as t from p, g), s as (select i, max(case when method = g and n > 1 then t / (n - 1) end) as a, min(case when method <> g then t / n end) as b from d group by i) select round(avg(case when a is null then 0.0 else (b - a) / greatest(a, b) end), 5) as silhouette from s")
 def _(t):
     return metrics.silhouette(t.tx.where("x < 500"), ["x", "y", "z"], "method").select(R("silhouette", 5).alias("silhouette"))
 
 
+@whole("q_silhouette", {" where x < 500": ""})
+def _(t):
+    return metrics.silhouette(t.tx, ["x", "y", "z"], "method").select(R("silhouette", 5).alias("silhouette"))
+
+
 @query("q_entropy", f"select src as cell_id, sum(k)::bigint as neighbours, round(-sum(k / s * ln(k / s)), 6) + 0.0 as entropy from (select *, sum(k) over (partition by src) as s from (select src, cell_type, count(*) as k from {_NB} join v_cells on cell_id = dst group by 1, 2)) group by src")
 def _(t):
     return metrics.neighbourhood_entropy(_line(t), t.cells).withColumn("entropy", R("entropy") + F.lit(0.0))
@@ -862,6 +891,11 @@ def _(t):
     return matrix.csr(t.counts.where("cell_id < 3000"), "gene", "cell_id").withColumn("indices", F.array_join("indices", ","))
 
 
+@whole("q_csr", {" where cell_id < 3000": ""})
+def _(t):
+    return matrix.csr(t.counts, "gene", "cell_id").withColumn("indices", F.array_join("indices", ","))
+
+
 @query("q_purity_f1", "with t as (select cell_type, case when segment in ('BUILDING', 'MACHINERY') then cell_type else '1-URGENT' end as predicted from v_cells) select a.cell_type, round(2.0 * coalesce(tp, 0) / (n + coalesce(p, 0)), 6) as f1 from (select cell_type, count(*) as n, sum(case when cell_type = predicted then 1 else 0 end) as tp from t group by 1) a left join (select predicted, count(*) as p from t group by 1) b on b.predicted = a.cell_type")
 def _(t):
     c = t.cells.withColumn("predicted", F.when(F.col("segment").isin("BUILDING", "MACHINERY"), F.col("cell_type")).otherwise("1-URGENT"))

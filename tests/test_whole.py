@@ -2,7 +2,9 @@
 
 import os
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from tessera.plans import catalogue
@@ -64,3 +66,27 @@ def test_link_scorer_sees_the_edges_of_all_vectors(spark, embeddings, monkeypatc
     monkeypatch.setattr(catalogue.learn, "fit_link_scorer", lambda f, *a: seen.extend((r.src, r.dst) for r in f.select("src", "dst").collect()) or fit(f, *a))
     assert len(rows(spark, "q_link_scorer", root)) == 1
     assert sorted(seen) == sorted((i, int(j)) for i in range(60) for j in near[i, : catalogue.K_VECTORS])
+
+
+def equals_sql(spark, name, sf_dir=SF):
+    con = duckdb.connect()
+    for f in os.listdir(sf_dir):
+        con.execute(f"create view {f.split('.')[0]} as select * from '{sf_dir}/{f}'")
+    got, want = catalogue.QUERIES[name](spark, sf_dir).toPandas(), con.sql(catalogue.ORACLE_SQL[name]).df()
+    cols = sorted(got.columns)
+    assert cols == sorted(want.columns) and len(got)
+    order = lambda d: d[cols].astype(object).sort_values(cols).reset_index(drop=True)
+    pd.testing.assert_frame_equal(order(got), order(want), check_dtype=False)
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["q_runs_all", "q_calinski_all", "q_silhouette_all", "q_csr_all"])
+def test_row_ranges_are_whole(spark, name):
+    assert "where x <" not in catalogue.ORACLE_SQL[name] and "cell_id < 3000" not in catalogue.ORACLE_SQL[name]
+    equals_sql(spark, name)
+
+
+@needs_tables
+def test_segment_keeps_every_point(spark):
+    t = catalogue.Tables(spark, SF)
+    assert sum(r.n for r in rows(spark, "q_segment")) == t.tx.count()

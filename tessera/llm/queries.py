@@ -45,6 +45,12 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), F.round("mean_log_score", 5).alias("mean_log_score"))
 
 
+def op7_lm_scoring_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model of op7 with trigrams, over all documents; op7_lm_scoring is the bigram model that its SQL gives."""
+    out = ngram_lm.score_documents(_read(spark, sf_dir, "documents"), order=3)
+    return out.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), F.round("mean_log_score", 5).alias("mean_log_score"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_read(spark, sf_dir, "documents"))
 
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_exact_dedup,
         op6_toxicity,
         op7_lm_scoring,
+        op7_lm_scoring_order3,
         op8_source_mixing,
         op9_personal_data,
         op10_token_output,

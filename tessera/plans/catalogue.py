@@ -465,6 +465,16 @@ def _(t):
     return matrix.pivoted(t.counts, ["Brand#11", "Brand#12"]).select("cell_id", F.col("`Brand#11`").cast("long").alias("b11"), F.col("`Brand#12`").cast("long").alias("b12"))
 
 
+def _panel(t) -> list[str]:
+    """All genes of the cells, in order; a bounded panel."""
+    return [r.gene for r in t.counts.select("gene").distinct().orderBy("gene").collect()]
+
+
+@query("q_count_pivot_all")
+def _(t):
+    return matrix.pivoted(t.counts, _panel(t))
+
+
 @query("q_cell_summary", "select cell_id, round(avg(x), 9) as cell_centroid_x, round(avg(y), 9) as cell_centroid_y, count(*) as transcripts, count(distinct gene) as unique_transcripts from v_transcripts where cell_id is not null group by cell_id")
 def _(t):
     return matrix.cell_summary(t.tx).withColumn("cell_centroid_x", R("cell_centroid_x", 9)).withColumn("cell_centroid_y", R("cell_centroid_y", 9))
@@ -539,6 +549,11 @@ def _(t):
     return matrix.cluster_medians(t.counts, t.cells, ["Brand#11", "Brand#12", "Brand#13"]).withColumn("median", R("median"))
 
 
+@whole("q_cluster_medians", {"(select unnest(['Brand#11', 'Brand#12', 'Brand#13']) as gene)": "(select distinct gene from v_transcripts where cell_id is not null)"})
+def _(t):
+    return matrix.cluster_medians(t.counts, t.cells, _panel(t)).withColumn("median", R("median"))
+
+
 @query("q_top_genes", f"select gene, round(sum(n) / 1000.0, 6) as mean_n from {COUNTS} group by gene order by sum(n) desc, gene limit 10")
 def _(t):
     return matrix.top_genes(t.counts, 1000, 10).withColumn("mean_n", R("mean_n"))
@@ -786,6 +801,15 @@ def _pairs(t):
     return t.spark.createDataFrame([(a, b) for a in g for b in g if a < b], "gene1 string, gene2 string")
 
 
+#: The panel of _GP, and all genes in its place.
+_ALL_GENES = {"(select unnest(['Brand#11', 'Brand#12', 'Brand#13', 'Brand#14', 'Brand#15']) as g)": "(select distinct gene as g from v_transcripts where cell_id is not null)"}
+
+
+def _all_pairs(t):
+    g = _panel(t)
+    return t.spark.createDataFrame([(a, b) for a in g for b in g if a < b], "gene1 string, gene2 string")
+
+
 _MECR = "select {g} gene1, gene2, case when count(distinct case when h1 or h2 then cell_id end) > 0 then count(distinct case when h1 and h2 then cell_id end) / count(distinct case when h1 or h2 then cell_id end) else 0.0 end as mecr from (select {g} gene1, gene2, cell_id, bool_or(gene = gene1) as h1, bool_or(gene = gene2) as h2 from {src} cross join {gp} group by all) group by {g} gene1, gene2"
 
 
@@ -794,6 +818,11 @@ def _(t):
     return metrics.mecr(t.counts, _pairs(t)).withColumn("mecr", R("mecr"))
 
 
+@whole("q_mecr", _ALL_GENES)
+def _(t):
+    return metrics.mecr(t.counts, _all_pairs(t)).withColumn("mecr", R("mecr"))
+
+
 def _mecr_sql(column: str, cells: str) -> str:
     return f"""with b as ({_BIN(column, cells)}), m as ({_MECR.format(g='bin,', src=f'(select b.bin, c.* from {COUNTS} c join b on b.cell_id = c.cell_id)', gp=_GP)})
 select s.bin / 10 as quantile, round(a, 6) as average_mecr, round(v, 6) as variance_mecr, round(av, 6) as average, num_cells from (select bin, avg({column}) as av, count(*) as num_cells from b group by bin) s left join (select bin, avg(mecr) as a, var_pop(mecr) as v from m group by bin) q on q.bin = s.bin"""
@@ -808,11 +837,21 @@ def _(t):
     return _rounded(metrics.mecr_by_quantile(t.counts, _pairs(t), t.cells, "area"))
 
 
+@whole("q_mecr_by_area", _ALL_GENES)
+def _(t):
+    return _rounded(metrics.mecr_by_quantile(t.counts, _all_pairs(t), t.cells, "area"))
+
+
 @query("q_mecr_by_count", _mecr_sql("k", "(select cell_id, sum(n) as k from " + COUNTS + " group by cell_id)"))
 def _(t):
     return _rounded(metrics.mecr_by_quantile(t.counts, _pairs(t), t.counts.groupBy("cell_id").agg(F.sum("n").alias("k")), "k"))
 
 
+@whole("q_mecr_by_count", _ALL_GENES)
+def _(t):
+    return _rounded(metrics.mecr_by_quantile(t.counts, _all_pairs(t), t.counts.groupBy("cell_id").agg(F.sum("n").alias("k")), "k"))
+
+
 # cells of a line: neighbours are the next two orders
 _NB = "(select a.cell_id as src, b.cell_id as dst from v_cells a join v_cells b on b.cell_id <> a.cell_id and b.cell_id between a.cell_id - 2 and a.cell_id + 2)"
 
@@ -840,6 +879,11 @@ def _(t):
     return metrics.sensitivity(t.counts, t.cells, _markers(t), 50).withColumn("sensitivity", R("sensitivity"))
 
 
+@whole("q_sensitivity", {"r <= 50": "r <= 1000"})  # the reference's sample
+def _(t):
+    return metrics.sensitivity(t.counts, t.cells, _markers(t), 1000).withColumn("sensitivity", R("sensitivity"))
+
+
 _PTS = "(select x, y, z, method from v_transcripts where x < 500)"
 
 

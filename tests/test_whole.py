@@ -90,3 +90,19 @@ def test_row_ranges_are_whole(spark, name):
 def test_segment_keeps_every_point(spark):
     t = catalogue.Tables(spark, SF)
     assert sum(r.n for r in rows(spark, "q_segment")) == t.tx.count()
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["q_mecr_all", "q_mecr_by_area_all", "q_mecr_by_count_all", "q_cluster_medians_all", "q_sensitivity_all"])
+def test_panels_are_whole(spark, name):
+    equals_sql(spark, name)
+
+
+@needs_tables
+def test_panels_take_all_genes(spark):
+    counts = catalogue.Tables(spark, SF).counts.collect()
+    genes = sorted({r.gene for r in counts})
+    assert len(genes) > 5 and len(rows(spark, "q_mecr_all")) == len(genes) * (len(genes) - 1) // 2
+    wide = catalogue.QUERIES["q_count_pivot_all"](spark, SF)
+    assert wide.columns == ["cell_id", *genes]
+    assert {(r.cell_id, g): r[g] for r in wide.collect() for g in genes if r[g]} == {(r.cell_id, r.gene): r.n for r in counts}

@@ -5,7 +5,8 @@ where a trigger says it may hide more: look-alike letters and digits become ASCI
 invisible characters go, spelled digits become digits, and written-out at and dot become
 signs.  Every character of the rewritten text carries the source span it came from, so a
 find there is mapped back to source characters.  Only finds that contain a rewritten
-character and touch no base span of their kind are added.
+character and that no base span of their kind covers are added, beside base spans that
+they extend.
 """
 
 from __future__ import annotations
@@ -183,7 +184,7 @@ def find_all(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int
         if not any(hidden.new[a:b]):
             continue
         x, y = hidden.start[a], hidden.end[b - 1]
-        if not any(k == kind and p < y and x < q for k, p, q in base):
+        if not any(k == kind and p <= x and y <= q for k, p, q in base):
             added.append((kind, x, y))
     return base, sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
@@ -233,7 +234,7 @@ def _mask(it):
                 for kind, a, b in sorted(find_all(t)[1], key=lambda s: (s[1], -s[2])):
                     if a >= at:
                         parts += [t[at:a], f"<{kind}>"]
-                        at = b
+                    at = max(at, b)
                 t = "".join(parts) + t[at:]
             out.append(t)
         yield pa.record_batch([ids, pa.array(out, pa.string())], names=["doc_id", "text"])

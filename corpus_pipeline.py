@@ -35,7 +35,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return token_files.token_output(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.token_output(docs, public_tokenizers.path("byte_bpe_50k.json"), special=True)
 
 
 STAGES = [

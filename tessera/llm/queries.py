@@ -62,7 +62,7 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return token_files.token_output(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.token_output(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), special=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

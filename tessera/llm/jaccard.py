@@ -15,16 +15,21 @@ l.  A longer prefix costs more postings but asks for more shared ones.
     frequencies, which travel packed too.  In rare-first order each gets the length l of least estimated
     cost: postings scanned plus candidates (postings / l) to verify; where some l
     leaves fewer than l shared shingles the class goes at no cost.
-4.  Star rounds: in each posting list the members are tested only against one
-    pivot, the class with the smallest share of shingles of its own, which is the
-    centre of a group of near copies.  Linked ones become one component, and
-    lists whose members are all of one component are closed.  The work is linear
+4.  Star round: in each posting list the members are tested only against one pivot,
+    the class whose shingles are the most frequent ones (least mean of 1 / frequency),
+    which is the centre of a group of near copies.  Linked ones become one component,
+    and lists whose members are all of one component are closed.  The work is linear
     in the postings, however large a group.
 5.  What can still link across components is bounded by the shingles a class holds
-    alone (u): ``den-num`` shares of the overlap must cover both u.  A member whose
-    u and the least u of the other components break the bound leaves the list.
-    The rest is joined list by list with at least min(l) shared shingles per
-    pair, and every pair is verified on whole sets.  Nothing is capped.
+    alone (u): a member whose u and the least u of the other components break the bound
+    leaves the list.  Long lists get further star rounds with other pivots.
+6.  Members of the long lists that are still open are measured against their list's
+    pivot P: x shingles of P that they lack and y shared ones that P lacks.  Two members
+    differ in ``u + u' + |x - x'| + |y - y'|`` shingles at least, and in as many as the
+    parities of their shingles in 1,024 cells differ (``odd``).  Only pairs of different
+    components that both bounds let pass are formed, whatever lists they share.
+7.  Short lists (``HEAVY`` rows at most) are joined list by list with at least min(l)
+    shared shingles per pair.  Every pair is verified on whole sets.  Nothing is capped.
 """
 
 from __future__ import annotations
@@ -45,8 +50,14 @@ GROWTH, SLACK = 0.05, 2
 #: Cost of verifying a candidate, in postings scanned.
 VERIFY = 25.0
 STAR_ROUNDS = 4
+#: Rows of a posting list from which on its members are measured against a pivot.
+HEAVY = 32
+#: Words of 64 bits of the parities of a set.
+ODD = 16
 #: Key tables of up to so many rows are broadcast (40 bytes a row); larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Sets of pivots of up to so many shingles in all are broadcast (8 bytes each).
+BROADCAST_TOKENS = 2_000_000
 
 
 def required(n, num: int, den: int):
@@ -59,7 +70,7 @@ def _features(n: int, num: int, den: int, growth: float):
         import pyarrow as pa
 
         for batch in it:
-            ids, texts = batches(batch, ["doc_id", "text"])
+            ids, texts, hashes = batches(batch, ["doc_id", "text", "t"])
             buf, offsets = utf8(texts)
             for i, j, h, at in row_words(buf, offsets):
                 sets = shingles(h, at, n)
@@ -71,21 +82,23 @@ def _features(n: int, num: int, den: int, growth: float):
                 yield pa.record_batch(
                     [
                         ids.slice(i, j - i).cast(pa.int64()),
+                        hashes.slice(i, j - i),
                         pa.array(sizes, pa.int64()),
                         pa.array(marks[:, 0]),
                         pa.array(marks[:, 1]),
                         pa.array(long, pa.int32()),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(cut) if cut else np.zeros(0, np.int64))),
                     ],
-                    names=["doc_id", "n", "h1", "h2", "longest", "prefix"],
+                    names=["doc_id", "t", "n", "h1", "h2", "longest", "prefix"],
                 )
     return run
 
 
 def shingle_table(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, h1, h2, longest, prefix, row: saved; ``row`` numbers the rows."""
+    """doc_id, t (hash of the text), n, h1, h2, longest, prefix, row: saved; ``row`` numbers the rows."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = base.mapInArrow(_features(n, num, den, GROWTH), "doc_id long, n long, h1 long, h2 long, longest int, prefix array<long>")
+    base = base.withColumn("t", F.xxhash64("text"))
+    out = base.mapInArrow(_features(n, num, den, GROWTH), "doc_id long, t long, n long, h1 long, h2 long, longest int, prefix array<long>")
     return save(out.withColumn("row", F.monotonically_increasing_id()), "shingles")
 
 
@@ -94,6 +107,12 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def odd(tokens: np.ndarray) -> np.ndarray:
+    """How many of the tokens fall into each of 64 ODD cells, modulo 2: two sets differ in as many tokens at least as these bits differ."""
+    bits = np.bincount((tokens % np.uint64(64 * ODD)).astype(np.int64), minlength=64 * ODD) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _sets(n: int):
     """Whole sets of documents whose set is the one that the row names (h1, h2)."""
 
@@ -110,38 +129,44 @@ def _sets(n: int):
                 for k, tokens in enumerate(sets, i):
                     if hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() == marks[k].tobytes():
                         yield pa.record_batch(
-                            [ids.slice(k, 1), pa.array([len(tokens)], pa.int64()), pa.array([lot(len(tokens))], pa.int64()), many.slice(k, 1), pa.ListArray.from_arrays(pa.array([0, len(tokens)], pa.int32()), pa.array(tokens.view(np.int64)))],
-                            names=["id", "n", "lot", "many", "tokens"],
+                            [ids.slice(k, 1), pa.array([len(tokens)], pa.int64()), pa.array([lot(len(tokens))], pa.int64()), many.slice(k, 1), pa.ListArray.from_arrays(pa.array([0, len(tokens)], pa.int32()), pa.array(tokens.view(np.int64))), pa.ListArray.from_arrays(pa.array([0, ODD], pa.int32()), pa.array(odd(tokens)))],
+                            names=["id", "n", "lot", "many", "tokens", "odd"],
                         )
 
     return run
 
 
 def _whole_sets(docs: DataFrame, feats: DataFrame, keep: DataFrame, n: int) -> DataFrame:
-    """id, n, lot, tokens of the classes ``keep`` (h1, h2, id, doc_id), saved."""
+    """id, n, lot, tokens, odd of the classes ``keep`` (h1, h2, id, doc_id), saved."""
     again = feats.groupBy("doc_id", "h1", "h2").agg(F.count("*").alias("k")).where("k > 1").select("h1", "h2", "doc_id", F.lit(True).alias("many"))
     key = keep.join(again, ["h1", "h2", "doc_id"], "left").select("doc_id", "id", "h1", "h2", F.coalesce("many", F.lit(False)).alias("many"))
     key = save(key.where("doc_id is not null"), "keys")
     sets = docs.join(_small(key), "doc_id").select("id", "text", "h1", "h2", "many")
-    sets = save(sets.mapInArrow(_sets(n), "id long, n long, lot long, many boolean, tokens array<long>"), "sets")
+    sets = save(sets.mapInArrow(_sets(n), "id long, n long, lot long, many boolean, tokens array<long>, odd array<long>"), "sets")
     if sets.where("many").isEmpty():
         return sets
     # rows that repeat id and text: one of them
     return save(sets.where("not many").unionByName(sets.where("many").dropDuplicates(["id"])), "sets")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of saved pairs (a, b), those that link.  Equi-joins on the sets that a pair names."""
-    sets = sets.join(_small(save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "named")), "id", "left_semi")
-    left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of saved pairs (a, b): na, nb and the size i of the intersection.  Equi-joins on the sets that a pair names."""
+    named = sets.join(_small(save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "named")), "id", "left_semi").select("id", "n", "tokens")
+    centre = named.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_semi")
+    tokens = pairs.select("b").distinct().join(sets.select(F.col("id").alias("b"), "n"), "b").agg(F.sum("n")).first()[0] or 0
+    left = named.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
+    right = centre.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+    right = F.broadcast(right) if tokens <= BROADCAST_TOKENS else right
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
-    both = both.withColumn("i", F.size(F.array_intersect("ta", "tb")))
-    return both.where(F.col("i") * den >= num * (F.size("ta") + F.size("tb") - F.col("i"))).select("a", "b")
+    return both.select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).cast("long").alias("i"))
+
+
+def _linked(num: int, den: int):
+    return F.col("i") * den >= num * (F.col("na") + F.col("nb") - F.col("i"))
 
 
 def _choose(num: int, den: int):
-    """Of one class: its shingles that others hold and their frequencies -> the adaptive prefix."""
+    """Of one class: its shingles that others hold and their frequencies -> the adaptive prefix, u, l, and the mean of 1 / frequency (in 2^-32)."""
 
     def run(n: int, tokens: np.ndarray, df: np.ndarray):
         u, base = n - len(tokens), n * (den - num) // den
@@ -153,7 +178,7 @@ def _choose(num: int, den: int):
         longest = math.ceil(n * 2 * GROWTH) + 2 * SLACK
         cost = np.where((length >= 1) & (length <= longest), np.cumsum(df[order]) * (1 + VERIFY / np.maximum(length, 1)), np.inf)
         best = int(np.argmin(cost))
-        return tokens[order[: best + 1]], u, int(length[best])
+        return tokens[order[: best + 1]], u, int(length[best]), int((u + (1 / df).sum()) / n * 2**32)
 
     return run
 
@@ -185,56 +210,102 @@ def _rest(posts: DataFrame, comp: DataFrame, num: int, den: int) -> DataFrame:
     other = rows.where("c <> m.c").groupBy("token").agg(F.min("u").alias("u2"))
     rows = rows.join(other, "token").withColumn("uo", F.when(F.col("c") == F.col("m.c"), F.col("u2")).otherwise(F.col("m.u")))
     rows = rows.where((F.col("u") + F.col("uo")) * num <= (F.col("n") - F.col("u")) * (den - num))
-    return save(rows.select("token", "id", "n", "u", "l", "c"), "rest")
+    return save(rows.select("token", "id", "n", "u", "l", "o", "c"), "rest")
+
+
+def _centres(rows: DataFrame, lot: int) -> DataFrame:
+    """The pivot p of each list: first its centre, then members by lot."""
+    order = F.xxhash64("id", F.lit(lot)) if lot else F.col("o")
+    return rows.groupBy("token").agg(F.min(F.struct(order.alias("o"), "id", "n", "u", "c")).alias("p"))
 
 
 def _star_pairs(rows: DataFrame, lot: int, num: int, den: int) -> DataFrame:
-    """Per class, the pivot of another component that it shares most lists with, as (a, b)."""
-    # first the centre of the list, the least share of shingles of its own; then members by lot
-    order = F.xxhash64("id", F.lit(lot)) if lot else F.col("u") / F.col("n")
-    centre = rows.groupBy("token").agg(F.min(F.struct(order.alias("o"), "id", "n", "u", "c")).alias("p"))
-    cand = rows.join(centre, "token").where("c <> p.c")
+    """Per class, the pivot of another component that it shares most lists with, as (a, b): b is the pivot."""
+    cand = rows.join(_centres(rows, lot), "token").where("c <> p.c")
     cand = cand.where(_compatible(F.col("n"), F.col("p.n"), num, den) & _bound(F.col("u"), F.col("p.u"), F.col("n"), F.col("p.n"), num, den))
     cand = cand.groupBy("id", F.col("p.id").alias("pivot")).agg(F.count("*").alias("shared"))
-    cand = cand.groupBy("id").agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("pivot"))
-    return cand.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    return cand.groupBy(F.col("id").alias("a")).agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("b"))
+
+
+def _grown(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, component) after the links (a, b): only the components that they join are worked on."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    old = comp.join(ends, "id", "full").select("id", F.coalesce("component", "id").alias("component"))
+    old = save(old, "members")
+    of = lambda c: old.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+    edges = links.join(of("a"), "a").join(of("b"), "b").where("ca <> cb").select("ca", "cb").distinct()
+    new = connected_components(edges, "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("root"))
+    out = save(old.join(new, "component", "left").select("id", F.coalesce("root", "component").alias("component")), "components")
+    drop(old)
+    return out
+
+
+def _differ(a: str, b: str, num: int, den: int):
+    """Whether two measured members may link: both bounds of their difference are within what a link allows."""
+    at = lambda c: (F.col(f"{a}.{c}"), F.col(f"{b}.{c}"))
+    (ua, ub), (xa, xb), (ya, yb), (na, nb), (oa, ob) = map(at, ("u", "x", "y", "n", "odd"))
+    most = (na + nb) * (den - num)
+    cells = F.bit_count(oa[0].bitwiseXOR(ob[0]))
+    for k in range(1, ODD):
+        cells = cells + F.bit_count(oa[k].bitwiseXOR(ob[k]))
+    return ((ua + ub + F.abs(xa - xb) + F.abs(ya - yb)) * (den + num) <= most) & (cells * (den + num) <= most)
 
 
 def jaccard_links(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, component) over the distinct sets ``sets`` (id, n, tokens) that have a partner."""
+    """(node, component) over the distinct sets ``sets`` (id, n, lot, tokens, odd) that have a partner."""
     posts = save(frequencies(sets, _choose(num, den)), "postings")
-    n_posts = posts.count()
     spark = sets.sparkSession
     release(spark)
     comp = spark.createDataFrame([], "id long, component long")
     tried = spark.createDataFrame([], "a long, b long")
-    links: DataFrame | None = None
 
-    def link(pairs: DataFrame) -> None:
-        nonlocal links, comp
-        found = save(_verify(pairs, sets, num, den), "verified")
-        links = found if links is None else links.unionByName(found)
-        comp = save(connected_components(links).select(F.col("node").alias("id"), "component"), "components")
+    def measure(pairs: DataFrame) -> DataFrame:
+        """Overlaps of pairs that were not measured yet; those that link join their components."""
+        nonlocal tried, comp
+        known = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        pairs = save(pairs.join(known, ["a", "b"], "left_anti"), "pairs")
+        found = save(_overlaps(pairs, sets), "overlaps")
+        links = found.where(_linked(num, den)).select("a", "b")
+        if not links.isEmpty():
+            comp = _grown(comp, links)
+        tried = tried.unionByName(pairs)
         release(spark)
+        return found
+
+    def heavy(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") > HEAVY).select("token")
 
     rows, before = posts.withColumn("c", F.col("id")), math.inf
     for lot in range(STAR_ROUNDS):
-        pairs = save(_star_pairs(rows, lot, num, den).join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.unionByName(pairs)
-        link(pairs)
-        rows = _rest(rows.select("token", "id", "n", "u", "l"), comp, num, den)
-        # pairs that are left, at most: go on with stars only while they are many
-        left = rows.groupBy("token").agg(F.count("*").alias("k")).agg(F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()[0] or 0
-        # and while a round leaves clearly fewer
-        if left <= 4 * n_posts or left > 0.9 * before:
+        measure(_star_pairs(rows if lot == 0 else rows.join(heavy(rows), "token", "left_semi"), lot, num, den))
+        rows = _rest(rows.select("token", "id", "n", "u", "l", "o"), comp, num, den)
+        left = rows.join(heavy(rows), "token", "left_semi").count()
+        # star rounds go on while long lists are left and a round leaves clearly fewer rows of them
+        if not left or left > 0.8 * before:
             break
         before = left
     if left:
-        a, b = rows.alias("a"), rows.alias("b")
-        pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.c") != F.col("b.c"))
-                       & _compatible(F.col("a.n"), F.col("b.n"), num, den) & _bound(F.col("a.u"), F.col("b.u"), F.col("a.n"), F.col("b.n"), num, den))
-        pairs = pairs.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("a.l", "b.l")).alias("l"))
-        link(pairs.where("shared >= l").join(tried, ["a", "b"], "left_anti"))
+        members = rows.join(heavy(rows), "token", "left_semi")
+        members = save(members.join(_centres(members, 0), "token").select(F.col("p.id").alias("p"), "id", "n", "u", "c").distinct(), "members")
+        at = save(_overlaps(members.where("id <> p").select(F.col("id").alias("a"), F.col("p").alias("b")), sets), "overlaps")
+        links = at.where(_linked(num, den)).select("a", "b")
+        if not links.isEmpty():
+            comp = _grown(comp, links)
+        at = at.select(F.col("a").alias("id"), F.col("b").alias("p"), F.col("na").alias("n"), (F.col("nb") - F.col("i")).alias("x"), (F.col("na") - F.col("i")).alias("y"))
+        at = at.join(members.select("p", "id", "u"), ["p", "id"]).withColumn("y", F.col("y") - F.col("u"))
+        at = at.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+        at = save(at.join(sets.select("id", "odd"), "id"), "measured")
+        a, b = at.alias("a"), at.alias("b")
+        pairs = a.join(b, (F.col("a.p") == F.col("b.p")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.c") != F.col("b.c")) & _differ("a", "b", num, den))
+        measure(pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct())
+        rows = rows.join(heavy(rows), "token", "left_anti")
+        drop(members, at)
+    rows = _open_lists(rows.drop("c"), comp)
+    a, b = rows.alias("a"), rows.alias("b")
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.c") != F.col("b.c"))
+                   & _compatible(F.col("a.n"), F.col("b.n"), num, den) & _bound(F.col("a.u"), F.col("b.u"), F.col("a.n"), F.col("b.n"), num, den))
+    pairs = pairs.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("a.l", "b.l")).alias("l"))
+    measure(pairs.where("shared >= l").select("a", "b"))
     drop(posts, rows)
     return comp.select(F.col("id").alias("node"), "component")
 
@@ -249,6 +320,12 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
     one by one.  A row without doc_id gets the component of its equal texts, if one of
     them has an id, else null, and has no links of its own.  Other columns are not read.
     """
+    out = _components(docs, n, num, den)
+    return out.select("doc_id", "n_shingles", F.coalesce("name", "doc_id").alias("component_id"))
+
+
+def _components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Per row: doc_id, t (hash of its text), n_shingles, root (of its component) and name (least doc_id there); no root without shingles."""
     feats = shingle_table(docs, n, num, den)
     # classes of equal sets; one row stands for each
     classes = feats.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row")).alias("r"), F.max("n").alias("n"))
@@ -264,27 +341,36 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
         release(docs.sparkSession)
         comp = jaccard_links(sets, num, den)
         names = classes.select("id", "doc_id").join(comp.withColumnRenamed("node", "id"), "id")
-        names = names.join(names.groupBy("component").agg(F.min("doc_id").alias("name")), "component").select("id", "name")
-        named = save(classes.join(names, "id", "left").select("h1", "h2", F.coalesce("name", "doc_id").alias("name")), "named")
+        names = names.join(names.groupBy("component").agg(F.min("doc_id").alias("name")), "component").select("id", "component", "name")
+        named = save(classes.join(names, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("root"), F.coalesce("name", "doc_id").alias("name")), "named")
         drop(sets, keep)
     else:
-        named = classes.select("h1", "h2", F.col("doc_id").alias("name"))
-    out = feats.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2").join(named, ["h1", "h2"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("name", "doc_id").alias("component_id"))
+        named = classes.select("h1", "h2", F.col("id").alias("root"), F.col("doc_id").alias("name"))
+    return feats.select("doc_id", "t", F.col("n").alias("n_shingles"), "h1", "h2").join(named, ["h1", "h2"], "left").drop("h1", "h2")
+
+
+def _same(key: DataFrame, doc_id: str, text: str):
+    return F.col(doc_id).cast("long").eqNullSafe(key["key_id"]) & (F.xxhash64(F.col(text).cast("string")) == key["key_t"])
 
 
 def near_distinct_documents(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The rows of ``docs`` that stay, columns unchanged: of each component the row with the smallest doc_id.
+    """The rows of ``docs`` that stay, columns unchanged: of each component one row, that of the smallest doc_id.
 
-    Of rows that repeat id and text one stays; rows without shingles or without doc_id all
-    stay.
+    Rows are judged one by one, also where they repeat an id; rows without doc_id come
+    last in their component.  Of rows that repeat id and text one stays.  Rows without
+    shingles all stay.
     """
-    groups = ngram_jaccard_join(docs, n, num, den)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    columns = docs.columns
-    # rows that repeat an id and a text: one of them
-    kept = docs.join(gone.withColumnRenamed("doc_id", "__gone"), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
-    repeated = groups.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__many"))
-    one = kept.join(repeated, F.col("doc_id").cast("long") == F.col("__many"), "left_semi").dropDuplicates(["doc_id", "text"])
-    rest = kept.join(repeated, F.col("doc_id").cast("long") == F.col("__many"), "left_anti")
-    return rest.unionByName(one).select(*[F.col(f"`{c}`") for c in columns])
+    rows = save(_components(docs, n, num, den).where("root is not null"), "placed")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "t")).alias("w"), F.count("*").alias("k"))
+    rows = rows.join(first.where("k > 1"), "root")
+    stays = F.col("doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t") == F.col("w.t"))
+    key = lambda df: df.select(F.col("doc_id").alias("key_id"), F.col("t").alias("key_t"))
+    gone = _small(save(key(rows.where(~stays)).distinct(), "gone"))
+    many = save(key(rows.where(stays)).groupBy("key_id", "key_t").count().where("count > 1").drop("count"), "repeated")
+    hidden = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    doc_id, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    kept = hidden.join(gone, _same(gone, doc_id, text), "left_anti")
+    if not many.isEmpty():
+        one = kept.join(many, _same(many, doc_id, text), "left_semi").dropDuplicates([doc_id, text])
+        kept = kept.join(many, _same(many, doc_id, text), "left_anti").unionByName(one)
+    return kept.toDF(*docs.columns)

@@ -212,7 +212,7 @@ def _postings(choose):
     def run(sets, answers):
         import pyarrow as pa
 
-        out = {"token": [], "id": [], "n": [], "u": [], "l": []}
+        out = {"token": [], "id": [], "n": [], "u": [], "l": [], "o": []}
         if sets.num_rows:
             shared, where = np.unique(_joined(answers.column("shared"), np.uint64), return_index=True)
             df = _joined(answers.column("df"), np.int64)[where]
@@ -224,8 +224,8 @@ def _postings(choose):
                 held[held] = shared[place[held]] == tokens[held]
                 chosen = choose(n, tokens[held].view(np.int64), df[place[held]]) if held.any() else None
                 if chosen:
-                    prefix, u, length = chosen
-                    for name, x in (("token", prefix), ("id", np.full(len(prefix), i)), ("n", np.full(len(prefix), n)), ("u", np.full(len(prefix), u)), ("l", np.full(len(prefix), length))):
+                    prefix, u, length, own = chosen
+                    for name, x in (("token", prefix), ("id", np.full(len(prefix), i)), ("n", np.full(len(prefix), n)), ("u", np.full(len(prefix), u)), ("l", np.full(len(prefix), length)), ("o", np.full(len(prefix), own))):
                         out[name].append(x)
         return pa.table({c: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for c, x in out.items()})
 
@@ -233,8 +233,8 @@ def _postings(choose):
 
 
 def frequencies(sets: DataFrame, choose: Callable) -> DataFrame:
-    """Postings token, id, n, u, l of the prefixes that ``choose(n, shared tokens, their frequencies)`` takes of rows id, n, lot, tokens."""
+    """Postings token, id, n, u, l, o of the prefixes that ``choose(n, shared tokens, their frequencies)`` takes of rows id, n, lot, tokens."""
     asked = sets.select("lot", "tokens").mapInArrow(_ask_frequencies(_buckets(sets, "tokens")), "bucket int, lot long, tokens binary, note binary")
     answers = asked.groupBy("bucket").applyInArrow(_answer_frequencies, "lot long, shared binary, df binary").where("length(shared) > 0")
     both = sets.select("lot", "id", "n", "tokens").groupBy("lot").cogroup(answers.groupBy("lot"))
-    return both.applyInArrow(_postings(choose), "token long, id long, n long, u long, l long")
+    return both.applyInArrow(_postings(choose), "token long, id long, n long, u long, l long, o long")

@@ -1,8 +1,10 @@
-"""Connected components of an edge table, by alternating large-star and small-star rounds.
+"""Connected components of an edge table: contraction in tasks, then large-star and small-star rounds.
 
-Each round is two keyed minima and two joins; the table is written to the shared
-folder between rounds, so no round depends on the memory of one executor and no
-link reaches the driver (only a row count and a checksum do).
+Every task replaces its share of the links (``PER_TASK`` at most) by a forest whose trees
+are stars around the smallest node.  Where one task holds all links, that is the answer.
+Else alternating rounds of two keyed minima and two joins go on with the forests; the
+table is written to the shared folder between rounds, so no round depends on the memory
+of one executor and no link reaches the driver (only a row count and a checksum do).
 """
 
 from __future__ import annotations
@@ -12,6 +14,39 @@ from pyspark.sql import functions as F
 
 from .common import drop, save
 
+#: Links that one task contracts.
+PER_TASK = 500_000
+
+
+def stars(links) -> dict[int, int]:
+    """Node -> smallest node of its component, of (u, v) pairs; roots are left out."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (p := parent.get(top, top)) != top:
+            top = p
+        while x != top:
+            parent[x], x = top, parent.get(x, x)
+        return top
+
+    for u, v in links:
+        a, b = root(u), root(v)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    return {x: root(x) for x in list(parent) if root(x) != x}
+
+
+def _contract(it):
+    import pyarrow as pa
+
+    def pairs():
+        for batch in it:
+            yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+
+    found = stars(pairs())
+    yield pa.record_batch([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["u", "v"])
+
 
 def _star(pairs: DataFrame) -> DataFrame:
     """Rows (u, v): each with the smallest node among u and all its v."""
@@ -25,10 +60,13 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
     Self-links and repeated links do no harm; rows with a null end are ignored.
     An empty edge table gives an empty result.
     """
-    e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null and u <> v")
-    e = save(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    first, before = e, None
-    for _ in range(max_rounds):
+    e = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).where("u is not null and v is not null and u <> v")
+    links = save(e, "links")
+    tasks = -(-links.count() // PER_TASK)
+    # Parquet splits are not cut by rows: a task may get some more links than PER_TASK
+    first = e = save(links.coalesce(max(1, tasks)).mapInArrow(_contract, "u long, v long"), "links")
+    before = None
+    for _ in range(max_rounds if tasks > 1 else 0):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = _star(large)
@@ -42,7 +80,8 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
             break
         before = state
     else:
-        raise RuntimeError("components did not settle")
+        if tasks > 1:
+            raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    drop(first)
+    drop(links)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -151,12 +151,12 @@ def _whole_sets(docs: DataFrame, feats: DataFrame, keep: DataFrame, n: int) -> D
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of saved pairs (a, b): na, nb and the size i of the intersection.  Equi-joins on the sets that a pair names."""
-    named = sets.join(_small(save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "named")), "id", "left_semi").select("id", "n", "tokens")
-    centre = named.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_semi")
-    tokens = pairs.select("b").distinct().join(sets.select(F.col("id").alias("b"), "n"), "b").agg(F.sum("n")).first()[0] or 0
-    left = named.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    right = centre.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    right = F.broadcast(right) if tokens <= BROADCAST_TOKENS else right
+    ends = F.array(*(F.struct(F.col(c).alias("id"), F.lit(c == "b").alias("pivot")) for c in ("a", "b")))
+    named = save(pairs.select(F.inline(ends)).distinct(), "named")
+    few = F.broadcast if named.count() <= BROADCAST_ROWS else lambda df: df
+    left = sets.join(few(named.where("not pivot")), "id").select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
+    right = sets.join(few(named.where("pivot")), "id").select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+    right = F.broadcast(right) if (right.agg(F.sum("nb")).first()[0] or 0) <= BROADCAST_TOKENS else right
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
     return both.select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).cast("long").alias("i"))
 
@@ -184,10 +184,10 @@ def _choose(num: int, den: int):
 
 
 def _open_lists(posts: DataFrame, comp: DataFrame) -> DataFrame:
-    """Postings of lists that hold two components at least, with each row's component."""
+    """Postings of lists that hold two components at least, with each row's component, the list's length k and its least (u, c) as m."""
     with_comp = posts.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    lists = with_comp.groupBy("token").agg(F.min("c").alias("c_lo"), F.max("c").alias("c_hi")).where("c_lo <> c_hi")
-    return with_comp.join(lists.select("token"), "token")
+    lists = with_comp.groupBy("token").agg(F.min("c").alias("c_lo"), F.max("c").alias("c_hi"), F.min(F.struct("u", "c")).alias("m"), F.count("*").alias("k")).where("c_lo <> c_hi")
+    return with_comp.join(lists.select("token", "m", "k"), "token")
 
 
 def _compatible(na, nb, num: int, den: int):
@@ -205,12 +205,10 @@ def _rest(posts: DataFrame, comp: DataFrame, num: int, den: int) -> DataFrame:
     As components only grow, what left the postings once need not be looked at again.
     """
     rows = _open_lists(posts, comp)
-    least = rows.groupBy("token").agg(F.min(F.struct("u", "c")).alias("m"))
-    rows = rows.join(least, "token")
     other = rows.where("c <> m.c").groupBy("token").agg(F.min("u").alias("u2"))
     rows = rows.join(other, "token").withColumn("uo", F.when(F.col("c") == F.col("m.c"), F.col("u2")).otherwise(F.col("m.u")))
     rows = rows.where((F.col("u") + F.col("uo")) * num <= (F.col("n") - F.col("u")) * (den - num))
-    return save(rows.select("token", "id", "n", "u", "l", "o", "c"), "rest")
+    return save(rows.select("token", "id", "n", "u", "l", "o", "c", "k"), "rest")
 
 
 def _centres(rows: DataFrame, lot: int) -> DataFrame:
@@ -257,35 +255,34 @@ def jaccard_links(sets: DataFrame, num: int, den: int) -> DataFrame:
     spark = sets.sparkSession
     release(spark)
     comp = spark.createDataFrame([], "id long, component long")
-    tried = spark.createDataFrame([], "a long, b long")
+    tried: DataFrame | None = None
 
     def measure(pairs: DataFrame) -> DataFrame:
         """Overlaps of pairs that were not measured yet; those that link join their components."""
         nonlocal tried, comp
-        known = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        pairs = save(pairs.join(known, ["a", "b"], "left_anti"), "pairs")
+        if tried is not None:
+            known = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            pairs = pairs.join(known, ["a", "b"], "left_anti")
+        pairs = save(pairs, "pairs")
         found = save(_overlaps(pairs, sets), "overlaps")
         links = found.where(_linked(num, den)).select("a", "b")
         if not links.isEmpty():
             comp = _grown(comp, links)
-        tried = tried.unionByName(pairs)
+        tried = pairs if tried is None else tried.unionByName(pairs)
         release(spark)
         return found
 
-    def heavy(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") > HEAVY).select("token")
-
-    rows, before = posts.withColumn("c", F.col("id")), math.inf
+    heavy, rows, before = F.col("k") > HEAVY, posts.withColumn("c", F.col("id")), math.inf
     for lot in range(STAR_ROUNDS):
-        measure(_star_pairs(rows if lot == 0 else rows.join(heavy(rows), "token", "left_semi"), lot, num, den))
+        measure(_star_pairs(rows.where(heavy) if lot else rows, lot, num, den))
         rows = _rest(rows.select("token", "id", "n", "u", "l", "o"), comp, num, den)
-        left = rows.join(heavy(rows), "token", "left_semi").count()
+        left = rows.where(heavy).count()
         # star rounds go on while long lists are left and a round leaves clearly fewer rows of them
         if not left or left > 0.8 * before:
             break
         before = left
     if left:
-        members = rows.join(heavy(rows), "token", "left_semi")
+        members = rows.where(heavy)
         members = save(members.join(_centres(members, 0), "token").select(F.col("p.id").alias("p"), "id", "n", "u", "c").distinct(), "members")
         at = save(_overlaps(members.where("id <> p").select(F.col("id").alias("a"), F.col("p").alias("b")), sets), "overlaps")
         links = at.where(_linked(num, den)).select("a", "b")
@@ -298,15 +295,14 @@ def jaccard_links(sets: DataFrame, num: int, den: int) -> DataFrame:
         a, b = at.alias("a"), at.alias("b")
         pairs = a.join(b, (F.col("a.p") == F.col("b.p")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.c") != F.col("b.c")) & _differ("a", "b", num, den))
         measure(pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct())
-        rows = rows.join(heavy(rows), "token", "left_anti")
         drop(members, at)
-    rows = _open_lists(rows.drop("c"), comp)
+    rows = _open_lists(rows.where(~heavy).drop("c", "k"), comp)
     a, b = rows.alias("a"), rows.alias("b")
     pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.c") != F.col("b.c"))
                    & _compatible(F.col("a.n"), F.col("b.n"), num, den) & _bound(F.col("a.u"), F.col("b.u"), F.col("a.n"), F.col("b.n"), num, den))
     pairs = pairs.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("a.l", "b.l")).alias("l"))
     measure(pairs.where("shared >= l").select("a", "b"))
-    drop(posts, rows)
+    drop(posts)
     return comp.select(F.col("id").alias("node"), "component")
 
 

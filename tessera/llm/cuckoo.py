@@ -143,15 +143,14 @@ def _merge(flush_at: int | None):
 
     def out(index: CuckooIndex) -> pd.DataFrame:
         rows = [(d[:32], int.from_bytes(d[32:], "little"), *v) for d, v in index.items()]
-        frame = pd.DataFrame(rows, columns=["digest", "bytes", "no_id", "doc_id", "row", "size"])
-        return frame.astype({"doc_id": "Int64", "no_id": "bool"})
+        return pd.DataFrame(rows, columns=["digest", "bytes", "no_id", "doc_id", "row", "size"])
 
     def run(it):
         index = CuckooIndex()
         for pdf in it:
             for digest, n, no_id, doc_id, row, size in zip(pdf["digest"], pdf["bytes"], pdf["no_id"], pdf["doc_id"], pdf["row"], pdf["size"]):
                 key = digest + int(n).to_bytes(8, "little")
-                mine = (no_id, 0 if no_id else int(doc_id), int(row), int(size))
+                mine = (bool(no_id), int(doc_id), int(row), int(size))
                 held = index.get(key)
                 if held is None:
                     index.put(key, mine)
@@ -181,7 +180,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", F.unhex(F.sha2(F.col("t").cast("binary"), 256)).alias("digest"), F.octet_length("t").cast("long").alias("bytes"))
     rows = save(rows.withColumn("row", F.monotonically_increasing_id()), "digests")
     parts = max(shuffle_partitions(spark), -(-rows.count() // KEYS_PER_INDEX))
-    single = rows.select("digest", "bytes", F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", F.lit(1).cast("long").alias("size"))
+    # no null goes to pandas: a column of longs with nulls would come as floats, which round ids above 2^53
+    single = rows.select("digest", "bytes", F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "row", F.lit(1).cast("long").alias("size"))
     local = single.mapInPandas(_merge(KEYS_PER_INDEX), _OUT)
     groups = local.repartition(parts, "digest").mapInPandas(_merge(None), _OUT)
     groups = groups.select("digest", "bytes", F.when(~F.col("no_id"), F.col("doc_id")).alias("keep_id"), F.col("row").alias("keep_row"), F.col("size").alias("group_size"))

@@ -6,7 +6,7 @@ n-grams of the documents, summed per document) in packed rows:
 1. Texts are gathered into blocks of some megabytes, one row each.
 2. A block's n-grams of all orders are exploded, hashed and made distinct with their
    counts, and sent to their hash partition: one row per block and partition, sorted
-   hashes as differences.  An n-gram crosses the shuffle once per block, however
+   hashes as an Elias-Fano list.  An n-gram crosses the shuffle once per block, however
    often documents repeat it, so frequent n-grams are no hot keys.
 3. A partition merges its rows into the count table and answers each block with the
    corpus counts of the n-grams it asked for.
@@ -30,8 +30,8 @@ from .common import U64, batches, mix, row_word_offsets, row_words, save, shuffl
 
 ALPHA = 0.4
 UNSEEN = 0.5
-#: Bits of an n-gram's hash.  Among k distinct n-grams, about k / 2^48 share one.
-HASH_BITS = 48
+#: Bits of an n-gram's hash.  Among k distinct n-grams, about k / 2^56 share one.
+HASH_BITS = 56
 BLOCK_BYTES = 8 << 20
 #: n-grams that one partition of the count table is asked for.
 PER_PARTITION = 3_000_000
@@ -40,6 +40,7 @@ ROW_GROUP = 16 << 20
 
 def _blocks(it):
     import pyarrow as pa
+    import zstandard
 
     part, seq = TaskContext.get().partitionId(), 0
     ids: list = []
@@ -48,7 +49,11 @@ def _blocks(it):
     held = n_words = 0
 
     def out():
-        return pa.record_batch([pa.array([(part << 32) + seq], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([b"".join(parts)], pa.binary()), pa.array([held], pa.int64()), pa.array([n_words], pa.int64())], names=["block", "ids", "sizes", "texts", "bytes", "words"])
+        # ids are whole numbers wherever they go; the rows without one are told apart by place
+        known = [0 if i is None else i for i in ids]
+        nameless = [k for k, i in enumerate(ids) if i is None]
+        lists = [pa.array([x], pa.list_(pa.int64())) for x in (known, nameless, sizes)]
+        return pa.record_batch([pa.array([(part << 32) + seq], pa.int64()), *lists, pa.array([zstandard.compress(b"".join(parts), 3)], pa.binary()), pa.array([held], pa.int64()), pa.array([n_words], pa.int64())], names=["block", "ids", "nameless", "sizes", "texts", "bytes", "words"])
 
     for batch in it:
         docs, texts = batches(batch, ["doc_id", "text"])
@@ -68,12 +73,15 @@ def _blocks(it):
         yield out()
 
 
-def _grams(texts: bytes, sizes: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+def _grams(packed: bytes, sizes: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """(words per document, per order the hash that ends at each word, first of each document at 0).
 
     Where a document has too few words before, the hash is of the words there are; such
     places are not looked up.
     """
+    import zstandard
+
+    texts = zstandard.decompress(packed) if sizes.sum() else b""
     buf, offsets = np.frombuffer(texts, np.uint8), np.concatenate([[0], np.cumsum(sizes)])
     hashes, counts = [], []
     for _, _, h, at in row_words(buf, offsets):
@@ -98,18 +106,26 @@ def _keys(grams: list[np.ndarray], place: np.ndarray) -> np.ndarray:
 
 
 def pack(keys: np.ndarray) -> bytes:
-    """Sorted distinct keys: width, then differences of that many bytes."""
-    d = np.diff(keys, prepend=U64(0))
-    width = max(1, (int(d.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([width]) + np.ascontiguousarray(d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    """Sorted distinct keys as an Elias-Fano list: count, low bits, the low bits of all, the high parts as steps of a bit row."""
+    n = len(keys)
+    top = int(keys[-1]) + 1 if n else 1
+    low = max(0, (top // max(1, n)).bit_length() - 1)
+    bits = np.unpackbits(keys.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :low]
+    high = (keys >> U64(low)).astype(np.int64) + np.arange(n)
+    steps = np.zeros(int(high[-1]) + 1 if n else 0, np.uint8)
+    steps[high] = 1
+    return n.to_bytes(8, "little") + bytes([low]) + np.packbits(bits.ravel()).tobytes() + np.packbits(steps).tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
-    width = data[0]
-    raw = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
-    d = np.zeros((len(raw), 8), np.uint8)
-    d[:, :width] = raw
-    return np.cumsum(d.view("<u8").ravel().astype(U64), dtype=U64)
+    n, low = int.from_bytes(data[:8], "little"), data[8]
+    raw = np.frombuffer(data, np.uint8, offset=9)
+    cut = -(-n * low // 8)
+    bits = np.zeros((n, 64), np.uint8)
+    bits[:, :low] = np.unpackbits(raw[:cut], count=n * low).reshape(n, low)
+    steps = np.flatnonzero(np.unpackbits(raw[cut:]))[:n]
+    high = (steps - np.arange(n)).astype(U64)
+    return np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel().astype(U64) | (high << U64(low))
 
 
 def pack_counts(n: np.ndarray) -> bytes:
@@ -170,11 +186,17 @@ def _table(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"bucket": [int(pdf["bucket"].iloc[0])], "n": [len(table)], "keys": [pack(table)], "counts": [pack_counts(total)]})
 
 
+def _ids(ids, nameless) -> pd.arrays.IntegerArray:
+    gone = np.zeros(len(ids), bool)
+    gone[np.asarray(nameless, np.int64)] = True
+    return pd.arrays.IntegerArray(np.asarray(ids, np.int64), gone)
+
+
 def _score(order: int, n_all: int):
     def run(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = []
         answers = answers.sort_values("bucket")
-        for ids, sizes, texts in zip(blocks["ids"], blocks["sizes"], blocks["texts"]):
+        for ids, nameless, sizes, texts in zip(blocks["ids"], blocks["nameless"], blocks["sizes"], blocks["texts"]):
             n, grams, place = _grams(texts, np.asarray(sizes, np.int64), order)
             doc = np.repeat(np.arange(len(n)), n)
             every = [np.flatnonzero(place >= k) for k in range(order)]
@@ -200,7 +222,7 @@ def _score(order: int, n_all: int):
                 longer = np.log(np.maximum(c[k], 1)) - np.log(np.maximum(history, 1))
                 s = np.where(place >= k, np.where(seen, longer, np.log(ALPHA) + s), s)
             total = np.bincount(doc, s, len(n))
-            out.append(pd.DataFrame({"doc_id": pd.array([None if i is None or i != i else int(i) for i in ids], "Int64"), "n_words": n.astype(np.int64), "log_score": total, "mean_log_score": np.where(n > 0, total / np.maximum(n, 1), np.nan)}))
+            out.append(pd.DataFrame({"doc_id": _ids(ids, nameless), "n_words": n.astype(np.int64), "log_score": total, "mean_log_score": np.where(n > 0, total / np.maximum(n, 1), np.nan)}))
         return pd.concat(out) if out else pd.DataFrame({"doc_id": pd.array([], "Int64"), "n_words": np.zeros(0, np.int64), "log_score": np.zeros(0), "mean_log_score": np.zeros(0)})
 
     return run
@@ -208,7 +230,7 @@ def _score(order: int, n_all: int):
 
 def _asked(docs: DataFrame, order: int) -> tuple[DataFrame, DataFrame, int]:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = save(base.mapInArrow(_blocks, "block long, ids array<long>, sizes array<long>, texts binary, bytes long, words long"), "lm-blocks", row_group=ROW_GROUP)
+    blocks = save(base.mapInArrow(_blocks, "block long, ids array<long>, nameless array<long>, sizes array<long>, texts binary, bytes long, words long"), "lm-blocks", row_group=ROW_GROUP)
     size = blocks.agg(F.sum("bytes")).first()[0] or 0
     parts = max(shuffle_partitions(docs.sparkSession), size // 6 * order // PER_PARTITION)
     bits = min(24, max(0, int(parts - 1).bit_length()))
@@ -216,13 +238,13 @@ def _asked(docs: DataFrame, order: int) -> tuple[DataFrame, DataFrame, int]:
     return blocks, asked, parts
 
 
-def count_tables(docs: DataFrame, order: int = 2) -> DataFrame:
+def count_tables(docs: DataFrame, order: int = 3) -> DataFrame:
     """The corpus counts of n-grams of all orders up to ``order``: bucket, n, packed keys, packed counts."""
     _, asked, _ = _asked(docs, order)
     return asked.groupBy("bucket").applyInPandas(_table, "bucket int, n long, keys binary, counts binary")
 
 
-def score_documents(docs: DataFrame, order: int = 2) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = 3) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, log_score, mean_log_score.
 
     ``log_score`` is the sum of ln S over the words (runs outside [\\x20\\x09-\\x0D], A-Z

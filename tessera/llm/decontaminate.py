@@ -5,9 +5,13 @@ document is within k edits of an item of m bytes, the two share at least
 ``m - q + 1 - k q`` of the item's q-grams, and the diagonals (place in the document less
 place in the item) of those grams lie within k of one another.  So shared q-grams are
 counted in bands of diagonals that overlap by the largest k; a band that reaches the
-item's bound is kept and verified by banded alignment of the whole item.  The grams
-of the items are an index of bounded size: larger benchmarks are taken in blocks, each
-of which sees all documents.  Documents never leave their task, so neither copies nor
+item's bound is kept and verified by banded alignment of the whole item.  Grams are
+``Q`` bytes long, shorter for items whose bound would else not be above 0, so every item
+keeps its whole budget.  An occurrence holds one at least of an item's rarest grams (all
+but bound - 1 of them); only these find (document, item) pairs, so openings that many items
+share cost nothing, and the other grams are counted pair by pair, in slices of the text
+where they are many.  The grams of the items are an index of bounded size: larger
+benchmarks are taken in blocks, each of which sees all documents.  Documents never leave their task, so neither copies nor
 a passage that many documents share make a hot group.
 """
 
@@ -26,6 +30,8 @@ RATE = 0.05
 BLOCK_BYTES = 8 << 20
 #: Bytes of text scanned at a time.
 WINDOW = 1 << 20
+#: Pairs of places that are looked at together.
+SLICE = 1 << 20
 
 
 def _match_type():
@@ -74,99 +80,157 @@ def edits(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int,
     return int(row[best]), best + low + m
 
 
-class Index:
-    """The q-grams of a block of items."""
+class Grams:
+    """The q-grams of items with the same q: (item number, folded bytes, edits k)."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int = Q, rate: float = RATE):
-        self.q, self.rate, self.short = q, rate, []
-        self.ids, self.texts, self.k, self.bound = [], [], [], []
-        grams, owner, place = [], [], []
-        for item, text in items:
-            folded = fold(np.frombuffer((text or "").strip().encode(), np.uint8))[0]
-            if not len(folded):
-                continue
-            m = len(folded)
-            k = int(rate * m)
-            while k and m - q + 1 - k * q < 1:
-                k -= 1
-            if m < q:
-                self.short.append((item, folded.tobytes()))
-                continue
-            h = gram_hashes(folded, q)
-            grams.append(h)
-            owner.append(np.full(len(h), len(self.ids)))
-            place.append(np.arange(len(h)))
-            self.ids.append(item)
-            self.texts.append(folded)
-            self.k.append(k)
-            # a gram that the item repeats is counted once
-            self.bound.append(max(1, len(np.unique(h)) - k * q))
-        self.k_most = max(self.k, default=0)
+    def __init__(self, q: int, items: list[tuple[int, np.ndarray, int]]):
+        self.q, self.n = q, len(items)
+        self.numbers = np.array([i for i, _, _ in items])
+        self.lengths = [len(t) for _, t, _ in items]
+        self.k_most = max(k for _, _, k in items)
         self.step = 4 * (self.k_most + 1)
-        h = np.concatenate(grams) if grams else np.zeros(0, U64)
-        order = np.argsort(h, kind="stable")
-        h = h[order]
-        self.owner = np.concatenate(owner)[order] if grams else np.zeros(0, np.int64)
-        self.place = np.concatenate(place)[order] if grams else np.zeros(0, np.int64)
-        self.grams, self.first = np.unique(h, return_index=True)
-        self.last = np.append(self.first[1:], len(h))
+        hashes = [gram_hashes(t, q) for _, t, _ in items]
+        self.grams, back = np.unique(np.concatenate(hashes), return_inverse=True)
+        cuts = np.cumsum([0, *map(len, hashes)])
+        # per item: its distinct grams and their places
+        self.own, self.places, self.bound = [], [], []
+        for k, (_, _, edits_) in enumerate(items):
+            g = back[cuts[k] : cuts[k + 1]]
+            order = np.argsort(g, kind="stable")
+            own, first = np.unique(g[order], return_index=True)
+            self.own.append(own)
+            self.places.append(np.split(order, first[1:]))
+            # a gram that the item repeats is counted once
+            self.bound.append(max(1, len(own) - edits_ * q))
+        holders = np.bincount(np.concatenate(self.own), minlength=len(self.grams))
+        seed_gram, seed_item = [], []
+        for k, own in enumerate(self.own):
+            rare = own[np.lexsort((own, holders[own]))][: len(own) - self.bound[k] + 1]
+            seed_gram.append(rare)
+            seed_item.append(np.full(len(rare), k))
+        seed_gram, seed_item = np.concatenate(seed_gram), np.concatenate(seed_item)
+        order = np.argsort(seed_gram, kind="stable")
+        self.seed_item = seed_item[order]
+        self.seed_at = np.searchsorted(seed_gram[order], np.arange(len(self.grams) + 1))
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.grams & U64((1 << 20) - 1)).astype(np.int64)] = True
 
-    def _hits(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in text, item, place in item) of every shared gram, text read in windows."""
-        spots, at = [], []
+    def _hits(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in text, number of the gram) of every gram of the items, text read in windows."""
+        spots, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for a in range(0, max(1, len(text) - self.q + 1), WINDOW):
             h = gram_hashes(text[a : a + WINDOW + self.q - 1], self.q)
             some = np.flatnonzero(self.seen[(h & U64((1 << 20) - 1)).astype(np.int64)])
-            if not len(some) or not len(self.grams):
+            if not len(some):
                 continue
             g = np.minimum(np.searchsorted(self.grams, h[some]), len(self.grams) - 1)
             real = self.grams[g] == h[some]
             spots.append(some[real] + a)
             at.append(g[real])
-        if not spots:
-            return (np.zeros(0, np.int64),) * 3
-        spot, g = np.concatenate(spots), np.concatenate(at)
-        n = self.last[g] - self.first[g]
-        which = np.repeat(self.first[g], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(spot, n), self.owner[which], self.place[which]
-
-    def regions(self, text: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Rows (document, item, low, high) of bands that reach their item's bound; documents begin at ``starts``."""
-        spot, item, place = self._hits(text)
-        if not len(spot):
-            return np.zeros((0, 4), np.int64)
-        doc = np.searchsorted(starts, spot, "right") - 1
-        ends = np.append(starts[1:], len(text))
-        whole = spot + self.q <= ends[doc]  # a gram across two documents is none
-        spot, item, place, doc = spot[whole], item[whole], place[whole], doc[whole]
-        # most (document, item) pairs share too few grams altogether
-        pair = doc * len(self.ids) + item
-        bound = np.array(self.bound)
-        pairs, back, n = np.unique(pair, return_inverse=True, return_counts=True)
-        enough = (n >= bound[pairs % len(self.ids)])[back]
-        spot, item, place, doc, pair = spot[enough], item[enough], place[enough], doc[enough], pair[enough]
-        if not len(spot):
-            return np.zeros((0, 4), np.int64)
-        diagonal = spot - starts[doc] - place
+        return np.concatenate(spots), np.concatenate(at)
+
+    def _pairs(self, doc: np.ndarray, gram: np.ndarray) -> np.ndarray:
+        """document * n + item of the pairs that share a rare gram, ascending."""
+        n = self.seed_at[gram + 1] - self.seed_at[gram]
+        doc, gram, n = doc[n > 0], gram[n > 0], n[n > 0]
+        if not len(doc):
+            return np.zeros(0, np.int64)
+        # a gram of a document is asked once
+        _, first = np.unique(doc * len(self.grams) + gram, return_index=True)
+        doc, gram, n = doc[first], gram[first], n[first]
+        found, ends, a = [], np.cumsum(n), 0
+        while a < len(n):
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] - n[a] + SLICE, "right")))
+            which = np.repeat(self.seed_at[gram[a:b]], n[a:b]) + np.arange(n[a:b].sum()) - np.repeat(ends[a:b] - n[a:b] - (ends[a] - n[a]), n[a:b])
+            found.append(np.unique(np.repeat(doc[a:b], n[a:b]) * self.n + self.seed_item[which]))
+            a = b
+        return np.unique(np.concatenate(found))
+
+    def _bands(self, item: int, spot: np.ndarray, gram: np.ndarray):
+        """(low, high) of the bands of diagonals of one document that reach the bound; grams sorted, with their spots."""
+        own, places, bound = self.own[item], self.places[item], self.bound[item]
+        left, right = np.searchsorted(gram, own, "left"), np.searchsorted(gram, own, "right")
+        here = np.flatnonzero(right > left)
+        if len(here) < bound:
+            return
+        total = int(sum((right[g] - left[g]) * len(places[g]) for g in here))
+        if total > SLICE:  # in halves of the text, which overlap by more than an occurrence
+            low, high = int(spot.min()), int(spot.max())
+            over = self.lengths[item] + 2 * self.k_most + 2 * self.step
+            if high - low > 4 * over:
+                middle = (low + high) // 2
+                for part in (spot < middle + over, spot >= middle):
+                    yield from self._bands(item, spot[part], gram[part])
+                return
+        at = np.concatenate([np.repeat(spot[left[g] : right[g]], len(places[g])) for g in here])
+        place = np.concatenate([np.tile(places[g], right[g] - left[g]) for g in here])
+        kind = np.concatenate([np.full((right[g] - left[g]) * len(places[g]), g) for g in here])
+        diagonal = at - place
         band = diagonal // self.step
         again = diagonal - band * self.step < self.k_most  # also of the band below, which overlaps this one
-        pair = np.concatenate([pair, pair[again]])
-        place, diagonal = np.concatenate([place, place[again]]), np.concatenate([diagonal, diagonal[again]])
         band = np.concatenate([band, band[again] - 1])
-        order = np.lexsort((place, band, pair))
-        pair, band, place, diagonal = pair[order], band[order], place[order], diagonal[order]
-        new = np.ones(len(pair), bool)
-        new[1:] = (pair[1:] != pair[:-1]) | (band[1:] != band[:-1])
+        kind, diagonal = np.concatenate([kind, kind[again]]), np.concatenate([diagonal, diagonal[again]])
+        order = np.lexsort((kind, band))
+        band, kind, diagonal = band[order], kind[order], diagonal[order]
+        new = np.ones(len(band), bool)
+        new[1:] = band[1:] != band[:-1]
         first = np.flatnonzero(new)
         distinct = new.copy()
-        distinct[1:] |= place[1:] != place[:-1]
+        distinct[1:] |= kind[1:] != kind[:-1]
         counts = np.add.reduceat(distinct.astype(np.int64), first)
-        # places of one gram within an item count once through the bound, so repeats only help
-        kept = counts >= bound[pair[first] % len(self.ids)]
         low, high = np.minimum.reduceat(diagonal, first), np.maximum.reduceat(diagonal, first)
-        return np.stack([pair[first] // len(self.ids), pair[first] % len(self.ids), low, high], 1)[kept]
+        for k in np.flatnonzero(counts >= bound):
+            yield int(low[k]), int(high[k])
+
+    def regions(self, text: np.ndarray, starts: np.ndarray):
+        """(document, item number, low, high) of bands that reach their item's bound; documents begin at ``starts``."""
+        spot, gram = self._hits(text)
+        doc = np.searchsorted(starts, spot, "right") - 1
+        ends = np.append(starts[1:], len(text))
+        whole = spot + self.q <= ends[doc]  # a gram across two documents is none
+        spot, gram, doc = spot[whole], gram[whole], doc[whole]
+        pairs = self._pairs(doc, gram)
+        if not len(pairs):
+            return
+        order = np.lexsort((spot, gram, doc))
+        spot, gram, doc = spot[order], gram[order], doc[order]
+        for d in np.unique(pairs // self.n).tolist():
+            a, b = np.searchsorted(doc, [d, d + 1])
+            for pair in pairs[np.searchsorted(pairs, d * self.n) : np.searchsorted(pairs, (d + 1) * self.n)].tolist():
+                item = pair - d * self.n
+                for low, high in self._bands(item, spot[a:b] - starts[d], gram[a:b]):
+                    yield d, int(self.numbers[item]), low, high
+
+
+class Index:
+    """The items of a block by the length of their grams; items without edits that are shorter than q are sought as they are."""
+
+    def __init__(self, items: list[tuple[int, str]], q: int = Q, rate: float = RATE):
+        if not 0 <= rate < 1:
+            raise ValueError("rate is a share of an item's bytes")
+        self.short: list[tuple[int, bytes]] = []
+        self.ids, self.texts, self.k = [], [], []
+        by: dict[int, list[tuple[int, np.ndarray, int]]] = {}
+        for item, text in items:
+            folded = fold(np.frombuffer((text or "").strip().encode(), np.uint8))[0]
+            m = len(folded)
+            if not m:
+                continue
+            k = int(rate * m)
+            if not k and m < q:
+                self.short.append((item, folded.tobytes()))
+                continue
+            # the bound m - size + 1 - k size is above 0
+            size = min(q, m // (k + 1))
+            by.setdefault(size, []).append((len(self.ids), folded, k))
+            self.ids.append(item)
+            self.texts.append(folded)
+            self.k.append(k)
+        self.parts = [Grams(size, some) for size, some in sorted(by.items())]
+
+    def regions(self, text: np.ndarray, starts: np.ndarray):
+        for part in self.parts:
+            yield from part.regions(text, starts)
 
     def verify(self, text: np.ndarray, item: int, low: int, high: int) -> tuple[int, int, int] | None:
         """(edits, start, end) of an occurrence in a document's folded text, if within the item's budget."""
@@ -200,7 +264,9 @@ def _scan(index: Index):
                 at = np.searchsorted(place, offsets[i:j] - offsets[i])
                 stops = np.append(at[1:], len(folded))
                 found: dict[tuple[int, int], tuple[int, int, int]] = {}
-                for doc, item, low, high in index.regions(folded, at).tolist():
+                for doc, item, low, high in index.regions(folded, at):
+                    if (best := found.get((doc, item))) and not best[0] and best[1] <= low:
+                        continue  # an exact occurrence further ahead
                     hit = index.verify(folded[at[doc] : stops[doc]], item, low, high)
                     if hit and (found.get((doc, item)) is None or hit < found[doc, item]):
                         found[doc, item] = hit
@@ -267,7 +333,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float
     ``items`` lists the benchmark items that the text holds within ``rate`` edits per
     byte, ascending, and ``spans`` item:start:end:edits in code points, comma-joined.  Null
     or empty text, and an empty benchmark, give no items.  Null items and ids of items
-    are ignored; items shorter than q bytes must occur exactly.  Rows that repeat an id
+    are ignored.  An item of m bytes (folded) may have the whole part of ``rate`` m edits, so
+    short ones must occur exactly; it is found wherever its grams are, whatever its length.  Rows that repeat an id
     are judged one by one.  Other columns are not read.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -298,10 +365,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float
 
 def decontaminated_documents(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, columns unchanged."""
-    columns = docs.columns
-    numbered = save(docs.withColumn("__row", F.monotonically_increasing_id()), "decontaminate")
-    kept = numbered
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    text = F.col(names[docs.columns.index("text")]).cast("string").alias("text")
+    kept = numbered = save(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "decontaminate")
     for _, index in _indexes(benchmark, q, rate):
-        hits = numbered.select(F.col("__row").alias("row"), F.col("text").cast("string").alias("text")).mapInArrow(_scan(index), "row long, item_id long, edits int, start long, end long")
-        kept = kept.join(save(hits.select(F.col("row").alias("__row")).distinct(), "leaks"), "__row", "left_anti")
-    return kept.select(*[F.col(f"`{c}`") for c in columns])
+        hits = numbered.select("row", text).mapInArrow(_scan(index), "row long, item_id long, edits int, start long, end long")
+        kept = kept.join(save(hits.select("row").distinct(), "leaks"), "row", "left_anti")
+    return kept.select(*names).toDF(*docs.columns)

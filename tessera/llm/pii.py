@@ -2,8 +2,8 @@
 
 Base identifiers are found in the text as it stands.  Then transducers rewrite the text
 where a trigger says it may hide more: look-alike letters and digits become ASCII and
-invisible characters go, spelled digits become digits, and written-out at and dot become
-signs.  Every character of the rewritten text carries the source span it came from, so a
+invisible characters go, spelled digits (among others or not) become digits, character
+references and written-out or spaced at and dot become signs.  Every character of the rewritten text carries the source span it came from, so a
 find there is mapped back to source characters.  Only finds that contain a rewritten
 character and that no base span of their kind covers are added, beside base spans that
 they extend.
@@ -94,13 +94,24 @@ _WORD = "(?:" + "|".join(sorted(_VALUE, key=len, reverse=True)) + ")"
 _POINT = r"(?:dot|point|punkt|punto)"
 _OPEN, _CLOSE = r"[(\[{<]", r"[)\]}>]"
 _ODD = re.compile("[^\x00-ɏ]|­")
-_SPELLED = re.compile(rf"(?<!\w)(?:plus[\s-]+)?{_WORD}(?:[\s,.-]{{1,3}}(?:{_POINT}[\s-]+)?{_WORD}){{3,}}(?!\w)", re.I)
-_SPELLED_PART = re.compile(rf"(plus)|({_WORD})(?!\w)|{_POINT}", re.I)
+_DIGIT = rf"(?:{_WORD}|[0-9]+)"
+_SPELLED = re.compile(rf"(?<!\w)(?:plus[\s-]+|\+\s?)?{_DIGIT}(?:[\s,.-]{{1,3}}(?:{_POINT}[\s-]+)?{_DIGIT}){{3,}}+(?!\w)", re.I)
+_SPELLED_PART = re.compile(rf"(plus|\+)|({_WORD})(?!\w)|({_POINT}|(?<=[0-9])\.(?=[0-9]))|([0-9])", re.I)
+_LETTER = re.compile(r"[^\W\d_]")
+# Words before a bare "at" that is no sign.
+_NO_LOCAL = "a|an|and|are|available|be|been|but|by|call|check|done|find|found|go|he|here|him|her|home|hosted|how|i|in|info|is|it|live|located|look|looked|looking|me|meet|more|not|now|of|on|or|out|read|see|seen|she|sold|stay|that|the|them|then|there|these|they|this|those|to|up|us|visit|was|we|were|what|when|where|which|who|work|working|works|you"
+_ENTITY = re.compile(r"&(?:#0*(?:64|46)|#x0*(?:40|2e)|commat|period);", re.I)
+_LABELS = r"[A-Za-z0-9-]+(?:(?:\.|\s{1,2}\.\s{1,2})[A-Za-z0-9-]+)*(?:\.|\s{1,2}\.\s{1,2})[A-Za-z]{2,}"
+_PROSE = re.compile(rf"(?<![\w.%+-])(?:{_NO_LOCAL})\Z", re.I)
+_SPACED_AT = re.compile(rf"(?<=[A-Za-z0-9])(?:\s+@\s*|\s*@\s+)(?=[A-Za-z0-9-]+\s{{0,2}}\.\s{{0,2}}[A-Za-z0-9])")
+_PLAIN_AT = re.compile(rf"(?<=[A-Za-z0-9])\s+at\s+(?={_LABELS}(?![\w-]))", re.I)
+_SPACED_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:(?:\s{1,2}\.\s{0,2}|\.)[A-Za-z0-9-]+)*?\s{1,2}\.\s{1,2}[A-Za-z]{2,}(?![A-Za-z0-9-])")
+_SPACED_DOT = re.compile(r"\s+\.\s*|\.\s+")
 _MARKED_AT = re.compile(rf"\s*{_OPEN}\s*(?:at|@|arroba|arobase)\s*{_CLOSE}\s*", re.I)
 _MARKED_DOT = re.compile(rf"\s*{_OPEN}\s*(?:{_POINT}|\.)\s*{_CLOSE}\s*", re.I)
 _BARE_AT = re.compile(rf"(?<=[A-Za-z0-9])\s+at\s+(?=[A-Za-z0-9-]+(?:\s+{_POINT}\s+|\s*{_OPEN}\s*(?:{_POINT}|\.)\s*{_CLOSE}\s*)[A-Za-z])", re.I)
 _BARE_DOT = re.compile(rf"(?<=[A-Za-z0-9])\s+{_POINT}\s+(?=[A-Za-z0-9])", re.I)
-_TRIGGER = re.compile(rf"{_OPEN}\s*(?:at|@|arroba|arobase|{_POINT}|\.)\s*{_CLOSE}|\s{_POINT}\s|(?<!\w){_WORD}[\s,.-]{{1,3}}{_WORD}[\s,.-]{{1,3}}{_WORD}(?!\w)", re.I)
+_TRIGGER = re.compile(rf"{_ENTITY.pattern}|\s@|@\s|\sat\s+[a-z0-9-]+\s{{0,2}}\.|[0-9][\s,.-]{{1,3}}{_WORD}(?!\w)|(?<!\w){_WORD}[\s,.-]{{1,3}}[0-9]|{_OPEN}\s*(?:at|@|arroba|arobase|{_POINT}|\.)\s*{_CLOSE}|\s{_POINT}\s|(?<!\w){_WORD}[\s,.-]{{1,3}}{_WORD}[\s,.-]{{1,3}}{_WORD}(?!\w)", re.I)
 
 
 class Rewritten:
@@ -161,15 +172,18 @@ def rewrite(text: str) -> Rewritten | None:
         for k in range(1, len(out.text)):
             if out.start[k] != out.end[k - 1]:  # something invisible went from here
                 out.new[k - 1] = out.new[k] = 1
+    out.splice([(*m.span(), [("@" if m[0].strip("&#;").lower().lstrip("0x") in ("64", "40", "commat") else ".", *m.span())]) for m in _ENTITY.finditer(out.text)])
     edits = []
     for m in _SPELLED.finditer(out.text):
-        chars = []
-        for p in _SPELLED_PART.finditer(out.text, m.start(), m.end()):
-            chars.append(("+" if p[1] else _VALUE[p[2].lower()] if p[2] else ".", *p.span()))
-        edits.append((m.start(), m.end(), chars))
+        if _LETTER.search(m[0]):  # digits alone are left as they stand
+            kinds = ((p, "+" if p[1] else _VALUE[p[2].lower()] if p[2] else "." if p[3] else p[4]) for p in _SPELLED_PART.finditer(out.text, m.start(), m.end()))
+            edits.append((m.start(), m.end(), [(c, *p.span()) for p, c in kinds]))
     out.splice(edits)
-    for pattern, sign in ((_MARKED_AT, "@"), (_BARE_AT, "@"), (_MARKED_DOT, "."), (_BARE_DOT, ".")):
+    for pattern, sign in ((_MARKED_AT, "@"), (_BARE_AT, "@"), (_MARKED_DOT, "."), (_BARE_DOT, "."), (_SPACED_AT, "@")):
         out.splice([(*m.span(), [(sign, *m.span())]) for m in pattern.finditer(out.text)])
+    out.splice([(*m.span(), [("@", *m.span())]) for m in _PLAIN_AT.finditer(out.text) if not _PROSE.search(out.text, max(0, m.start() - 12), m.start())])
+    dots = [(m.start() + d.start(), m.start() + d.end()) for m in _SPACED_DOMAIN.finditer(out.text) for d in _SPACED_DOT.finditer(m[0])]
+    out.splice([(a, b, [(".", a, b)]) for a, b in dots])
     return out
 
 

@@ -19,8 +19,8 @@ from .common import LOWER, SLICE, SPACE, batches, row_slices, span_hashes, utf8,
 from .labelled import fold_of, labelled_sample
 
 PASSAGE = 64
-#: Bound of the labelled rows a model is fitted on.
-SAMPLE = 4000
+#: Bounds of the labelled rows a model is fitted on, and of their bytes of text (their features take some four times as much).
+SAMPLE, SAMPLE_BYTES = 4000, 32 << 20
 ENCODED, GATE, EPOCHS, BAGS = 24, 16, 12, 32
 PAIRS = 48
 
@@ -87,11 +87,25 @@ def passage_features(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate([np.sqrt(kinds / length[:, None]), extra, np.sqrt(pairs)], 1).astype(np.float32), n_pass
 
 
+def _whole_passages(text: np.ndarray, a: int, size: int) -> int:
+    """End of a window from ``a`` on, of some ``size`` bytes, that holds whole passages or the rest of the text."""
+    while True:
+        b = min(len(text), a + size)
+        while b < len(text) and not SPACE[text[b]]:
+            b += 1  # a word is never cut
+        if b == len(text):
+            return b
+        s, _ = words(text[a:b], np.array([0, b - a]))
+        if len(s) > PASSAGE:
+            return a + int(s[(len(s) - 1) // PASSAGE * PASSAGE])  # the next passage begins here
+        size *= 2
+
+
 def bags(buf: np.ndarray, offsets: np.ndarray):
     """Per group of rows i..j: features of all their passages and passages per row.
 
-    A row above SLICE bytes is read in windows that end at white space, so its passages
-    are cut anew at each window.
+    A row above SLICE bytes is read in windows that end with a whole passage, so its
+    passages are the same whatever SLICE is.
     """
     for i, j in row_slices(offsets):
         part = buf[offsets[i] : offsets[j]]
@@ -100,9 +114,7 @@ def bags(buf: np.ndarray, offsets: np.ndarray):
             continue
         found, a = [], 0
         while a < len(part):
-            b = min(len(part), a + SLICE)
-            while b < len(part) and not SPACE[part[b]]:
-                b += 1
+            b = _whole_passages(part, a, SLICE)
             found.append(passage_features(part[a:b], np.array([0, b - a]))[0])
             a = b
         x = np.concatenate(found)
@@ -198,8 +210,8 @@ def _features(it):
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 3, held: int = 1, sample: int = SAMPLE) -> Model:
-    """A model of ``label``, from at most ``sample`` rows outside fold ``held``.  Without rows: 0.5 for all."""
-    rows = labelled_sample(docs, labels, label, folds, held, True, sample)
+    """A model of ``label``, from at most ``sample`` rows and SAMPLE_BYTES of text outside fold ``held`` (rows that repeat id and text count once).  Without rows: 0.5 for all."""
+    rows = labelled_sample(docs, labels, label, folds, held, True, sample, SAMPLE_BYTES)
     got = rows.mapInArrow(_features, "x binary, y int").toPandas()
     xs = [np.frombuffer(b, "<f4").reshape(-1, WIDTH) for b in got["x"]]
     order = sorted(range(len(xs)), key=lambda i: (got["y"][i], xs[i].tobytes()[:4096], len(xs[i])))  # whatever order the tasks ended in

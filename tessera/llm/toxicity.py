@@ -1,13 +1,13 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 Texts are folded (A-Z lower-cased, white space one space).  A feature is the presence of
-a character n-gram (``SIZES`` bytes long).  From at most ``SAMPLE`` labelled rows, each
-n-gram gets its log-count ratio r between the classes, with smoothing; n-grams
-whose ratio is far from 0, by more than chance among so many, are the features, at most
-``FEATURES`` of the surest.  The counts are made in the tasks and by a keyed sum; the driver only
-gets the features and the sample's rows over them.  A logistic model is then trained
-on presence times r.  Scoring is one scan: n-grams of whole texts are looked up in the
-feature table (bounded by ``FEATURES``).
+a character n-gram (``SIZES`` bytes long); every n-gram counts, by the cell of 2^``BITS``
+that its hash names, so n-grams that share a cell are one feature.  From labelled rows
+(at most ``SAMPLE``, with ``SAMPLE_BYTES`` of text) each cell gets its log-count ratio
+r between the classes, smoothed by ``SMOOTH`` rows of the classes' shares, so a rare
+n-gram has a ratio near 0.  The counts are made in the tasks and by a keyed sum.  A
+logistic model is then trained on presence times r with a quadratic penalty.  Scoring is
+one scan; the model is one number per cell.
 """
 
 from __future__ import annotations
@@ -21,142 +21,115 @@ from .decontaminate import fold
 from .labelled import fold_of, labelled_sample
 
 SIZES = (4, 5)
-#: Bounds of the labelled rows and of the features.
-SAMPLE, FEATURES = 8000, 20_000
-LEAST_ROWS, LEAST_RATIO, LEAST_Z, SMOOTH = 6, 1.2, 6.5, 1.0
+BITS = 22
+#: Bounds of the labelled rows and of their bytes of text.
+SAMPLE, SAMPLE_BYTES = 8000, 12 << 20
+SMOOTH, PENALTY, STEPS = 30.0, 1e-3, 80
 WINDOW = 1 << 20
 
 
-def gram_sets(buf: np.ndarray, offsets: np.ndarray, keep=None):
-    """Per row the sorted distinct hashes of its n-grams (those that ``keep`` passes)."""
+def gram_sets(buf: np.ndarray, offsets: np.ndarray):
+    """Per row the sorted distinct cells of its n-grams."""
     for i, j in row_slices(offsets, WINDOW):
-        parts = [[] for _ in range(j - i)]
-        source = buf[offsets[i] : offsets[j]]
-        folded, place = fold(source)
+        folded, place = fold(buf[offsets[i] : offsets[j]])
         at = np.searchsorted(place, offsets[i : j + 1] - offsets[i])
-        for a in range(0, max(1, len(folded)), WINDOW):
-            for q in SIZES:
-                h = gram_hashes(folded[a : a + WINDOW + q - 1], q)
-                spots = np.arange(len(h)) if keep is None else np.flatnonzero(keep.maybe(h))
-                h = h[spots] ^ U64(q)
-                spots = spots + a
-                doc = np.searchsorted(at, spots, "right") - 1
-                whole = spots + q <= at[np.minimum(doc + 1, j - i)]
-                h, doc = h[whole], doc[whole]
-                if not len(h):
-                    continue
-                cuts = np.flatnonzero(np.diff(doc)) + 1
-                for x, d in zip(np.split(h, cuts), doc[np.concatenate([[0], cuts])]):
-                    parts[d].append(np.unique(x))
-        for p in parts:
-            yield np.unique(np.concatenate(p)) if p else np.zeros(0, U64)
-
-
-class Features:
-    """Sorted n-gram hashes with a bit filter in front."""
-
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = np.sort(hashes.astype(U64))
-        self.bits = np.zeros(1 << 20, bool)
-        for q in SIZES:
-            self.bits[((self.hashes ^ U64(q)) & U64((1 << 20) - 1)).astype(np.int64)] = True
-
-    def maybe(self, h: np.ndarray) -> np.ndarray:
-        return self.bits[(h & U64((1 << 20) - 1)).astype(np.int64)]
-
-    def indices(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.hashes) or not len(h):
-            return np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return at[self.hashes[at] == h]
+        cells = [((gram_hashes(folded, q) ^ U64(q)) >> U64(64 - BITS)).astype(np.int32) if len(folded) <= 2 * WINDOW else None for q in SIZES]
+        for k in range(j - i):
+            a, b = int(at[k]), int(at[k + 1])
+            parts = []
+            for q, x in zip(SIZES, cells):
+                if x is not None:
+                    parts.append(x[a : max(a, b - q + 1)])
+                else:  # a very long row, alone in its slice
+                    for w in range(a, max(a, b - q + 1), WINDOW):
+                        h = gram_hashes(folded[w : min(b, w + WINDOW + q - 1)], q)
+                        parts.append(np.unique(((h ^ U64(q)) >> U64(64 - BITS)).astype(np.int32)))
+            yield np.unique(np.concatenate(parts))
 
 
 class Model:
-    def __init__(self, features: Features, weights: np.ndarray, bias: float):
-        self.features, self.weights, self.bias = features, weights, bias
+    def __init__(self, weights: np.ndarray, bias: float):
+        """``weights``: one per cell, its ratio included."""
+        self.weights, self.bias = weights.astype(np.float32), float(bias)
 
     def score(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        z = [self.bias + self.weights[self.features.indices(s)].sum() for s in gram_sets(buf, offsets, self.features)]
+        z = [self.bias + self.weights[s].sum(dtype=np.float64) for s in gram_sets(buf, offsets)]
         return 0.5 * (1 + np.tanh(0.5 * np.array(z, float)))
 
 
 def _counts(it):
     import pyarrow as pa
 
-    seen, ys = [], []
+    yes, no = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
     for batch in it:
         texts, y = batches(batch, ["text", "y"])
-        buf, offsets = utf8(texts)
-        ys += y.to_pylist()
-        seen += list(gram_sets(buf, offsets))
-    if not seen:
-        return
-    y = np.repeat(np.array(ys), [len(s) for s in seen])
-    h, back = np.unique(np.concatenate(seen), return_inverse=True)
-    yes = np.bincount(back, y, len(h)).astype(np.int64)
-    every = np.bincount(back, minlength=len(h))
-    yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(yes), pa.array(every - yes)], names=["gram", "yes", "no"])
-
-
-def _rows(features: Features):
-    def run(it):
-        import pyarrow as pa
+        for label, cells in zip(y.to_pylist(), gram_sets(*utf8(texts))):
+            (yes if label else no)[cells] += 1
+    seen = np.flatnonzero(yes + no)
+    yield pa.record_batch([pa.array(seen.astype(np.int32)), pa.array(yes[seen].astype(np.int64)), pa.array(no[seen].astype(np.int64))], names=["cell", "yes", "no"])
 
-        for batch in it:
-            texts, y = batches(batch, ["text", "y"])
-            buf, offsets = utf8(texts)
-            x = [features.indices(s).tolist() for s in gram_sets(buf, offsets, features)]
-            yield pa.record_batch([pa.array(x, pa.list_(pa.int64())), y], names=["x", "y"])
 
-    return run
+def _rows(it):
+    import pyarrow as pa
+
+    for batch in it:
+        texts, y = batches(batch, ["text", "y"])
+        x = [s.astype("<i4").tobytes() for s in gram_sets(*utf8(texts))]
+        yield pa.record_batch([pa.array(x, pa.binary()), y], names=["x", "y"])
 
 
-def _logistic(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, penalty: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights of presence (r included) and bias, by Adam on the whole sample."""
+def train(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, penalty: float = PENALTY, steps: int = STEPS) -> Model:
+    """The logistic model of rows of cells, by Adam on the whole sample."""
     n = np.array([len(x) for x in rows])
-    row = np.repeat(np.arange(len(rows)), n)
-    col = np.concatenate(rows) if len(rows) else np.zeros(0, np.int64)
-    rate = r[col] / max(1e-9, np.abs(r).max(initial=1e-9))
-    w = np.zeros(len(r))
+    cells, col = np.unique(np.concatenate(rows) if len(rows) else np.zeros(0, np.int32), return_inverse=True)
+    col = col.astype(np.int32)
+    start = np.concatenate([[0], np.cumsum(n)[:-1]])
+    some = np.flatnonzero(n > 0)
+    rate = ratios[cells].astype(np.float32)
     base = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
-    b = np.log(base / (1 - base))
-    m, v, mb, vb = np.zeros(len(r)), np.zeros(len(r)), 0.0, 0.0
+    w, b = np.zeros(len(cells), np.float32), np.log(base / (1 - base))
+    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
-        z = b + np.bincount(row, rate * w[col], len(rows))
+        z = np.full(len(rows), b)
+        z[some] += np.add.reduceat((w * rate)[col], start[some])
         d = (0.5 * (1 + np.tanh(0.5 * z)) - y) / len(rows)
-        g = np.bincount(col, rate * d[row], len(r)) + penalty * w / len(rows)
+        g = rate * np.bincount(col, np.repeat(d.astype(np.float32), n), len(cells)).astype(np.float32) + penalty * w
         gb = d.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        lr = 0.05
-        w -= lr * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-10)
-        b -= lr * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-10)
-    return w * r / max(1e-9, np.abs(r).max(initial=1e-9)), float(b)
+        step = 0.1 * (1 - t / (steps + 1))
+        w -= step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        b -= step * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[cells] = w * rate
+    return Model(weights, b)
+
+
+def log_count_ratios(cell: np.ndarray, yes: np.ndarray, no: np.ndarray, n_yes: int, n_no: int) -> np.ndarray:
+    """Per cell the log of the smoothed shares of the rows of either class that have it; 0 where no row has."""
+    ratios = np.zeros(1 << BITS, np.float32)
+    share = n_yes / (n_yes + n_no)
+    a, b = SMOOTH * share, SMOOTH * (1 - share)
+    ratios[cell] = np.log((yes + a) / (n_yes + a)) - np.log((no + b) / (n_no + b))
+    return ratios
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held: int = 0, sample: int = SAMPLE) -> Model:
-    """A model of ``label``, from at most ``sample`` rows outside fold ``held``.  Without rows of both classes: the base rate."""
-    rows = labelled_sample(docs, labels, label, folds, held, True, sample)
-    totals = rows.groupBy("y").count().collect()
-    n = {r["y"]: r["count"] for r in totals}
-    empty = Features(np.zeros(0, U64))
+    """A model of ``label``, from at most ``sample`` rows and SAMPLE_BYTES of text outside fold ``held`` (rows that repeat id and text count once).
+
+    Without rows of both classes: the base rate.
+    """
+    rows = labelled_sample(docs, labels, label, folds, held, True, sample, SAMPLE_BYTES)
+    n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    none = np.zeros(1 << BITS, np.float32)
     if not n.get(0) or not n.get(1):
-        return Model(empty, np.zeros(0), 0.0 if not n else (6.0 if n.get(1) else -6.0))
-    counts = rows.coalesce(6).mapInArrow(_counts, "gram long, yes long, no long").groupBy("gram").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-    ratio = F.log((F.col("yes") + SMOOTH) / (n[1] + 2 * SMOOTH)) - F.log((F.col("no") + SMOOTH) / (n[0] + 2 * SMOOTH))
-    both, share = F.col("yes") + F.col("no"), n[1] / (n[0] + n[1])
-    # among so many n-grams some lean to a class by chance: ask for many standard deviations
-    z = F.abs(F.col("yes") - both * share) / F.sqrt(both * share * (1 - share))
-    strong = counts.where(both >= LEAST_ROWS).withColumn("r", ratio).withColumn("z", z).where((F.abs("r") >= LEAST_RATIO) & (F.col("z") >= LEAST_Z))
-    chosen = strong.orderBy(F.desc("z"), "gram").limit(FEATURES).select("gram", "r").toPandas()
-    hashes = chosen["gram"].to_numpy(np.int64).view(U64)
-    features = Features(hashes)
-    order = np.argsort(hashes)
-    r = chosen["r"].to_numpy(float)[order]
-    got = rows.mapInArrow(_rows(features), "x array<long>, y int").toPandas()
-    xs = sorted(((int(y), tuple(x)) for x, y in zip(got["x"], got["y"])))  # whatever order the tasks ended in
-    w, b = _logistic([np.array(x, np.int64) for _, x in xs], np.array([y for y, _ in xs], float), r)
-    return Model(features, w, b)
+        return Model(none, 0.0 if not n else (6.0 if n.get(1) else -6.0))
+    # one row per cell at most
+    counts = rows.mapInArrow(_counts, "cell int, yes long, no long").groupBy("cell").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).toPandas()
+    ratios = log_count_ratios(counts["cell"].to_numpy(), counts["yes"].to_numpy(), counts["no"].to_numpy(), n[1], n[0])
+    got = rows.mapInArrow(_rows, "x binary, y int").toPandas()
+    got = sorted(zip(got["y"], got["x"]))  # whatever order the tasks ended in
+    return train([np.frombuffer(x, "<i4") for _, x in got], np.array([y for y, _ in got], float), ratios)
 
 
 def _score(model: Model):
@@ -174,7 +147,7 @@ def _score(model: Model):
 def score_toxicity(docs: DataFrame, model: Model, folds: int = 5, held: int = 0) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
-    Null or empty text holds no n-gram and gets the model's bias.  held_out is null only
+    Null or empty text, or one shorter than an n-gram, holds none and gets the model's bias.  held_out is null only
     where doc_id is.  Other columns are not read.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -182,4 +155,4 @@ def score_toxicity(docs: DataFrame, model: Model, folds: int = 5, held: int = 0)
     return out.select("doc_id", (fold_of(F.col("doc_id"), folds) == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-__all__ = ["Features", "Model", "fit_toxicity", "gram_sets", "score_toxicity"]
+__all__ = ["Model", "fit_toxicity", "gram_sets", "log_count_ratios", "score_toxicity", "train"]

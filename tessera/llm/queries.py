@@ -41,12 +41,6 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ngram_lm.score_documents(_read(spark, sf_dir, "documents"), order=2)
-    return out.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), F.round("mean_log_score", 5).alias("mean_log_score"))
-
-
-def op7_lm_scoring_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The model of op7 with trigrams, over all documents; op7_lm_scoring is the bigram model that its SQL gives."""
     out = ngram_lm.score_documents(_read(spark, sf_dir, "documents"), order=3)
     return out.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), F.round("mean_log_score", 5).alias("mean_log_score"))
 
@@ -62,7 +56,7 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return token_files.token_output(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), special=True)
+    return token_files.token_output(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -75,7 +69,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_exact_dedup,
         op6_toxicity,
         op7_lm_scoring,
-        op7_lm_scoring_order3,
         op8_source_mixing,
         op9_personal_data,
         op10_token_output,
@@ -102,21 +95,28 @@ with t as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[ \t\n\x0B\
 select doc_id, min(doc_id) over (partition by h) as keep_id, count(*) over (partition by h) as group_size,
        doc_id = min(doc_id) over (partition by h) as kept, h as text_sha256 from t""",
     "op7_lm_scoring": rf"""
-with w as (select doc_id, {_WORDS} as w from documents),
-t as (select doc_id, unnest(range(1, len(w) + 1)) as i, w from w),
-g as (select doc_id, i, w[i] as b, case when i > 1 then w[i - 1] end as a from t),
+with w as (select row_number() over () as r, doc_id, {_WORDS} as w from documents),
+t as (select r, w, unnest(range(1, len(w) + 1)) as i from w),
+g as (select r, w[i] as c, case when i > 1 then w[i - 1] end as b, case when i > 2 then w[i - 2] end as a from t),
 n as (select count(*) as n from g),
-u as (select b as k, count(*) as c from g group by b),
-ud as (select doc_id, b as k, count(*) as c from g group by all),
-bi as (select a, b, count(*) as c from g where a is not null group by a, b),
-bd as (select doc_id, a, b, count(*) as c from g where a is not null group by all),
-s as (select g.doc_id, case
-        when g.a is not null and bi.c - bd.c > 0 then ln(bi.c - bd.c) - ln(ua.c - uda.c)
-        else case when g.a is not null then ln(0.4) else 0 end + ln(greatest(u.c - ud.c, 0.5)) - ln((select n from n)) end as s
-      from g join u on u.k = g.b join ud on ud.k = g.b and ud.doc_id = g.doc_id
-      left join bi on bi.a = g.a and bi.b = g.b left join bd on bd.doc_id = g.doc_id and bd.a = g.a and bd.b = g.b
-      left join u ua on ua.k = g.a left join ud uda on uda.k = g.a and uda.doc_id = g.doc_id),
-d as (select doc_id, count(*) as n, sum(s) as s from s group by doc_id)
+u as (select c, count(*) as k from g group by all),
+ud as (select r, c, count(*) as k from g group by all),
+bi as (select b, c, count(*) as k from g where b is not null group by all),
+bd as (select r, b, c, count(*) as k from g where b is not null group by all),
+tr as (select a, b, c, count(*) as k from g where a is not null group by all),
+td as (select r, a, b, c, count(*) as k from g where a is not null group by all),
+x as (select g.r, g.a, g.b, u.k - ud.k as k1, bi.k - bd.k as k2, tr.k - td.k as k3, ub.k - ubd.k as h1, bb.k - bbd.k as h2
+      from g join u using (c) join ud using (r, c)
+      left join bi on bi.b = g.b and bi.c = g.c left join bd on bd.r = g.r and bd.b = g.b and bd.c = g.c
+      left join tr on tr.a = g.a and tr.b = g.b and tr.c = g.c left join td on td.r = g.r and td.a = g.a and td.b = g.b and td.c = g.c
+      left join u ub on ub.c = g.b left join ud ubd on ubd.r = g.r and ubd.c = g.b
+      left join bi bb on bb.b = g.a and bb.c = g.b left join bd bbd on bbd.r = g.r and bbd.b = g.a and bbd.c = g.b),
+s as (select r, case
+        when k3 > 0 then ln(k3) - ln(h2)
+        else case when a is not null then ln(0.4) else 0 end + case
+          when k2 > 0 then ln(k2) - ln(h1)
+          else case when b is not null then ln(0.4) else 0 end + ln(greatest(k1, 0.5)) - ln((select n from n)) end end as s from x),
+d as (select r, count(*) as n, sum(s) as s from s group by r)
 select w.doc_id, coalesce(d.n, 0) as n_words, round(coalesce(d.s, 0.0), 3) as log_score, round(d.s / d.n, 5) as mean_log_score
-from w left join d using (doc_id)""",
+from w left join d using (r)""",
 }

@@ -214,7 +214,7 @@ def _encode(dtype: str, freq: np.ndarray, offsets: dict[int, int]):
     return run
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, out_path: str, end_id: int = 0, special: bool = False) -> None:
+def write_token_files(docs: DataFrame, tokenizer_path: str, out_path: str, end_id: int = 0, special: bool = True) -> None:
     """Encode ``docs`` (doc_id, text) into ``out_path``/segments and ``out_path``/table.
 
     Each text's ids are followed by ``end_id``; null text is empty.  Documents stand in
@@ -276,7 +276,7 @@ def read_token_files(spark: SparkSession, path: str, ids: bool = False) -> DataF
     return segments.select("start", "docs", "lens", "coded").mapInArrow(_decode(freq, ids), spec)
 
 
-def token_output(docs: DataFrame, tokenizer_path: str, end_id: int = 0, special: bool = False) -> DataFrame:
+def token_output(docs: DataFrame, tokenizer_path: str, end_id: int = 0, special: bool = True) -> DataFrame:
     """Write the token files of ``docs`` to the shared folder and describe each document from them.
 
     One row per row of ``docs``: doc_id, start, n_tokens, ids_crc32.  An empty table gives

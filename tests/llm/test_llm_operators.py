@@ -76,10 +76,14 @@ def test_jaccard_repeated_rows_and_empty(spark):
     assert jaccard.near_distinct_documents(docs(spark, [prose(3, 40), prose(3, 40) + " end", None, ""])).columns == DOCS.replace(" long", "").replace(" string", "").replace(" double", "").split(", ")
 
 
-def test_components_of_a_chain(spark):
-    edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101)]
-    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {i: 1 for i in range(1, 41)} | {100: 100, 101: 100}
+@pytest.mark.parametrize("per_task", [500_000, 7])
+def test_components_of_a_chain(spark, monkeypatch, per_task):
+    monkeypatch.setattr(components, "PER_TASK", per_task)
+    edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 100), (7, 7), (None, 3), (2**53 + 1, 2**53 + 3)]
+    random.Random(1).shuffle(edges)
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
+    assert got == {i: 1 for i in range(1, 41)} | {100: 100, 101: 100, 2**53 + 1: 2**53 + 1, 2**53 + 3: 2**53 + 1}
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_cuckoo_index_against_a_dict():
@@ -106,6 +110,9 @@ def test_exact_dedup(spark):
     d = docs(spark, ["x"])
     assert sorted(r.kept for r in cuckoo.exact_dedup(d.unionByName(d)).collect()) == [False, True]
     assert cuckoo.exact_dedup(empty(spark)).count() == 0
+    big = spark.createDataFrame([(2**53 + 1, "x"), (None, "x"), (2**53 + 3, "y"), (None, "z"), (None, "z")], "doc_id long, text string").coalesce(1)
+    want = [(None, None, 2, False), (None, None, 2, True), (None, 2**53 + 1, 2, False), (2**53 + 1, 2**53 + 1, 2, True), (2**53 + 3, 2**53 + 3, 1, True)]
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in cuckoo.exact_dedup(big).collect()), key=str) == sorted(want, key=str)
     index = cuckoo.live_index(docs(spark, ["a", "b"]))
     left = cuckoo.update_index(index, docs(spark, ["c"], start=9), docs(spark, ["a"])).collect()
     assert {r.doc_id for r in left} == {1, 9}
@@ -179,7 +186,6 @@ def test_token_output(spark):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     texts = [None, "", " ", "a  b", "It's\n\n x", "<|endoftext|> é", "日本 語", prose(1, 4000), " lead", "trail ", "tab\t x\n y", "a  b", "x" * 3000]
     got = {r.doc_id: r for r in token_files.token_output(docs(spark, texts).orderBy(F.desc("doc_id")), path).collect()}
     at = 0
@@ -306,10 +312,19 @@ def test_classifiers(spark):
 
 def test_sample_keeps_out_the_fold(spark):
     d, labels = labelled_docs(spark, 60)
-    got = labelled.labelled_sample(d, labels, "toxic", 5, 0, True, 1000).collect()
+    got = labelled.labelled_sample(d, labels, "toxic", 5, 0, True, 1000, 1 << 20).collect()
     assert got and all(zlib.crc32(str(r.doc_id).encode()) % 5 != 0 for r in got)
 
 
+def test_packed_keys_and_counts():
+    r = np.random.default_rng(2)
+    for n, top in ((0, 5), (1, 1), (1, 2**56), (7, 8), (5000, 2**56), (3000, 4000)):
+        keys = np.unique(r.integers(0, top, n, np.uint64))
+        assert (ngram_lm.unpack(ngram_lm.pack(keys)) == keys).all()
+    counts = np.array([1, 254, 255, 256, 10**12])
+    assert (ngram_lm.unpack_counts(ngram_lm.pack_counts(counts)) == counts).all()
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_language_model(spark, order, monkeypatch):
     monkeypatch.setattr(ngram_lm, "BLOCK_BYTES", 400)
@@ -346,6 +361,8 @@ def test_language_model(spark, order, monkeypatch):
                 back += math.log(0.4)
         assert got[d].n_words == len(x) and got[d].log_score == pytest.approx(s, abs=1e-6)
     assert ngram_lm.score_documents(empty(spark), order).count() == 0
+    big = spark.createDataFrame([(2**53 + 1, "a b c"), (None, "a b d"), (2**53 + 3, None), (2**53 + 3, "a b c")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_words) for r in ngram_lm.score_documents(big, order).collect()) == [(0, 3), (2**53 + 1, 3), (2**53 + 3, 0), (2**53 + 3, 3)]
     tables = ngram_lm.count_tables(docs(spark, texts), order).collect()
     assert sum(int(ngram_lm.unpack_counts(r["counts"]).sum()) for r in tables) == sum(every.values())
 

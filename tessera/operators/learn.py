@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import running_total
+
 
 def link_features(labelled: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """Labelled edges with features: the elementwise product of the ends' vectors (id, v)."""
@@ -30,8 +32,8 @@ def evaluate(scored: DataFrame, cut: float = 0.5) -> DataFrame:
     not in a sort of all rows.
     """
     k = scored.groupBy("score").agg(F.sum("label").cast("long").alias("p"), F.sum(1 - F.col("label")).cast("long").alias("n"))
-    below = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("score").rowsBetween(Window.unboundedPreceding, -1))
-    a = k.withColumn("below", F.coalesce(below, F.lit(0))).agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("u"), F.sum("p").alias("pos"), F.sum("n").alias("neg"))
+    k = running_total(k, "score", "n", "upto").withColumn("below", F.col("upto") - F.col("n"))
+    a = k.agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("u"), F.sum("p").alias("pos"), F.sum("n").alias("neg"))
     hit = F.col("score") >= cut
     f = scored.agg(F.sum(F.when(hit & (F.col("label") == 1), 1).otherwise(0)).alias("tp"), F.sum(F.when(hit & (F.col("label") == 0), 1).otherwise(0)).alias("fp"), F.sum(F.when(~hit & (F.col("label") == 1), 1).otherwise(0)).alias("fn"))
     return a.crossJoin(f).select((F.col("u") / (F.col("pos") * F.col("neg"))).alias("auroc"), (2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))).alias("f1"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import quantiles, running_total
+
 
 def counts(points: DataFrame, min_points: int = 0) -> DataFrame:
     """(cell_id, gene, n) of assigned points, of cells with at least ``min_points``."""
@@ -19,9 +21,14 @@ def pivoted(counts: DataFrame, genes: list[str]) -> DataFrame:
     return counts.groupBy("cell_id").pivot("gene", genes).agg(F.sum("n")).na.fill(0)
 
 
-def cell_summary(points: DataFrame) -> DataFrame:
-    """cell_id, centroid, transcripts, unique genes."""
-    return points.where("cell_id is not null").groupBy("cell_id").agg(F.avg("x").alias("cell_centroid_x"), F.avg("y").alias("cell_centroid_y"), F.count("*").alias("transcripts"), F.countDistinct("gene").alias("unique_transcripts"))
+def cell_summary(points: DataFrame, hulls: bool = False) -> DataFrame:
+    """cell_id, centroid, transcripts, unique genes; with ``hulls`` also hull_area of the points."""
+    out = points.where("cell_id is not null").groupBy("cell_id").agg(F.avg("x").alias("cell_centroid_x"), F.avg("y").alias("cell_centroid_y"), F.count("*").alias("transcripts"), F.countDistinct("gene").alias("unique_transcripts"))
+    if not hulls:
+        return out
+    from .shapes import point_hulls
+
+    return out.join(point_hulls(points), "cell_id")
 
 
 def gene_counts(points: DataFrame, panel: DataFrame | None = None) -> DataFrame:
@@ -72,9 +79,7 @@ def top_genes(counts: DataFrame, n_cells: int, k: int = 30) -> DataFrame:
 def csr(counts: DataFrame, row: str, column: str) -> DataFrame:
     """Compressed rows: (row, indptr_begin, indptr_end, indices): running offsets over the rows' sizes."""
     size = counts.groupBy(row).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(column)).alias("indices"))
-    w = Window.partitionBy(F.lit(0)).orderBy(row).rowsBetween(Window.unboundedPreceding, 0)
-    offsets = size.select(row, "n").withColumn("end", F.sum("n").over(w))
-    return size.join(offsets, [row, "n"]).select(row, (F.col("end") - F.col("n")).alias("indptr_begin"), F.col("end").alias("indptr_end"), "indices")
+    return running_total(size, row, "n", "end").select(row, (F.col("end") - F.col("n")).alias("indptr_begin"), F.col("end").alias("indptr_end"), "indices")
 
 
 def tuning_metrics(points: DataFrame) -> DataFrame:
@@ -89,6 +94,9 @@ def neighbour_parameters(areas: DataFrame, points: DataFrame, outline_area: floa
     """Search radius (a quarter of the median diameter) and k (points in that disc at the 90th percentile of density)."""
     import math
 
-    a = areas.agg((F.percentile(2 * F.sqrt(F.col("area") / math.pi), F.lit(0.5)) / 4).alias("dist_tx"))
-    density = points.where("cell_id is not null").groupBy("cell_id").agg((F.count("*") / F.lit(outline_area)).alias("d")).agg(F.percentile("d", F.lit(0.9)).alias("d90"))
-    return a.crossJoin(density).select("dist_tx", F.ceil(F.lit(math.pi) * F.col("dist_tx") * F.col("dist_tx") * F.col("d90")).cast("long").alias("k_tx"))
+    (diameter,) = quantiles(areas.select((2 * F.sqrt(F.col("area") / math.pi)).alias("d")), "d", [0.5])
+    density = points.where("cell_id is not null").groupBy("cell_id").agg((F.count("*") / F.lit(outline_area)).alias("d"))
+    (d90,) = quantiles(density, "d", [0.9])
+    dist = None if diameter is None else diameter / 4
+    k = None if dist is None or d90 is None else math.ceil(math.pi * dist * dist * d90)
+    return points.sparkSession.createDataFrame([(dist, k)], "dist_tx double, k_tx long")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import save
+from .ranks import quantiles
+
 
 def _expression(counts: DataFrame, types: DataFrame) -> DataFrame:
     """(cell_type, gene, mean, share) over all cells of a type, cells without the gene as zeros."""
@@ -39,23 +42,32 @@ def exclusive_pairs(exclusive: DataFrame) -> DataFrame:
 
 
 def mecr(counts: DataFrame, pairs: DataFrame, group: list[str] | None = None) -> DataFrame:
-    """(gene1, gene2, mecr): cells with both genes over cells with either, 0 if none has.  ``group``: cell columns in ``counts``."""
+    """(gene1, gene2, mecr): cells with both genes over cells with either, 0 if none has.  ``group``: cell columns in ``counts``.
+
+    A cell's genes are one array; its genes and pairs of genes are counted where it stands, so only
+    counts over a bounded panel are shuffled.
+    """
     group = group or []
-    has = counts.where("n > 0").select(*group, "cell_id", "gene").distinct()
-    single = has.groupBy(*group, "gene").agg(F.count("*").alias("k"))
-    wanted = F.broadcast(pairs)  # pairs of a bounded panel
-    both = has.withColumnRenamed("gene", "gene1").join(wanted, "gene1").join(has.withColumnRenamed("gene", "gene2"), [*group, "cell_id", "gene2"]).groupBy(*group, "gene1", "gene2").agg(F.count("*").alias("k12"))
-    frame = pairs if not group else has.select(*group).distinct().crossJoin(wanted)
-    out = frame.join(single.select(*group, F.col("gene").alias("gene1"), F.col("k").alias("k1")), [*group, "gene1"], "left").join(single.select(*group, F.col("gene").alias("gene2"), F.col("k").alias("k2")), [*group, "gene2"], "left").join(both, [*group, "gene1", "gene2"], "left").na.fill(0, ["k1", "k2", "k12"])
+    cells = counts.where("n > 0").groupBy(*group, "cell_id").agg(F.sort_array(F.collect_set("gene")).alias("g"))
+    heads = cells.select(*group, F.posexplode("g").alias("i", "a"), "g")
+    both = heads.select(*group, "a", F.explode(F.expr("slice(g, i + 1, size(g))")).alias("b"))  # the gene itself, then those behind
+    k = save(both.groupBy(*group, "a", "b").agg(F.count("*").alias("k")), "pair-counts")
+    frame = pairs if not group else k.select(*group).distinct().crossJoin(F.broadcast(pairs))  # pairs of a bounded panel
+    frame = frame.withColumn("a", F.least("gene1", "gene2")).withColumn("b", F.greatest("gene1", "gene2"))
+    one = k.where("a = b")
+    out = frame.join(k.withColumnRenamed("k", "k12"), [*group, "a", "b"], "left")
+    for c, name in (("gene1", "k1"), ("gene2", "k2")):
+        out = out.join(one.select(*group, F.col("a").alias(c), F.col("k").alias(name)), [*group, c], "left")
+    out = out.na.fill(0, ["k1", "k2", "k12"])
     either = F.col("k1") + F.col("k2") - F.col("k12")
     return out.select(*group, "gene1", "gene2", F.when(either > 0, F.col("k12") / either).otherwise(F.lit(0.0)).alias("mecr"))
 
 
 def quantile_bins(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     """bin 1..bins by quantile edges, right-closed, the least value in the first bin."""
-    edges = df.agg(F.percentile(column, F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias("__edges"))
-    below = F.size(F.filter("__edges", lambda e: F.col(column) > e))
-    return df.crossJoin(F.broadcast(edges)).withColumn("bin", below + 1).drop("__edges")
+    edges = quantiles(df, column, [i / bins for i in range(1, bins)])
+    below = sum((F.when(F.col(column) > F.lit(e), 1).otherwise(0) for e in edges), F.lit(0))
+    return df.withColumn("bin", below + 1)
 
 
 def mecr_by_quantile(counts: DataFrame, pairs: DataFrame, cells: DataFrame, column: str, bins: int = 10) -> DataFrame:
@@ -66,24 +78,38 @@ def mecr_by_quantile(counts: DataFrame, pairs: DataFrame, cells: DataFrame, colu
     return size.join(m, "bin", "left").select((F.col("bin") / bins).alias("quantile"), "average_mecr", "variance_mecr", "average", "num_cells")
 
 
-def contamination(counts: DataFrame, types: DataFrame, marker_table: DataFrame, edges: DataFrame) -> DataFrame:
-    """(source_type, target_type, contamination).
+def contamination(counts: DataFrame, types: DataFrame, marker_table: DataFrame, edges: DataFrame, clean: bool = False) -> DataFrame:
+    """(source_type, target_type, contamination) for all pairs of types with positive markers.
 
-    For each cell, its expressed positive markers m of its own type that are no marker of a
-    neighbour's other type: the neighbour's count of m over the neighbourhood's count of
-    m (neighbours and the cell); summed over cells and neighbours of a pair of types, over the
-    number of such terms plus one.
+    D(c, m) is the count of marker m in a cell c and its neighbours.  For every cell c, each
+    marker m of its type with D(c, m) > 0 (the outer one), each neighbour of another
+    type and each marker m' of the cell's type that is none of the neighbour's (the inner one), a
+    term is the neighbour's count of m' over D(c, m): every inner term is added once per
+    outer marker.  The result is the sum of the terms over their number plus one.  ``clean``: one
+    term per inner marker, over its own D(c, m').
     """
-    t = types.select("cell_id", "cell_type")
-    pos = marker_table.where("marker = 'positive'").select("cell_type", "gene")
-    own = counts.where("n > 0").join(t, "cell_id").join(F.broadcast(pos), ["cell_type", "gene"]).select(F.col("cell_id").alias("src"), F.col("cell_type").alias("source_type"), "gene", F.col("n").alias("own_n"))
-    nb = edges.select("src", "dst").join(t.select(F.col("cell_id").alias("dst"), F.col("cell_type").alias("target_type")), "dst")
-    around = edges.select("src", "dst").join(counts.select(F.col("cell_id").alias("dst"), "gene", "n"), "dst").groupBy("src", "gene").agg(F.sum("n").alias("around_n"))
-    term = own.join(nb, "src").where("source_type <> target_type")
-    term = term.join(pos.select(F.col("cell_type").alias("target_type"), "gene"), ["target_type", "gene"], "left_anti")
-    term = term.join(counts.select(F.col("cell_id").alias("dst"), "gene", "n"), ["dst", "gene"], "left").join(around, ["src", "gene"], "left")
-    share = F.coalesce("n", F.lit(0)) / (F.coalesce("around_n", F.lit(0)) + F.col("own_n"))
-    return term.groupBy("source_type", "target_type").agg((F.sum(share) / (F.count("*") + 1)).alias("contamination"))
+    pos = marker_table.where("marker = 'positive'").select("cell_type", "gene").distinct()
+    t = types.select("cell_id", "cell_type").join(F.broadcast(pos.select("cell_type").distinct()), "cell_type", "left_semi")
+    src = t.select(F.col("cell_id").alias("src"), F.col("cell_type").alias("source_type"))
+    link = edges.select("src", "dst")
+    near = link.unionByName(src.select("src", F.col("src").alias("dst")))
+    around = near.join(src, "src").join(counts.select(F.col("cell_id").alias("dst"), "gene", "n"), "dst").join(F.broadcast(pos.withColumnRenamed("cell_type", "source_type")), ["source_type", "gene"], "left_semi")
+    around = around.groupBy("src", "gene").agg(F.sum("n").alias("d")).where("d > 0")
+    # markers of one type that are none of another: types by types by panel, all bounded
+    names = pos.select(F.col("cell_type").alias("target_type")).distinct()
+    inner = pos.withColumnRenamed("cell_type", "source_type").crossJoin(F.broadcast(names)).where("source_type <> target_type")
+    inner = inner.join(pos.withColumnRenamed("cell_type", "target_type"), ["target_type", "gene"], "left_anti")
+    across = link.join(src, "src").join(t.select(F.col("cell_id").alias("dst"), F.col("cell_type").alias("target_type")), "dst").where("source_type <> target_type")
+    held = across.join(F.broadcast(inner), ["source_type", "target_type"]).join(counts.select(F.col("cell_id").alias("dst"), "gene", "n"), ["dst", "gene"], "left")
+    if clean:
+        terms = held.join(around, ["src", "gene"]).select("source_type", "target_type", (F.coalesce("n", F.lit(0)) / F.col("d")).alias("s"), F.lit(1).alias("k"))
+    else:
+        outer = around.groupBy("src").agg(F.sum(1 / F.col("d")).alias("inverse"), F.count("*").alias("outer"))
+        held = held.groupBy("src", "dst", "source_type", "target_type").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"), F.count("*").alias("inner"))
+        terms = held.join(outer, "src").select("source_type", "target_type", (F.col("n") * F.col("inverse")).alias("s"), (F.col("inner") * F.col("outer")).alias("k"))
+    sums = terms.groupBy("source_type", "target_type").agg(F.sum("s").alias("s"), F.sum("k").alias("k"))
+    frame = names.select(F.col("target_type").alias("source_type")).crossJoin(F.broadcast(names))
+    return frame.join(sums, ["source_type", "target_type"], "left").select("source_type", "target_type", (F.coalesce("s", F.lit(0.0)) / (F.coalesce("k", F.lit(0)) + 1)).alias("contamination"))
 
 
 def sensitivity(counts: DataFrame, types: DataFrame, marker_table: DataFrame, max_cells: int = 1000) -> DataFrame:

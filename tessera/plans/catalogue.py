@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, ids, vectors
 from ..operators import components, filters, graph, learn, matrix, metrics, shapes, spatial_join, tiling
-from ..sources import readers
-from . import segment
+from ..sources import readers, sinks
+from . import dataset, segment
 from .fixtures import PREFIXES, oracle, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,21 +60,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def whole(name: str, cuts: dict[str, str]):
-    """Register the uncut form of a query as ``name``_all; its SQL is that of ``name`` with the cuts replaced."""
-
-    def add(f: Callable[[Tables], DataFrame]):
-        query(f"{name}_all")(f)
-        sql = ORACLE_SQL[name]
-        for old, new in cuts.items():
-            assert old in sql, old
-            sql = sql.replace(old, new)
-        ORACLE_SQL[f"{name}_all"] = sql
-        return f
-
-    return add
-
-
 R = lambda c, k=6: F.round(F.col(c) if isinstance(c, str) else c, k)
 COUNTS = "(select cell_id, gene, count(*) as n from v_transcripts where cell_id is not null group by cell_id, gene)"
 
@@ -241,9 +226,9 @@ def _(t):
     return tiling.rectangular(t.tx, readers.extents(t.tx), 150, 120).groupBy("tile_id").agg(F.count("*").alias("n"))
 
 
-@query("q_sliding_tiles", "select i, j, count(*) as n from v_transcripts join (select cast(a.range as bigint) as i, cast(b.range as bigint) as j from range(0, 12) a cross join range(0, 12) b) on x >= i * 100 - 15 and x < i * 100 + 165 and y >= j * 100 - 15 and y < j * 100 + 165 group by i, j")
+@query("q_sliding_tiles", "select i, j, count(*) as n from v_transcripts join (select cast(a.range as bigint) as i, cast(b.range as bigint) as j from range(0, (select cast(max(x) / 100 as bigint) + 4 from v_transcripts)) a cross join range(0, (select cast(max(y) / 100 as bigint) + 4 from v_transcripts)) b) on x >= i * 100 - 15 and x < i * 100 + 165 and y >= j * 100 - 15 and y < j * 100 + 165 group by i, j")
 def _(t):
-    return tiling.sliding(t.tx, 0, 0, 100, 150, 15).where("i < 12 and j < 12").groupBy("i", "j").agg(F.count("*").alias("n"))
+    return tiling.sliding(t.tx, 0, 0, 100, 150, 15).groupBy("i", "j").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -307,6 +292,26 @@ def _(t):
     return shapes.descriptors(t.bd).select("cell_id", R("area", 4).alias("area"), R("convexity", 4).alias("convexity"), R("circularity", 4).alias("circularity"))
 
 
+# rings with every other corner drawn in: their hull is the ring of the others
+_STAR = "(select b.cell_id, vertex_idx, case when vertex_idx % 2 = 1 then mx + (x - mx) * 0.6 else x end as x, case when vertex_idx % 2 = 1 then my + (y - my) * 0.6 else y end as y from v_boundaries b join (select cell_id, avg(x) as mx, avg(y) as my from v_boundaries group by cell_id) m on m.cell_id = b.cell_id)"
+_SHOELACE = lambda src: f"select cell_id, abs(sum(x * ny - nx * y)) / 2 as area, sum(sqrt(power(nx - x, 2) + power(ny - y, 2))) as around from (select cell_id, x, y, coalesce(lead(x) over w, first_value(x) over w) as nx, coalesce(lead(y) over w, first_value(y) over w) as ny from {src} window w as (partition by cell_id order by vertex_idx)) group by cell_id"
+
+
+@query("q_hull_concave", f"with s as (select * from {_STAR}), r as ({_SHOELACE('s')}), h as ({_SHOELACE('(select * from s where vertex_idx % 2 = 0)')}) select cast(r.cell_id as varchar) as cell_id, round(r.area, 4) as area, round(h.area, 4) as hull_area, round(h.around, 4) as hull_perimeter, round(h.area / r.area, 4) as convexity from r join h on h.cell_id = r.cell_id")
+def _(t):
+    m = t.bd.groupBy("cell_id").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    drawn = lambda c, m: F.when(F.col("vertex_idx") % 2 == 1, F.col(m) + (F.col(c) - F.col(m)) * 0.6).otherwise(F.col(c)).alias(c)
+    star = t.bd.join(m, "cell_id").select("cell_id", "vertex_idx", drawn("x", "mx"), drawn("y", "my"))
+    return shapes.descriptors(star).select("cell_id", *(R(c, 4).alias(c) for c in ("area", "hull_area", "hull_perimeter", "convexity")))
+
+
+@query("q_point_hulls", f"with s as (select * from {_STAR}) select cell_id, round(area, 4) as hull_area from ({_SHOELACE('(select * from s where vertex_idx % 2 = 0)')})")
+def _(t):
+    m = t.bd.groupBy("cell_id").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    drawn = lambda c, m: F.when(F.col("vertex_idx") % 2 == 1, F.col(m) + (F.col(c) - F.col(m)) * 0.6).otherwise(F.col(c)).alias(c)
+    return shapes.point_hulls(t.bd.join(m, "cell_id").select("cell_id", drawn("x", "mx"), drawn("y", "my"))).select("cell_id", R("hull_area", 4).alias("hull_area"))
+
+
 @query("q_elongation")
 def _(t):
     return shapes.descriptors(t.bd).select("cell_id", R("elongation", 4).alias("elongation"), R("elongation_perimeter", 4).alias("elongation_perimeter"))
@@ -319,8 +324,8 @@ _PIP = f"""(select t.transcript_id as id, e.cell_id from v_transcripts t join (s
 
 @query("q_pip_counts", f"select cell_id, count(*) as n, sum(nuclear)::bigint as n_nuclear from {_PIP} p join (select transcript_id as id, nuclear from v_transcripts) using (id) group by cell_id")
 def _(t):
-    hit = spatial_join.points_in_rings(t.points, t.bd)
-    return hit.join(t.tx.select(F.col("transcript_id").alias("id"), "nuclear"), "id").groupBy("cell_id").agg(F.count("*").alias("n"), F.sum("nuclear").alias("n_nuclear"))
+    hit = spatial_join.points_in_rings(t.tx.withColumnRenamed("transcript_id", "id"), t.bd, ("nuclear",))
+    return hit.groupBy("cell_id").agg(F.count("*").alias("n"), F.sum("nuclear").alias("n_nuclear"))
 
 
 @query("q_pip_first_match", f"select t.transcript_id as id, p.c as cell_id, p.c is not null as overlaps from v_transcripts t left join (select id, min(cell_id) as c from {_PIP} group by id) p on p.id = t.transcript_id")
@@ -368,12 +373,12 @@ _NEAR = "select a.transcript_id as src, b.transcript_id as dst, sqrt(power(a.x -
 
 @query("q_knn_tx_tx", f"select src, dst, round(d, 6) as d from (select *, row_number() over (partition by src order by d, dst) as r from ({_NEAR.format(r=2)}) where d < 2 and src <> dst) where r <= 3")
 def _(t):
-    return spatial_join.knn_join(t.points, t.points, 3, 2, include_self=False).select("src", "dst", R("d").alias("d"))
+    return spatial_join.self_knn(t.points, 3, 2, include_self=False).select("src", "dst", R("d").alias("d"))
 
 
 @query("q_knn_tx_tx_3d", f"select src, dst, round(d, 6) as d from (select *, row_number() over (partition by src order by d, dst) as r from ({_NEAR.format(r=2).replace('sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2))', 'sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2))')}) where d < 2) where r <= 3")
 def _(t):
-    return spatial_join.knn_join(t.points, t.points, 3, 2, ("x", "y", "z")).select("src", "dst", R("d").alias("d"))
+    return spatial_join.self_knn(t.points, 3, 2, ("x", "y", "z")).select("src", "dst", R("d").alias("d"))
 
 
 _CENTRES = "(select cell_id, (max(x) + min(x)) / 2 as x, (max(y) + min(y)) / 2 as y from v_boundaries group by cell_id)"
@@ -411,9 +416,9 @@ def _(t):
     return _radius(t).select("src", "dst")
 
 
-@query("q_outer_merge", "select coalesce(cast(o_orderkey as varchar), a.transcript_id) as transcript_id, o_orderpriority, a.k from (select * from orders where o_orderkey % 2 = 0) full outer join (select transcript_id, count(*) as k from v_assignments where bound = 1 group by 1) a on a.transcript_id = cast(o_orderkey as varchar)")
+@query("q_outer_merge", "select coalesce(cast(o_orderkey as varchar), a.transcript_id) as transcript_id, o_orderpriority, a.k from (select * from orders where o_orderstatus = 'F') full outer join (select transcript_id, count(*) as k from v_assignments where bound = 1 group by 1) a on a.transcript_id = cast(o_orderkey as varchar)")
 def _(t):
-    o = t.table("orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").cast("string").alias("transcript_id"), "o_orderpriority")
+    o = t.table("orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("string").alias("transcript_id"), "o_orderpriority")
     return graph.merge_points(o, t.assigned.where("bound = 1").groupBy("transcript_id").agg(F.count("*").alias("k")))
 
 
@@ -439,9 +444,9 @@ def _(t):
     return c.select(F.col("cell_type").alias("type1")).join(c.select(F.col("cell_type").alias("type2")), F.col("type1") < F.col("type2"))
 
 
-@query("q_submatrix", f"select src, dst from {_TX_BD} where src in (select transcript_id from v_transcripts where nuclear = 1) and dst % 2 = 0")
+@query("q_submatrix", f"select src, dst from {_TX_BD} where src in (select transcript_id from v_transcripts where nuclear = 1) and dst in (select s_suppkey from supplier where s_acctbal > 0)")
 def _(t):
-    rows, cols = t.tx.where("nuclear = 1").select(F.col("transcript_id").alias("id")), t.centres.where("id % 2 = 0").select("id")
+    rows, cols = t.tx.where("nuclear = 1").select(F.col("transcript_id").alias("id")), t.table("supplier").where("s_acctbal > 0").select(F.col("s_suppkey").cast("long").alias("id"))
     return graph.submatrix(_tx_bd(t).select("src", "dst"), rows, cols)
 
 
@@ -460,17 +465,12 @@ def _(t):
     return matrix.counts(t.tx, 5)
 
 
-@query("q_count_pivot", "select cell_id, sum(case when gene = 'Brand#11' then 1 else 0 end)::bigint as b11, sum(case when gene = 'Brand#12' then 1 else 0 end)::bigint as b12 from v_transcripts where cell_id is not null group by cell_id")
-def _(t):
-    return matrix.pivoted(t.counts, ["Brand#11", "Brand#12"]).select("cell_id", F.col("`Brand#11`").cast("long").alias("b11"), F.col("`Brand#12`").cast("long").alias("b12"))
-
-
 def _panel(t) -> list[str]:
     """All genes of the cells, in order; a bounded panel."""
     return [r.gene for r in t.counts.select("gene").distinct().orderBy("gene").collect()]
 
 
-@query("q_count_pivot_all")
+@query("q_count_pivot", f"pivot {COUNTS} on gene using coalesce(sum(n), 0)::bigint group by cell_id")
 def _(t):
     return matrix.pivoted(t.counts, _panel(t))
 
@@ -544,12 +544,7 @@ def _(t):
     return metrics.percent_assigned(t.tx).withColumn("percent", R("percent"))
 
 
-@query("q_cluster_medians", f"select cell_type, gene, round(quantile_cont(coalesce(n, 0), 0.5), 6) as median from (select t.cell_id, cell_type, g.gene, n from v_cells t cross join (select unnest(['Brand#11', 'Brand#12', 'Brand#13']) as gene) g left join {COUNTS} c on c.cell_id = t.cell_id and c.gene = g.gene) group by 1, 2")
-def _(t):
-    return matrix.cluster_medians(t.counts, t.cells, ["Brand#11", "Brand#12", "Brand#13"]).withColumn("median", R("median"))
-
-
-@whole("q_cluster_medians", {"(select unnest(['Brand#11', 'Brand#12', 'Brand#13']) as gene)": "(select distinct gene from v_transcripts where cell_id is not null)"})
+@query("q_cluster_medians", f"select cell_type, gene, round(quantile_cont(coalesce(n, 0), 0.5), 6) as median from (select t.cell_id, cell_type, g.gene, n from v_cells t cross join (select distinct gene from v_transcripts where cell_id is not null) g left join {COUNTS} c on c.cell_id = t.cell_id and c.gene = g.gene) group by 1, 2")
 def _(t):
     return matrix.cluster_medians(t.counts, t.cells, _panel(t)).withColumn("median", R("median"))
 
@@ -570,16 +565,7 @@ def _(t):
     return matrix.neighbour_parameters(t.cells, t.tx, 20.0).withColumn("dist_tx", R("dist_tx"))
 
 
-@query("q_runs", "select sum(case when p is null or p <> method then 1 else 0 end)::bigint as runs from (select method, lag(method) over (order by transcript_id) as p from v_transcripts where x < 60)")
-def _(t):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(F.lit(0)).orderBy("transcript_id")
-    p = t.tx.where("x < 60").select("method", F.lag("method").over(w).alias("p"))
-    return p.agg(F.sum(F.when(F.col("p").isNull() | (F.col("p") != F.col("method")), 1).otherwise(0)).alias("runs"))
-
-
-@whole("q_runs", {" where x < 60": ""})
+@query("q_runs", "select sum(case when p is null or p <> method then 1 else 0 end)::bigint as runs from (select method, lag(method) over (order by transcript_id) as p from v_transcripts)")
 def _(t):
     return metrics.runs(t.tx, "transcript_id", "method", 10**12)
 
@@ -634,31 +620,32 @@ def _(t):
     return graph.padded(_tx_bd(t), 3).withColumn("neighbours", F.array_join("neighbours", ","))
 
 
-_PAIR = "(select a.vec_id as src, b.vec_id as dst, list_dot_product(a.embedding::double[], b.embedding::double[]) as s from embeddings a join embeddings b on b.vec_id % 10 = 0 and a.vec_id % 10 <> 0 and a.vec_id % 25 = 1)"
+#: Neighbours of a vector in the edge tables over all vectors.
+K_VECTORS = 10
 
 
-def _scored(t):
-    v = t.vectors
-    e = v.where("id % 10 <> 0 and id % 25 = 1").select(F.col("id").alias("src")).crossJoin(F.broadcast(v.where("id % 10 = 0").select(F.col("id").alias("dst"))))
-    return graph.similarity(e, v, v)
+def _nearest_sql(k: int) -> str:
+    return f"(select src, dst, s from (select *, row_number() over (partition by src order by s desc, dst) as r from (select a.vec_id as src, b.vec_id as dst, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 9) as s from embeddings a join embeddings b on a.vec_id <> b.vec_id)) where r <= {k})"
 
 
-@query("q_similarity", f"select src, dst, round(1 / (1 + exp(-s)), 5) as score from {_PAIR}")
+def _edges(t, k=K_VECTORS):
+    """(src, dst, s): every vector and its nearest others."""
+    return graph.nearest_vectors(t.vectors, t.vectors, k)
+
+
+@query("q_similarity", f"select src, dst, round(1 / (1 + exp(-s)), 5) as score from {_nearest_sql(K_VECTORS)}")
 def _(t):
-    return _scored(t).select("src", "dst", R("score", 5).alias("score"))
+    return graph.similarity(_edges(t).select("src", "dst"), t.vectors, t.vectors).select("src", "dst", R("score", 5).alias("score"))
 
 
-@query("q_similarity_best", f"select src, round(max(1 / (1 + exp(-s))), 5) as score from {_PAIR} group by src")
+@query("q_similarity_best", f"select src, round(1 / (1 + exp(-s)), 5) as score from {_nearest_sql(1)}")
 def _(t):
-    return graph.best(_scored(t), 0.5).select("src", R("score", 5).alias("score"))
+    return graph.best(_edges(t, 1).select("src", "dst", vectors.link_score(F.col("s")).alias("score")), 0.5).select("src", R("score", 5).alias("score"))
 
 
-@query("q_softmax", f"select src, dst, round(exp(s) / sum(exp(s)) over (partition by src), 6) as weight from {_PAIR}")
+@query("q_softmax", f"select src, dst, round(exp(s) / sum(exp(s)) over (partition by src), 5) as weight from {_nearest_sql(K_VECTORS)}")
 def _(t):
-    v = t.vectors
-    e = v.where("id % 10 <> 0 and id % 25 = 1").select(F.col("id").alias("src"), F.col("v").alias("va")).crossJoin(F.broadcast(v.where("id % 10 = 0").select(F.col("id").alias("dst"), F.col("v").alias("vb"))))
-    e = e.select("src", "dst", vectors.dot(F.col("va"), F.col("vb")).alias("s"))
-    return vectors.softmax(e, ["src"], "s").select("src", "dst", R("weight").alias("weight"))
+    return vectors.softmax(_edges(t), ["src"], "s").select("src", "dst", R("weight", 5).alias("weight"))
 
 
 _LEFT = "(select a.transcript_id as src, b.transcript_id as dst from v_transcripts a join v_transcripts b on a.cell_id is null and b.cell_id is null and a.gene = b.gene and a.transcript_id <> b.transcript_id and abs(a.x - b.x) < 2 and abs(a.y - b.y) < 2 and sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) < 2)"
@@ -666,19 +653,19 @@ _LEFT = "(select a.transcript_id as src, b.transcript_id as dst from v_transcrip
 
 def _left(t):
     free = t.tx.where("cell_id is null").select(F.col("transcript_id").alias("id"), "x", "y", "gene")
-    e = spatial_join.pairs_within(free, free, 2).where("src <> dst")
+    e = spatial_join.self_pairs(free, 2).where("src <> dst")
     g = free.select("id", "gene")
     return e.join(g.select(F.col("id").alias("src"), "gene"), "src").join(g.select(F.col("id").alias("dst"), F.col("gene").alias("g2")), "dst").where("gene = g2").select("src", "dst", "d")
 
 
-@query("q_leftover_edges", f"with e as (select src, dst, round(1 / (1 + d), 9) as score from (select a.transcript_id as src, b.transcript_id as dst, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) as d from v_transcripts a join v_transcripts b on a.gene = b.gene and a.cell_id is null and b.cell_id is null and abs(a.x - b.x) < 2 and abs(a.y - b.y) < 2) where d < 2) select src, dst from e where score >= (select quantile_cont(score, 0.5) from e) and score >= 0.4 and src <> dst and src not in (select transcript_id from v_transcripts where nuclear = 1) and dst not in (select transcript_id from v_transcripts where nuclear = 1)")
+_COMMON = "(select a.transcript_id as src, b.transcript_id as dst, round(1 / (1 + sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2))), 9) as score from v_transcripts a join v_transcripts b on a.gene = b.gene and a.nuclear = 0 and b.nuclear = 0 and abs(a.x - b.x) < 4 and abs(a.y - b.y) < 4 and sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) < 4)"
+
+
+@query("q_leftover_edges", f"with e as (select * from {_COMMON}) select src, dst from e where score >= (select quantile_cont(score, 0.5) from e) and score >= 0.25 and src <> dst and src not in (select transcript_id from v_transcripts where qv >= 32) and dst not in (select transcript_id from v_transcripts where qv >= 32)")
 def _(t):
-    free = t.tx.where("cell_id is null").select(F.col("transcript_id").alias("id"), "x", "y", "gene")
-    e = spatial_join.pairs_within(free, free, 2)
-    g = free.select("id", "gene")
-    e = e.join(g.select(F.col("id").alias("src"), "gene"), "src").join(g.select(F.col("id").alias("dst"), F.col("gene").alias("g2")), "dst").where("gene = g2")
-    e = e.withColumn("score", F.round(1 / (1 + F.col("d")), 9))
-    return graph.leftover_edges(e, t.tx.where("nuclear = 1").select(F.col("transcript_id").alias("id")), 0.4).select("src", "dst")
+    free = t.tx.where("nuclear = 0").select(F.col("transcript_id").alias("id"), "x", "y", "gene")
+    e = spatial_join.self_pairs(free, 4, by=("gene",)).withColumn("score", F.round(1 / (1 + F.col("d")), 9))
+    return graph.leftover_edges(e, t.tx.where("qv >= 32").select(F.col("transcript_id").alias("id")), 0.25).select("src", "dst")
 
 
 _CC = f"e as (select src, dst from {_LEFT}), r as (select src as node, src as c from e union select r.node, e.dst from r join e on e.src = r.c)"
@@ -694,30 +681,6 @@ def _(t):
     return graph.fill_unassigned(t.tx.select("transcript_id", "cell_id"), _left(t))
 
 
-#: Neighbours of a vector in the edge tables over all vectors.
-K_VECTORS = 10
-
-
-def _edges(t, k=K_VECTORS):
-    """(src, dst, s): every vector and its nearest others."""
-    return graph.nearest_vectors(t.vectors, t.vectors, k)
-
-
-@query("q_similarity_all")
-def _(t):
-    return graph.similarity(_edges(t).select("src", "dst"), t.vectors, t.vectors).select("src", "dst", R("score", 5).alias("score"))
-
-
-@query("q_similarity_best_all")
-def _(t):
-    return graph.best(_edges(t, 1).select("src", "dst", vectors.link_score(F.col("s")).alias("score")), 0.5).select("src", R("score", 5).alias("score"))
-
-
-@query("q_softmax_all")
-def _(t):
-    return vectors.softmax(_edges(t), ["src"], "s").select("src", "dst", R("weight").alias("weight"))
-
-
 @query("q_attention_layer")
 def _(t):
     v = t.vectors.select("id", F.col("v").alias("h"))
@@ -756,18 +719,7 @@ def _(t):
     return learn.evaluate(s).select(F.round("auroc", 3).alias("auroc"), F.round("f1", 3).alias("f1"))
 
 
-@query("q_label_transfer", f"select src as id, max_by(label, k * 1000 - label) as label from (select src, label, count(*) as k from (select *, row_number() over (partition by src order by round(s, 9) desc, dst) as r from {_PAIR}) join embeddings on vec_id = dst where r <= 5 group by 1, 2) group by src")
-def _(t):
-    from pyspark.sql import Window
-
-    v = t.vectors
-    e = v.where("id % 10 <> 0 and id % 25 = 1").select(F.col("id").alias("src"), F.col("v").alias("va")).crossJoin(F.broadcast(v.where("id % 10 = 0").select(F.col("id").alias("dst"), F.col("v").alias("vb"))))
-    e = e.withColumn("s", F.round(vectors.dot(F.col("va"), F.col("vb")), 9))
-    e = e.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("s"), "dst"))).where("r <= 5")
-    return learn.transfer_labels(e, v.select("id", "label"))
-
-
-@query("q_label_transfer_all")
+@query("q_label_transfer", f"select src as id, max_by(label, k * 1000 - label) as label from (select src, label, count(*) as k from {_nearest_sql(5)} join embeddings on vec_id = dst group by 1, 2) group by src")
 def _(t):
     return learn.transfer_labels(_edges(t, 5), t.vectors.select("id", "label"))
 
@@ -793,19 +745,11 @@ def _(t):
     return metrics.exclusive_pairs(metrics.exclusive_genes(t.counts, t.cells, 0.128, 0.135))
 
 
-_GP = "(select a.g as gene1, b.g as gene2 from (select unnest(['Brand#11', 'Brand#12', 'Brand#13', 'Brand#14', 'Brand#15']) as g) a join (select unnest(['Brand#11', 'Brand#12', 'Brand#13', 'Brand#14', 'Brand#15']) as g) b on a.g < b.g)"
+_GENES = "(select distinct gene as g from v_transcripts where cell_id is not null)"
+_GP = f"(select a.g as gene1, b.g as gene2 from {_GENES} a join {_GENES} b on a.g < b.g)"
 
 
 def _pairs(t):
-    g = [f"Brand#1{i}" for i in range(1, 6)]
-    return t.spark.createDataFrame([(a, b) for a in g for b in g if a < b], "gene1 string, gene2 string")
-
-
-#: The panel of _GP, and all genes in its place.
-_ALL_GENES = {"(select unnest(['Brand#11', 'Brand#12', 'Brand#13', 'Brand#14', 'Brand#15']) as g)": "(select distinct gene as g from v_transcripts where cell_id is not null)"}
-
-
-def _all_pairs(t):
     g = _panel(t)
     return t.spark.createDataFrame([(a, b) for a in g for b in g if a < b], "gene1 string, gene2 string")
 
@@ -818,11 +762,6 @@ def _(t):
     return metrics.mecr(t.counts, _pairs(t)).withColumn("mecr", R("mecr"))
 
 
-@whole("q_mecr", _ALL_GENES)
-def _(t):
-    return metrics.mecr(t.counts, _all_pairs(t)).withColumn("mecr", R("mecr"))
-
-
 def _mecr_sql(column: str, cells: str) -> str:
     return f"""with b as ({_BIN(column, cells)}), m as ({_MECR.format(g='bin,', src=f'(select b.bin, c.* from {COUNTS} c join b on b.cell_id = c.cell_id)', gp=_GP)})
 select s.bin / 10 as quantile, round(a, 6) as average_mecr, round(v, 6) as variance_mecr, round(av, 6) as average, num_cells from (select bin, avg({column}) as av, count(*) as num_cells from b group by bin) s left join (select bin, avg(mecr) as a, var_pop(mecr) as v from m group by bin) q on q.bin = s.bin"""
@@ -837,21 +776,11 @@ def _(t):
     return _rounded(metrics.mecr_by_quantile(t.counts, _pairs(t), t.cells, "area"))
 
 
-@whole("q_mecr_by_area", _ALL_GENES)
-def _(t):
-    return _rounded(metrics.mecr_by_quantile(t.counts, _all_pairs(t), t.cells, "area"))
-
-
 @query("q_mecr_by_count", _mecr_sql("k", "(select cell_id, sum(n) as k from " + COUNTS + " group by cell_id)"))
 def _(t):
     return _rounded(metrics.mecr_by_quantile(t.counts, _pairs(t), t.counts.groupBy("cell_id").agg(F.sum("n").alias("k")), "k"))
 
 
-@whole("q_mecr_by_count", _ALL_GENES)
-def _(t):
-    return _rounded(metrics.mecr_by_quantile(t.counts, _all_pairs(t), t.counts.groupBy("cell_id").agg(F.sum("n").alias("k")), "k"))
-
-
 # cells of a line: neighbours are the next two orders
 _NB = "(select a.cell_id as src, b.cell_id as dst from v_cells a join v_cells b on b.cell_id <> a.cell_id and b.cell_id between a.cell_id - 2 and a.cell_id + 2)"
 
@@ -861,48 +790,41 @@ def _line(t):
     return spatial_join.radius_graph(c, 2.0).select("src", "dst")
 
 
-@query(
-    "q_contamination",
-    f"""with {_MARK}, p as (select cell_type, gene from mk where marker = 'positive'), nb as (select * from {_NB}), c as (select * from {COUNTS}),
-own as (select c.cell_id as src, t.cell_type as st, c.gene, c.n as own_n from c join v_cells t on t.cell_id = c.cell_id join p on p.cell_type = t.cell_type and p.gene = c.gene),
-ar as (select src, gene, sum(n) as a from nb join c on c.cell_id = nb.dst group by 1, 2)
-select st as source_type, t.cell_type as target_type, round(sum(coalesce(c.n, 0) / (coalesce(ar.a, 0) + own_n)) / (count(*) + 1), 6) as contamination
-from own join nb on nb.src = own.src join v_cells t on t.cell_id = nb.dst and t.cell_type <> st left join c on c.cell_id = nb.dst and c.gene = own.gene left join ar on ar.src = own.src and ar.gene = own.gene
-where not exists (select 1 from p where p.cell_type = t.cell_type and p.gene = own.gene) group by 1, 2""",
-)
+# D of a cell and marker of its type, over the cell and its neighbours; inner markers per pair of types
+_CONT = f"""{_MARK}, p as (select cell_type, gene from mk where marker = 'positive'), nb as (select * from {_NB}), c as (select * from {COUNTS}),
+ty as (select cell_id, cell_type from v_cells where cell_type in (select cell_type from p)), tt as (select distinct cell_type as ct from p),
+d as (select t.cell_id as src, p.gene, coalesce(o.n, 0) + coalesce(a.n, 0) as d from ty t join p on p.cell_type = t.cell_type left join c o on o.cell_id = t.cell_id and o.gene = p.gene
+  left join (select src, gene, sum(n) as n from nb join c on c.cell_id = nb.dst group by 1, 2) a on a.src = t.cell_id and a.gene = p.gene),
+df as (select a.cell_type as st, b.ct as tt, a.gene from p a join tt b on a.cell_type <> b.ct and not exists (select 1 from p q where q.cell_type = b.ct and q.gene = a.gene)),
+ac as (select nb.src, nb.dst, a.cell_type as st, b.cell_type as tt from nb join ty a on a.cell_id = nb.src join ty b on b.cell_id = nb.dst where a.cell_type <> b.cell_type),
+i as (select ac.*, df.gene, coalesce(c.n, 0) as n from ac join df on df.st = ac.st and df.tt = ac.tt left join c on c.cell_id = ac.dst and c.gene = df.gene)"""
+_CONT_OUT = "select a.ct as source_type, b.ct as target_type, round(coalesce(s, 0.0) / (coalesce(k, 0) + 1), 6) as contamination from tt a cross join tt b left join r on r.st = a.ct and r.tt = b.ct"
+
+
+@query("q_contamination", f"with {_CONT}, r as (select i.st, i.tt, sum(i.n / o.d) as s, count(*) as k from i join d o on o.src = i.src and o.d > 0 group by 1, 2) {_CONT_OUT}")
 def _(t):
     return metrics.contamination(t.counts, t.cells, _markers(t), _line(t)).withColumn("contamination", R("contamination"))
 
 
-@query("q_sensitivity", f"with {_MARK}, p as (select cell_type, gene from mk where marker = 'positive'), s as (select cell_type, count(*) as m from p group by 1), sm as (select * from (select cell_id, cell_type, row_number() over (partition by cell_type order by md5(cast(cell_id as varchar)), cell_id) as r from v_cells) where r <= 50), h as (select sm.cell_id, count(*) as k from sm join {COUNTS} c on c.cell_id = sm.cell_id join p on p.cell_type = sm.cell_type and p.gene = c.gene group by 1) select sm.cell_id, sm.cell_type, round(coalesce(k, 0) / m, 6) as sensitivity from sm join s on s.cell_type = sm.cell_type left join h on h.cell_id = sm.cell_id")
+@query("q_contamination_clean", f"with {_CONT}, r as (select i.st, i.tt, sum(i.n / o.d) as s, count(*) as k from i join d o on o.src = i.src and o.gene = i.gene and o.d > 0 group by 1, 2) {_CONT_OUT}")
 def _(t):
-    return metrics.sensitivity(t.counts, t.cells, _markers(t), 50).withColumn("sensitivity", R("sensitivity"))
+    return metrics.contamination(t.counts, t.cells, _markers(t), _line(t), clean=True).withColumn("contamination", R("contamination"))
 
 
-@whole("q_sensitivity", {"r <= 50": "r <= 1000"})  # the reference's sample
+@query("q_sensitivity", f"with {_MARK}, p as (select cell_type, gene from mk where marker = 'positive'), s as (select cell_type, count(*) as m from p group by 1), sm as (select * from (select cell_id, cell_type, row_number() over (partition by cell_type order by md5(cast(cell_id as varchar)), cell_id) as r from v_cells) where r <= 1000), h as (select sm.cell_id, count(*) as k from sm join {COUNTS} c on c.cell_id = sm.cell_id join p on p.cell_type = sm.cell_type and p.gene = c.gene group by 1) select sm.cell_id, sm.cell_type, round(coalesce(k, 0) / m, 6) as sensitivity from sm join s on s.cell_type = sm.cell_type left join h on h.cell_id = sm.cell_id")
 def _(t):
     return metrics.sensitivity(t.counts, t.cells, _markers(t), 1000).withColumn("sensitivity", R("sensitivity"))
 
 
-_PTS = "(select x, y, z, method from v_transcripts where x < 500)"
+_PTS = "(select x, y, z, method from v_transcripts)"
 
 
 @query("q_calinski", f"with p as (select * from {_PTS}), m as (select method, count(*) as n, avg(x) as mx, avg(y) as my, avg(z) as mz, var_pop(x) + var_pop(y) + var_pop(z) as v from p group by method), g as (select count(*) as nn, avg(x) as gx, avg(y) as gy, avg(z) as gz from p) select round((sum(n * (power(mx - gx, 2) + power(my - gy, 2) + power(mz - gz, 2))) / (count(*) - 1)) / (sum(n * v) / (max(nn) - count(*))), 4) as calinski_harabasz from m, g")
-def _(t):
-    return metrics.calinski_harabasz(t.tx.where("x < 500"), ["x", "y", "z"], "method").select(R("calinski_harabasz", 4).alias("calinski_harabasz"))
-
-
-@whole("q_calinski", {" where x < 500": ""})
 def _(t):
     return metrics.calinski_harabasz(t.tx, ["x", "y", "z"], "method").select(R("calinski_harabasz", 4).alias("calinski_harabasz"))
 
 
 @query("q_silhouette", f"with p as (select row_number() over () as i, * from {_PTS}), g as (select method as g, count(*) as n, sum(x) as sx, sum(y) as sy, sum(z) as sz, sum(x * x + y * y + z * z) as q from p group by method), d as (select i, method, g, n, (x * x + y * y + z * z) * n + q - 2 * (x * sx + y * sy + z * sz) as t from p, g), s as (select i, max(case when method = g and n > 1 then t / (n - 1) end) as a, min(case when method <> g then t / n end) as b from d group by i) select round(avg(case when a is null then 0.0 else (b - a) / greatest(a, b) end), 5) as silhouette from s")
-def _(t):
-    return metrics.silhouette(t.tx.where("x < 500"), ["x", "y", "z"], "method").select(R("silhouette", 5).alias("silhouette"))
-
-
-@whole("q_silhouette", {" where x < 500": ""})
 def _(t):
     return metrics.silhouette(t.tx, ["x", "y", "z"], "method").select(R("silhouette", 5).alias("silhouette"))
 
@@ -930,12 +852,7 @@ def _(t):
     return metrics.compare_methods(m("A"), m("R"), "gene", "v").agg(R(F.corr("v_1", "v_2")).alias("r"))
 
 
-@query("q_csr", f"select gene, (sum(k) over (order by gene) - k)::bigint as indptr_begin, (sum(k) over (order by gene))::bigint as indptr_end, array_to_string(indices, ',') as indices from (select gene, count(*) as k, list(cell_id order by cell_id) as indices from {COUNTS} where cell_id < 3000 group by gene)")
-def _(t):
-    return matrix.csr(t.counts.where("cell_id < 3000"), "gene", "cell_id").withColumn("indices", F.array_join("indices", ","))
-
-
-@whole("q_csr", {" where cell_id < 3000": ""})
+@query("q_csr", f"select gene, (sum(k) over (order by gene) - k)::bigint as indptr_begin, (sum(k) over (order by gene))::bigint as indptr_end, array_to_string(indices, ',') as indices from (select gene, count(*) as k, list(cell_id order by cell_id) as indices from {COUNTS} group by gene)")
 def _(t):
     return matrix.csr(t.counts, "gene", "cell_id").withColumn("indices", F.array_join("indices", ","))
 
@@ -953,5 +870,32 @@ def _(t):
 
 @query("q_explorer_cells", "select cell_id, count(*) as n, round(avg(x), 9) as cx, round(avg(y), 9) as cy, cast(floor(avg(z) / 3) * 3 as bigint) as z_level from v_transcripts where cell_id is not null group by cell_id having count(*) >= 5")
 def _(t):
-    s = t.tx.where("cell_id is not null").groupBy("cell_id").agg(F.count("*").alias("n"), R(F.avg("x"), 9).alias("cx"), R(F.avg("y"), 9).alias("cy"), geometry.z_level(F.avg("z")).alias("z_level"))
-    return s.where("n >= 5")
+    return sinks.explorer_cells(t.tx, t.bd).select("cell_id", "n", R("cx", 9).alias("cx"), R("cy", 9).alias("cy"), "z_level")
+
+
+# -- dataset -----------------------------------------------------------------------------------------
+
+_DATASET = """with bx as (select least((select min(x) from v_transcripts), (select min(x) from v_boundaries)) as xmin, least((select min(y) from v_transcripts), (select min(y) from v_boundaries)) as ymin,
+  greatest((select max(x) from v_transcripts), (select max(x) from v_boundaries)) as xmax, greatest((select max(y) from v_transcripts), (select max(y) from v_boundaries)) as ymax),
+ti as (select xmin + i * 150 as x0, ymin + j * 120 as y0, least(xmin + i * 150 + 150, xmax) as x3, least(ymin + j * 120 + 120, ymax) as y3
+  from bx, (select unnest(range(0, (select cast(ceil((xmax - xmin) / 150) as bigint) from bx))) as i) a, (select unnest(range(0, (select cast(ceil((ymax - ymin) / 120) as bigint) from bx))) as j) b),
+tl as (select *, 'x=' || cast(trunc(x0) as bigint) || '_y=' || cast(trunc(y0) as bigint) || '_w=' || cast(trunc(x3 - x0) as bigint) || '_h=' || cast(trunc(y3 - y0) as bigint) as tile_id from ti),
+tx as (select tile_id, transcript_id as id, x, y, z, nuclear, nucleus_id as cell_id from v_transcripts join tl on x between x0 - 10 and x3 + 10 and y between y0 - 10 and y3 + 10),
+vt as (select tl.*, b.cell_id, b.x, b.y from v_boundaries b join tl on b.x between x0 - 10 and x3 + 10 and b.y between y0 - 10 and y3 + 10),
+n as (select tile_id, cell_id, count(*) as total, sum(case when x between x0 + 10 and x3 - 10 and y between y0 + 10 and y3 - 10 then 1 else 0 end) as c,
+  sum(case when y <= y0 + 10 then 1 else 0 end) as t, sum(case when x <= x0 + 10 then 1 else 0 end) as l, sum(case when x >= x3 - 10 then 1 else 0 end) as r, sum(case when y >= y3 - 10 then 1 else 0 end) as b from vt group by 1, 2),
+ow as (select tile_id, cell_id from n where (c = total or (c > 0 and l > 0 and b = 0) or (c > 0 and t > 0 and r = 0)) and tile_id in (select tile_id from tx)),
+ar as (select cell_id, abs(sum(x1 * y2 - x2 * y1)) / 2 as area, sum((x1 + x2) * (x1 * y2 - x2 * y1)) / (3 * sum(x1 * y2 - x2 * y1)) as cx, sum((y1 + y2) * (x1 * y2 - x2 * y1)) / (3 * sum(x1 * y2 - x2 * y1)) as cy from {edges} group by cell_id),
+bd as (select ow.tile_id, ar.*, sqrt(max(area) over (partition by ow.tile_id)) * 10 as reach from ow join ar on ar.cell_id = ow.cell_id),
+tt as (select tile_id, sum(least(k, 3)) as n_tx_tx from (select a.tile_id, a.id, count(*) as k from tx a join tx b on a.tile_id = b.tile_id and abs(a.x - b.x) < 5 and abs(a.y - b.y) < 5 and sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2)) < 5 group by 1, 2) group by 1),
+tb as (select tile_id, sum(least(k, 3)) as n_tx_bd from (select a.tile_id, a.id, count(*) as k from tx a join bd b on a.tile_id = b.tile_id and sqrt(power(a.x - cx, 2) + power(a.y - cy, 2)) < reach group by 1, 2) group by 1),
+po as (select tx.tile_id, count(*) as n_belongs from tx join bd on bd.tile_id = tx.tile_id and bd.cell_id = tx.cell_id where nuclear = 1 and tx.tile_id in (select tile_id from tb) group by 1),
+st as (select tt.tile_id, n_tx, coalesce(n_bd, 0) as n_bd, n_tx_tx, coalesce(n_tx_bd, 0) as n_tx_bd, coalesce(n_belongs, 0) as n_belongs from tt join (select tile_id, count(*) as n_tx from tx group by 1) q on q.tile_id = tt.tile_id
+  left join (select tile_id, count(*) as n_bd from bd group by 1) d on d.tile_id = tt.tile_id left join tb on tb.tile_id = tt.tile_id left join po on po.tile_id = tt.tile_id)
+select tile_id, case when n_belongs = 0 then 'test' when {share} < 700 then 'train' when {share} < 800 then 'val' else 'test' end as split, n_tx, n_bd, n_tx_tx::bigint as n_tx_tx, n_tx_bd::bigint as n_tx_bd, n_belongs from st"""
+
+
+@query("q_create_dataset", _DATASET.format(edges=_EDGES, share=_SHARE))
+def _(t):
+    points = t.tx.withColumn("cell_id", F.col("nucleus_id"))
+    return dataset.tile_graph(points, t.bd, 150, 120).tiles

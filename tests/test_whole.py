@@ -35,14 +35,14 @@ def test_vector_queries_cover_all_vectors(spark, embeddings):
     k = catalogue.K_VECTORS
     want = {(i, int(j)) for i in range(60) for j in near[i, :k]}
     sig = lambda x: 1 / (1 + np.exp(-x))
-    got = {(r.src, r.dst): r.score for r in rows(spark, "q_similarity_all", root)}
+    got = {(r.src, r.dst): r.score for r in rows(spark, "q_similarity", root)}
     assert set(got) == want and all(abs(got[i, j] - sig(s[i, j])) < 1e-5 for i, j in want)
-    best = {r.src: r.score for r in rows(spark, "q_similarity_best_all", root)}
+    best = {r.src: r.score for r in rows(spark, "q_similarity_best", root)}
     assert len(best) == 60 and all(abs(best[i] - sig(s[i].max())) < 1e-5 for i in best)
-    weight = {(r.src, r.dst): r.weight for r in rows(spark, "q_softmax_all", root)}
+    weight = {(r.src, r.dst): r.weight for r in rows(spark, "q_softmax", root)}
     assert set(weight) == want and all(abs(weight[i, j] - np.exp(s[i, j]) / np.exp(s[i, near[i, :k]]).sum()) < 1e-5 for i, j in want)
     votes = {i: np.bincount(label[near[i, :5]], minlength=3) for i in range(60)}
-    assert {r.id: r.label for r in rows(spark, "q_label_transfer_all", root)} == {i: int(votes[i].argmax()) for i in votes}
+    assert {r.id: r.label for r in rows(spark, "q_label_transfer", root)} == {i: int(votes[i].argmax()) for i in votes}
 
 
 def test_attention_layer_takes_all_vectors_and_dimensions(spark, embeddings):
@@ -80,7 +80,7 @@ def equals_sql(spark, name, sf_dir=SF):
 
 
 @needs_tables
-@pytest.mark.parametrize("name", ["q_runs_all", "q_calinski_all", "q_silhouette_all", "q_csr_all"])
+@pytest.mark.parametrize("name", ["q_runs", "q_calinski", "q_silhouette", "q_csr"])
 def test_row_ranges_are_whole(spark, name):
     assert "where x <" not in catalogue.ORACLE_SQL[name] and "cell_id < 3000" not in catalogue.ORACLE_SQL[name]
     equals_sql(spark, name)
@@ -93,7 +93,7 @@ def test_segment_keeps_every_point(spark):
 
 
 @needs_tables
-@pytest.mark.parametrize("name", ["q_mecr_all", "q_mecr_by_area_all", "q_mecr_by_count_all", "q_cluster_medians_all", "q_sensitivity_all"])
+@pytest.mark.parametrize("name", ["q_mecr", "q_mecr_by_area", "q_mecr_by_count", "q_cluster_medians", "q_sensitivity"])
 def test_panels_are_whole(spark, name):
     equals_sql(spark, name)
 
@@ -102,7 +102,7 @@ def test_panels_are_whole(spark, name):
 def test_panels_take_all_genes(spark):
     counts = catalogue.Tables(spark, SF).counts.collect()
     genes = sorted({r.gene for r in counts})
-    assert len(genes) > 5 and len(rows(spark, "q_mecr_all")) == len(genes) * (len(genes) - 1) // 2
-    wide = catalogue.QUERIES["q_count_pivot_all"](spark, SF)
+    assert len(genes) > 5 and len(rows(spark, "q_mecr")) == len(genes) * (len(genes) - 1) // 2
+    wide = catalogue.QUERIES["q_count_pivot"](spark, SF)
     assert wide.columns == ["cell_id", *genes]
     assert {(r.cell_id, g): r[g] for r in wide.collect() for g in genes if r[g]} == {(r.cell_id, r.gene): r.n for r in counts}

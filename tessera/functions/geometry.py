@@ -50,6 +50,11 @@ def scale(ring: Column, factor: float, centre: Column | None = None) -> Column:
     return F.transform(ring, lambda p: F.struct((c["x"] + (p["x"] - c["x"]) * factor).alias("x"), (c["y"] + (p["y"] - c["y"]) * factor).alias("y")))
 
 
+def valid_scaled(ring: Column, factor: float) -> Column:
+    """The ring scaled about its centroid; null for fewer than three corners or no area."""
+    return F.when((F.size(ring) >= 3) & (area(ring) > 0), scale(ring, factor))
+
+
 def contains(ring: Column, x: Column, y: Column) -> Column:
     """Ray casting: an odd number of edges to the right.  Half-open on the outline itself."""
     crossings = F.aggregate(edges(ring), F.lit(0), lambda n, e: n + F.when(((e["y1"] > y) != (e["y2"] > y)) & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]), 1).otherwise(0))

@@ -16,9 +16,9 @@ def no_controls(df: DataFrame, prefixes: tuple[str, ...], column: str = "gene")
 
 
 def by_quality(df: DataFrame, prefixes: tuple[str, ...] = (), min_qv: float | None = 20, column: str = "qv") -> DataFrame:
-    """No controls and, where the platform has a quality column, qv >= min_qv."""
+    """No controls and qv >= min_qv; where the platform has no quality column (qv is null there) nothing goes for its quality."""
     out = no_controls(df, prefixes) if prefixes else df
-    return out.where(F.col(column) >= min_qv) if min_qv is not None and column in df.columns else out
+    return out.where(F.col(column).isNull() | (F.col(column) >= min_qv)) if min_qv is not None and column in df.columns else out
 
 
 def in_tile(df: DataFrame, box: tuple[float, float, float, float], margin: float = 0) -> DataFrame:
@@ -58,6 +58,11 @@ def viable_tiles(points: DataFrame, outlines: DataFrame, min_points: int = 1000,
     return p.join(o, "tile_id").where((F.col("n_points") >= min_points) & (F.col("n_outlines") >= min_outlines))
 
 
-def viable_cells(points: DataFrame, min_points: int = 5) -> DataFrame:
-    """cell_id, n of cells with enough points."""
-    return points.where("cell_id is not null").groupBy("cell_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_points)
+def viable_cells(points: DataFrame, min_points: int = 5, area: tuple[float, float] | None = None) -> DataFrame:
+    """cell_id, n of cells with enough points; with ``area`` also hull_area, which lies in that closed window."""
+    out = points.where("cell_id is not null").groupBy("cell_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_points)
+    if area is None:
+        return out
+    from .shapes import point_hulls
+
+    return out.join(point_hulls(points), "cell_id").where(F.col("hull_area").between(*area))

@@ -8,19 +8,21 @@ from pyspark.sql import functions as F
 from ..functions.ids import fragment_id
 from ..functions.vectors import dot, link_score
 from .components import components
+from .ranks import quantiles
 
 
 def belongs(points: DataFrame, cells: DataFrame) -> DataFrame:
     """(src, dst): nuclear points whose cell is among ``cells`` (cell_id)."""
-    return points.where("nuclear = 1 and cell_id is not null").join(cells.select("cell_id").distinct(), "cell_id", "left_semi").select(F.col("transcript_id").alias("src"), F.col("cell_id").alias("dst"))
+    return points.where("cast(nuclear as int) = 1 and cell_id is not null").join(cells.select("cell_id").distinct(), "cell_id", "left_semi").select(F.col("transcript_id").alias("src"), F.col("cell_id").alias("dst"))
 
 
-def negatives(candidates: DataFrame, positives: DataFrame, ratio: int = 1) -> DataFrame:
-    """Labelled edges: the positives (1) and per positive source ``ratio`` candidate edges (0) that are none, the first by hash."""
-    free = candidates.select("src", "dst").join(positives.select("src", "dst"), ["src", "dst"], "left_anti").join(positives.select("src").distinct(), "src", "left_semi")
+def negatives(candidates: DataFrame, positives: DataFrame, ratio: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
+    """Labelled edges: the positives (1) and per positive source ``ratio`` candidate edges (0) that are none, the first by hash; within ``by``."""
+    edge, source = [*by, "src", "dst"], [*by, "src"]
+    free = candidates.select(*edge).join(positives.select(*edge), edge, "left_anti").join(positives.select(*source).distinct(), source, "left_semi")
     order = F.md5(F.concat_ws(":", "src", "dst"))
-    picked = free.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy(order, "dst"))).where(F.col("r") <= ratio)
-    return positives.select("src", "dst", F.lit(1).alias("label")).unionByName(picked.select("src", "dst", F.lit(0).alias("label")))
+    picked = free.withColumn("r", F.row_number().over(Window.partitionBy(*source).orderBy(order, "dst"))).where(F.col("r") <= ratio)
+    return positives.select(*edge, F.lit(1).alias("label")).unionByName(picked.select(*edge, F.lit(0).alias("label")))
 
 
 def padded(edges: DataFrame, k: int) -> DataFrame:
@@ -95,8 +97,8 @@ def merge_points(points: DataFrame, assignments: DataFrame, key: str = "transcri
 def leftover_edges(edges: DataFrame, assigned: DataFrame, cut: float | None = None, above_median: bool = True) -> DataFrame:
     """Point-point edges between unassigned points, no loops, of at least the median score and the cut.  ``assigned``: id."""
     if above_median:
-        # an exact median of all scores; one number
-        edges = edges.crossJoin(F.broadcast(edges.agg(F.percentile("score", F.lit(0.5)).alias("__median")))).where("score >= __median").drop("__median")
+        (median,) = quantiles(edges, "score", [0.5])
+        edges = edges.where(F.col("score") >= F.lit(median))
     if cut is not None:
         edges = edges.where(F.col("score") >= cut)
     out = no_loops(edges)

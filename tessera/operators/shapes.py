@@ -107,6 +107,37 @@ def descriptors(vertices: DataFrame, key: str = "cell_id") -> DataFrame:
     return _arrays(vertices, key).mapInPandas(_descriptors, "cell_id string, area double, hull_area double, hull_perimeter double, convexity double, elongation double, elongation_perimeter double, circularity double")
 
 
+def _hull_areas(it):
+    import pandas as pd
+
+    for pdf in it:
+        areas = [_area(h) if len(h := hull(np.column_stack([x, y]))) > 2 else 0.0 for x, y in zip(pdf["xs"], pdf["ys"])]
+        yield pd.DataFrame({"cell_id": pdf["cell_id"], "hull_area": areas})
+
+
+def _batch_hulls(it):
+    import pandas as pd
+
+    for pdf in it:
+        code, cells = pd.factorize(pdf["cell_id"])
+        order = np.argsort(code, kind="stable")
+        xy, first = pdf[["x", "y"]].to_numpy()[order], np.flatnonzero(np.diff(code[order], prepend=-1))
+        parts = [p if len(p) < 16 else hull(p) for p in np.split(xy, first[1:])]  # a few points go as they are
+        held = np.concatenate(parts) if len(pdf) else xy
+        yield pd.DataFrame({"cell_id": np.repeat(np.asarray(cells), [len(p) for p in parts] if len(pdf) else []), "x": held[:, 0], "y": held[:, 1]})
+
+
+def point_hulls(points: DataFrame) -> DataFrame:
+    """(cell_id, hull_area) of each cell's points, 0 for fewer than three or collinear ones.
+
+    Every batch sends only the hulls of its cells, from which the cells' hulls follow.
+    """
+    p = points.where("cell_id is not null").select("cell_id", "x", "y")
+    schema = ", ".join(f"{n} {t}" for n, t in p.dtypes)
+    arrays = p.mapInPandas(_batch_hulls, schema).groupBy("cell_id").agg(F.collect_list(F.struct("x", "y")).alias("p"))
+    return arrays.select("cell_id", F.col("p.x").alias("xs"), F.col("p.y").alias("ys")).mapInPandas(_hull_areas, f"cell_id {dict(p.dtypes)['cell_id']}, hull_area double")
+
+
 def delaunay(p: np.ndarray) -> list[tuple[int, int, int]]:
     """Triangles of distinct points, by insertion into a large triangle (Bowyer-Watson)."""
     lo, span = p.min(0), float(max(np.ptp(p, axis=0).max(), 1e-9))

@@ -109,7 +109,7 @@ def hash_share(key: Column) -> Column:
 def assign_split(tiles: DataFrame, train: float = 0.7, val: float = 0.2, column: str = "tile_id") -> DataFrame:
     """split of each tile by hash; tiles without a positive edge (has_edges false) only test."""
     h = hash_share(F.col(column))
-    split = F.when(h < int(train * 1000), "train").when(h < int((train + val) * 1000), "val").otherwise("test")
+    split = F.when(h < round(train * 1000), "train").when(h < round((train + val) * 1000), "val").otherwise("test")
     if "has_edges" in tiles.columns:
         split = F.when(~F.col("has_edges"), "test").otherwise(split)
     return tiles.withColumn("split", split)

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import centroid, rings
-from ..operators import filters, graph, spatial_join, tiling
-from ..sources import readers, sinks
+from ..operators import graph, spatial_join
+from ..sources import sinks
 
 
 def outline_centres(vertices: DataFrame) -> DataFrame:
@@ -16,21 +16,10 @@ def outline_centres(vertices: DataFrame) -> DataFrame:
 
 
 def receptive_field(points: DataFrame, vertices: DataFrame, k_tx: int = 3, dist_tx: float = 5, k_bd: int = 3, dist_bd: float = 15) -> tuple[DataFrame, DataFrame]:
-    """Edges point-point and point-outline."""
-    p = points.select(F.col("transcript_id").alias("id"), "x", "y")
-    return spatial_join.knn_join(p, p, k_tx, dist_tx, include_self=False), spatial_join.knn_join(p, outline_centres(vertices), k_bd, dist_bd)
-
-
-def create_dataset(points: DataFrame, vertices: DataFrame, root: str, width: float, height: float, prefixes: tuple[str, ...] = (), min_qv: float | None = 20, ratio: int = 1, train: float = 0.7, val: float = 0.2, **field) -> None:
-    """A tile store of labelled edges: filter, tile, link, sample negatives, split, write."""
-    tiling.check_tile_arguments(None, width, height)
-    kept = filters.by_quality(points, prefixes, min_qv)
-    tiles = tiling.rectangular(kept, readers.joint_extents(kept, vertices), width, height).select("transcript_id", "tile_id")
-    _, to_cells = receptive_field(kept, vertices, **field)
-    positive = graph.belongs(kept, vertices)
-    edges = graph.negatives(to_cells, positive, ratio).join(tiles.withColumnRenamed("transcript_id", "src"), "src")
-    split = tiling.assign_split(edges.groupBy("tile_id").agg((F.max("label") == 1).alias("has_edges")), train, val).select("tile_id", "split")
-    sinks.write_tiles(edges.join(split, "tile_id"), root)
+    """Edges point-point (in x, y, z; a point without z is at 0) and point-outline."""
+    z = F.coalesce(F.col("z").cast("double"), F.lit(0.0)) if "z" in points.columns else F.lit(0.0)
+    p = points.select(F.col("transcript_id").alias("id"), "x", "y", z.alias("z"))
+    return spatial_join.self_knn(p, k_tx, dist_tx, ("x", "y", "z"), include_self=False), spatial_join.knn_join(p, outline_centres(vertices), k_bd, dist_bd)
 
 
 def assign(points: DataFrame, vertices: DataFrame, scores, cut: float = 0.5, **field) -> DataFrame:

@@ -35,6 +35,43 @@ def write_outlines(rings: DataFrame, path: str) -> None:
     rings.repartitionByRange("cell_id").sortWithinPartitions("cell_id").write.option("parquet.block.size", 1 << 20).parquet(path)
 
 
+def write_augmented(points: DataFrame, path: str) -> None:
+    """A source table with its generated ids, to a new folder; a table without ids gets them from its positions."""
+    from ..functions.ids import ensure_ids
+
+    ensure_ids(points).write.mode("errorifexists").option("compression", "snappy").parquet(path)
+
+
+def write_field_outlines(vertices: DataFrame, path: str) -> None:
+    """Outlines of an instrument that works by fields of view: ordered by fov, cell and vertex, in small row groups."""
+    order = [c for c in ("fov", "cell", "cell_id", "vertex_idx") if c in vertices.columns]
+    vertices.repartitionByRange(*order[:2]).sortWithinPartitions(*order).write.option("parquet.block.size", 1 << 16).option("parquet.block.row.count.limit", 1000).parquet(path)
+
+
+def explorer_cells(points: DataFrame, vertices: DataFrame, n_vertices: int = 13, min_points: int = 5, window: tuple[float, float] | None = None) -> DataFrame:
+    """The cell table of a viewer: cell_id, n, hull_area, centroid, z_level, ring of ``n_vertices`` corners, row (by cell_id)."""
+    from ..functions.geometry import pad, rings, sample, z_level
+    from ..operators.ranks import running_total
+    from ..operators.shapes import point_hulls
+
+    held = points.where("cell_id is not null")
+    s = held.groupBy("cell_id").agg(F.count("*").alias("n"), F.avg("x").alias("cx"), F.avg("y").alias("cy"), z_level(F.avg("z")).alias("z_level"))
+    s = s.where(F.col("n") >= min_points).join(point_hulls(held), "cell_id")
+    if window is not None:
+        s = s.where(F.col("hull_area").between(*window))
+    corners = rings(vertices).select("cell_id", pad(sample(F.col("ring"), n_vertices), n_vertices).alias("ring"))
+    s = s.join(corners, "cell_id", "left")
+    return running_total(s.withColumn("one", F.lit(1)), "cell_id", "one", "row").drop("one")
+
+
+def write_explorer(points: DataFrame, vertices: DataFrame, groups: DataFrame, path: str, **parameters) -> None:
+    """A viewer's store as tables: cells, and the rows of each analysis group (cell_id, grouping, label)."""
+    cells = explorer_cells(points, vertices, **parameters)
+    cells.write.mode("errorifexists").parquet(f"{path}/cells")
+    rows = points.sparkSession.read.parquet(f"{path}/cells").select("cell_id", "row")
+    groups.join(rows, "cell_id").select("grouping", "label", "row").repartition("grouping").sortWithinPartitions("grouping", "label", "row").write.partitionBy("grouping").parquet(f"{path}/analysis")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).csv(path)
 

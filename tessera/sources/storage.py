@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where unset (tests), a local one that this process removes."""
+    """The folder of spark.checkpoint.dir; where unset (tests on one machine), a local one that this process removes."""
     try:
         base = spark.conf.get("spark.checkpoint.dir")
     except Exception:  # no such setting
         base = None
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         base = tempfile.mkdtemp(prefix="tessera-checkpoint-")
         atexit.register(shutil.rmtree, base, True)
         spark.conf.set("spark.checkpoint.dir", base)

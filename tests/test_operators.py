@@ -4,10 +4,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import ids, vectors
-from tessera.operators import components, filters, graph, learn, metrics, spatial_join, tiling
-from tessera.plans import segment
-from tessera.sources import profiles, readers, sinks
+from tessera.functions import geometry, ids, vectors
+from tessera.operators import components, filters, graph, learn, metrics, ranks, spatial_join, tiling
+from tessera.plans import dataset, segment
+from tessera.sources import masks, profiles, readers, sinks
 
 
 def points(spark, rows):
@@ -112,10 +112,179 @@ def test_whole_run(spark, tmp_path):
     segment.run_segmentation(p, v, segment.by_distance(5), str(tmp_path / "run"))
     got = {r.transcript_id: r.cell_id for r in spark.read.parquet(str(tmp_path / "run/transcripts")).collect()}
     assert (got[1], got[2], got[3], got[6]) == ("1", "1", "2", "UNASSIGNED") and got[4] == got[5] and got[4].endswith("-nx")
-    segment.create_dataset(p.withColumn("qv", F.lit(30.0)), v, str(tmp_path / "tiles"), 30, 30)
-    assert readers.read_tiles(spark, str(tmp_path / "tiles")).where("label = 1").count() == 3
+
+
+def square(cell, x, y, size=4):
+    return [(cell, i, float(x + dx), float(y + dy)) for i, (dx, dy) in enumerate([(0, 0), (size, 0), (size, size), (0, size)])]
+
+
+VERTICES = "cell_id long, vertex_idx long, x double, y double"
+POINTS = "transcript_id long, x double, y double, z double, gene string, nuclear int, cell_id long"
+
+
+def test_dataset(spark, tmp_path):
+    v = spark.createDataFrame(square(1, 40, 40) + square(2, 60, 40) + square(3, 97, 50), VERTICES)
+    rows = [(1, 42, 42, 0, 1, 1), (2, 43, 42, 0, 1, 1), (3, 62, 42, 0, 1, 2), (4, 43, 42, 9, 0, None), (5, 99, 52, 0, 1, 3), (6, 0, 0, 0, 0, None), (7, 130, 100, 0, 0, None)]
+    p = spark.createDataFrame([(i, float(x), float(y), float(z), "a", n, c) for i, x, y, z, n, c in rows], POINTS).withColumn("qv", F.lit(None).cast("double"))
+    dataset.create_dataset(p, v, str(tmp_path / "tiles"), 100, 100)
+    read = lambda name: spark.read.parquet(str(tmp_path / "tiles" / name))
+    assert {(r.src, r.dst) for r in read("belongs").where("label = 1").collect()} == {(1, 1), (2, 1), (3, 2)}
+    assert {r.cell_id for r in read("bd").collect()} == {1, 2} and {r.split for r in read("bd").collect()} <= {"train", "val", "test"}
+    tt = {(r.src, r.dst) for r in read("tx_tx").collect()}
+    assert (1, 2) in tt and (1, 1) in tt and (1, 4) not in tt  # z counts
+    tiles = {r.tile_id: r for r in read("tiles").collect()}
+    assert len(tiles) == 2 and sorted(r.n_tx for r in tiles.values()) == [2, 6]  # point 5 stands in both
+    assert {r.split for r in tiles.values() if not r.n_belongs} == {"test"}
     with pytest.raises(Exception):
-        sinks.write_tiles(readers.read_tiles(spark, str(tmp_path / "tiles")), str(tmp_path / "tiles"))
+        sinks.write_tiles(read("belongs"), str(tmp_path / "tiles" / "belongs"))
+
+
+def test_platform_without_quality_keeps_its_points(spark):
+    df = spark.createDataFrame([("a", None), ("b", None)], "gene string, qv double")
+    assert filters.by_quality(df, (), 20).count() == 2
+    assert filters.by_quality(spark.createDataFrame([("a", 19.0), ("b", 20.0)], "gene string, qv double"), (), 20).count() == 1
+
+
+def test_self_pairs_equal_pairs(spark):
+    r = random.Random(1)
+    rows = [(i, r.uniform(-9, 9), r.uniform(-9, 9), r.uniform(-2, 2), i % 2) for i in range(150)]
+    p = spark.createDataFrame(rows, "id long, x double, y double, z double, g int")
+    for dims in (("x", "y"), ("x", "y", "z")):
+        for by in ((), ("g",)):
+            a = spatial_join.pairs_within(p, p, 2.5, dims, by=by).select("src", "dst", F.round("d", 9))
+            b = spatial_join.self_pairs(p, 2.5, dims, by=by).select("src", "dst", F.round("d", 9))
+            assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_nearest_has_no_bound(spark):
+    p = points(spark, [(1, 0, 0), (2, 1, 0), (3, 1e6, 1e6)])
+    got = {r.id: r.d for r in spatial_join.nearest(p, 1e-3).collect()}
+    assert got[1] == got[2] == 1 and got[3] == pytest.approx(math.hypot(1e6 - 1, 1e6))
+    assert spatial_join.nearest(points(spark, [(1, 0, 0)]), 1.0).count() == 0
+
+
+def test_points_in_rings_of_all_sizes(spark):
+    r, rings = random.Random(2), {}
+    for c in range(12):
+        n, size, cx, cy = r.randrange(3, 9), 10 ** r.uniform(-1, 2.5), r.uniform(-50, 50), r.uniform(-50, 50)
+        rings[c] = [(cx + size * r.uniform(0.3, 1) * math.cos(2 * math.pi * k / n), cy + size * r.uniform(0.3, 1) * math.sin(2 * math.pi * k / n)) for k in range(n)]
+    v = spark.createDataFrame([(c, k, x, y) for c, ring in rings.items() for k, (x, y) in enumerate(ring)], VERTICES)
+    rows = [(i, r.uniform(-80, 80), r.uniform(-80, 80)) for i in range(400)]
+    want = set()
+    for i, x, y in rows:
+        for c, ring in rings.items():
+            inside = False
+            for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+                if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+                    inside = not inside
+            if inside:
+                want.add((i, c))
+    assert {(r.id, r.cell_id) for r in spatial_join.points_in_rings(points(spark, rows), v).collect()} == want and len(want) > 50
+    assert spatial_join.points_in_rings(points(spark, rows), v.limit(0)).count() == 0
+
+
+def test_quantiles_and_running_totals(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(ranks, "FEW", 20)
+    monkeypatch.setattr(ranks, "BINS", 16)
+    r = np.random.default_rng(3)
+    values = [*r.normal(size=500), *[1.5] * 300, 1e9, -1e9]
+    df = spark.createDataFrame([(float(x),) for x in values] + [(None,), (float("nan"),)], "v double")
+    shares = [0.0, 0.1, 0.5, 0.77, 0.999, 1.0]
+    assert ranks.quantiles(df, "v", shares) == pytest.approx(list(np.quantile(values, shares)))
+    assert ranks.quantiles(df.limit(0), "v", [0.5]) == [None]
+    t = ranks.running_total(spark.createDataFrame([(i, i % 7) for i in range(300)], "k long, n long"), "k", "n", "upto")
+    assert {x.k: x.upto for x in t.collect()} == dict(enumerate(np.cumsum([i % 7 for i in range(300)]).tolist()))
+
+
+def test_network_forward_pass(spark):
+    import numpy as np
+
+    from tessera.operators import network
+
+    w = network.random_weights(5, 3, 4, 3, 1, 2, 2, seed=1)
+    r = np.random.default_rng(2)
+    tokens, looks = r.integers(0, 5, 6), r.normal(size=(3, 3))
+    tt = [(a, b) for a in range(6) for b in range(6) if (a + b) % 3 == 0]
+    tb = [(a, b) for a in range(6) for b in range(2)]  # outline 2 has no edge
+    tx = spark.createDataFrame([(i, int(t)) for i, t in enumerate(tokens)], "id long, x long")
+    bd = spark.createDataFrame([(i, [float("nan") if (i, k) == (0, 0) else float(v) for k, v in enumerate(x)]) for i, x in enumerate(looks)], "id long, x array<double>")
+    edge = lambda e: spark.createDataFrame(e, "src long, dst long")
+    a, b = network.forward(tx, bd, edge(tt), edge(tb), w)
+    looks[0, 0] = 0
+
+    def layer(source, target, edges, w):
+        heads, c = w["att"].shape
+        left, right = source @ w["left"].T + w["left_bias"], target @ w["right"].T + w["right_bias"]
+        out = np.tile(w["bias"], (len(target), 1))
+        for i in range(len(target)):
+            js = [s for s, d in edges if d == i]
+            for h in range(heads):
+                z = left[js][:, h * c : h * c + c] + right[i, h * c : h * c + c]
+                z = (np.where(z > 0, z, 0.2 * z) * w["att"][h]).sum(1)
+                if len(js):
+                    e = np.exp(z - z.max())
+                    out[i, h * c : h * c + c] += (e / e.sum()) @ left[js][:, h * c : h * c + c]
+        return out
+
+    p, q = np.maximum(w["embedding"][tokens], 0), np.maximum(looks @ w["lin0"].T, 0)
+    for k, l in enumerate(w["layers"]):
+        p, q = layer(p, p, tt, l["tx_tx"]), layer(p, q, tb, l["tx_bd"])
+        if k < len(w["layers"]) - 1:
+            p, q = np.maximum(p, 0), np.maximum(q, 0)
+    for got, want in ((a, p), (b, q)):
+        assert {r.id: r.h for r in got.collect()} == {i: pytest.approx(list(x)) for i, x in enumerate(want)}
+    scored = network.network_scores(a, b)(edge(tb)).collect()
+    assert all(r.score == pytest.approx(1 / (1 + math.exp(-float(p[r.src] @ q[r.dst])))) for r in scored) and len(scored) == len(tb)
+
+
+def test_mask_outlines(spark):
+    import numpy as np
+
+    m = np.zeros((12, 14), int)
+    m[2:6, 3:9] = 1
+    m[4, 5] = 0  # a hole does not count
+    m[8:11, 1:3] = 2
+    m[9, 12] = 2  # a speck of the same label neither
+    df = spark.createDataFrame([(7, 14, m.ravel().tolist()), (8, 2, [0, 0])], "fov long, width int, labels array<int>")
+    got = masks.mask_outlines(df).collect()
+    ring = lambda k: {(r.x, r.y) for r in got if r.cell == k}
+    assert ring(1) == {(3, 2), (9, 2), (9, 6), (3, 6)} and ring(2) == {(1, 8), (3, 8), (3, 11), (1, 11)} and {r.fov for r in got} == {7}
+
+
+def test_sinks_of_viewer_and_fields(spark, tmp_path):
+    v = spark.createDataFrame(square(1, 0, 0) + square(2, 10, 0), VERTICES)
+    rows = [(i, float(i % 3), float(i % 2), 4.0, "a", 1, 1 + i // 6) for i in range(12)]
+    p = spark.createDataFrame(rows, POINTS)
+    groups = spark.createDataFrame([(1, "kind", "x"), (2, "kind", "y")], "cell_id long, grouping string, label string")
+    sinks.write_explorer(p, v, groups, str(tmp_path / "viewer"))
+    cells = {r.cell_id: r for r in spark.read.parquet(str(tmp_path / "viewer/cells")).collect()}
+    assert cells[1].hull_area == 2 and len(cells[1].ring) == 13 and (cells[1].row, cells[2].row) == (1, 2) and cells[1].z_level == 3
+    assert spark.read.parquet(str(tmp_path / "viewer/analysis")).count() == 2
+    assert filters.viable_cells(p, 5, (1.0, 3.0)).count() == 2 and filters.viable_cells(p, 5, (3.0, 9.0)).count() == 0
+    sinks.write_field_outlines(v.withColumn("fov", F.lit(1)), str(tmp_path / "fields"))
+    assert spark.read.parquet(str(tmp_path / "fields")).count() == 8
+    sinks.write_augmented(p.drop("transcript_id"), str(tmp_path / "augmented"))
+    back = spark.read.parquet(str(tmp_path / "augmented"))
+    assert back.where("transcript_id is null").count() == 0 and back.count() == 12
+    r = geometry.rings(v.unionByName(spark.createDataFrame([(3, 0, 0.0, 0.0), (3, 1, 1.0, 1.0)], VERTICES))).withColumn("s", geometry.valid_scaled(F.col("ring"), 2.0))
+    assert {x.cell_id: x.s is None for x in r.collect()} == {1: False, 2: False, 3: True}
+
+
+def test_commands(spark, tmp_path):
+    from tessera import cli
+
+    p = spark.createDataFrame([(i, 40.0 + i % 3, 40.0 + i % 2, 0.0, "a", 30.0, 1, "1") for i in range(20)] + [(90, 0.0, 0.0, 0.0, "a", 30.0, 0, None), (91, 100.0, 100.0, 0.0, "a", 30.0, 0, None)], "transcript_id long, x_location double, y_location double, z_location double, feature_name string, qv double, overlaps_nucleus int, cell_id string")
+    p.coalesce(1).write.parquet(str(tmp_path / "raw/transcripts.parquet"))
+    spark.createDataFrame([("1", x, y) for _, _, x, y in square(1, 39, 39)], "cell_id string, vertex_x double, vertex_y double").coalesce(1).write.parquet(str(tmp_path / "raw/nucleus_boundaries.parquet"))
+    base = ["--base_dir", str(tmp_path / "raw"), "--sample_type", "xenium"]
+    cli.main(["create_dataset", *base, "--data_dir", str(tmp_path / "tiles"), "--tile_width", "100", "--tile_height", "100"], spark)
+    assert spark.read.parquet(str(tmp_path / "tiles/belongs")).where("label = 1").count() == 20
+    cli.main(["segment", *base, "--save_dir", str(tmp_path / "run")], spark)
+    assert spark.read.parquet(str(tmp_path / "run/transcripts")).where("cell_id = '1'").count() == 20
+    cli.main(["validate", "--segmented", str(tmp_path / "run/transcripts"), "--out", str(tmp_path / "report")], spark)
+    assert spark.read.parquet(str(tmp_path / "report/tuning")).count() == 1
 
 
 def test_scores(spark):

@@ -30,15 +30,13 @@ ROW_GROUP = 16 << 20
 
 
 @once
-def _tokenizer(path: str, special: bool):
+def _tokenizer(path: str):
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = not special
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 def _byte_letters() -> list[str]:
@@ -99,14 +97,13 @@ class ChunkEncoder:
     A byte-level BPE with the usual word pattern never merges across a single space
     that stands between two other characters, and the space belongs to what follows.
     So a text is its first chunk and then " " + chunk, unless spaces meet; such texts are
-    encoded whole, and with ``special`` (the library's default) texts that hold the string
-    of an added token.  ``fast`` is off for vocabularies of another kind: then every text is.
+    encoded whole, and so are texts that hold the string of an added token.  ``fast`` is off for vocabularies of another kind: then every text is.
     """
 
-    def __init__(self, path: str, dtype: str, special: bool):
-        self.tokenizer, self.dtype = _tokenizer(path, special), dtype
+    def __init__(self, path: str, dtype: str):
+        self.tokenizer, self.dtype = _tokenizer(path), dtype
         added = self.tokenizer.get_added_tokens_decoder().values()
-        names = [regex.escape(t.content) for t in added if t.content and (special or not t.special)]
+        names = [regex.escape(t.content) for t in added if t.content]
         self.added = regex.compile("|".join(names)) if names else None
         self.known = _Chunks(self.tokenizer, dtype)
         probe = "It's 12 naïve\n\n tests, wasn't they? "
@@ -143,13 +140,13 @@ class ChunkEncoder:
         return [next(coded) if x is None else x for x in out]
 
 
-def _segments(path: str, dtype: str, end_id: int, special: bool):
+def _segments(path: str, dtype: str, end_id: int):
     width = np.dtype(dtype).itemsize
 
     def run(it):
         import pyarrow as pa
 
-        coder = ChunkEncoder(path, dtype, special)
+        coder = ChunkEncoder(path, dtype)
         end = np.array([end_id], dtype).tobytes()
         part, seq, before = TaskContext.get().partitionId(), 0, 0
         docs: list[int | None] = []
@@ -214,20 +211,20 @@ def _encode(dtype: str, freq: np.ndarray, offsets: dict[int, int]):
     return run
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, out_path: str, end_id: int = 0, special: bool = True) -> None:
+def write_token_files(docs: DataFrame, tokenizer_path: str, out_path: str, end_id: int = 0) -> None:
     """Encode ``docs`` (doc_id, text) into ``out_path``/segments and ``out_path``/table.
 
     Each text's ids are followed by ``end_id``; null text is empty.  Documents stand in
-    ascending doc_id order (null first; rows that repeat an id by text).  With ``special``
-    the strings of special tokens become those tokens, else they are ordinary text.
+    ascending doc_id order (null first; rows that repeat an id by text).  The
+    library's defaults hold, so strings of special tokens become those tokens.
     """
     spark = docs.sparkSession
-    vocab = max(_tokenizer(tokenizer_path, special).get_vocab_size(), end_id + 1)
+    vocab = max(_tokenizer(tokenizer_path).get_vocab_size(), end_id + 1)
     dtype = "<u2" if vocab <= 1 << 16 else "<u4"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     spec = "part int, seq int, before long, n_ids long, docs array<long>, lens array<long>, ids binary"
-    ids = save(rows.mapInArrow(_segments(tokenizer_path, dtype, end_id, special), spec), "token-ids", row_group=ROW_GROUP)
+    ids = save(rows.mapInArrow(_segments(tokenizer_path, dtype, end_id), spec), "token-ids", row_group=ROW_GROUP)
     counts = ids.select("ids").mapInArrow(_histogram(dtype, vocab), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     total = np.zeros(vocab, np.int64)
     for id_, n in counts.collect():  # at most the vocabulary
@@ -276,12 +273,12 @@ def read_token_files(spark: SparkSession, path: str, ids: bool = False) -> DataF
     return segments.select("start", "docs", "lens", "coded").mapInArrow(_decode(freq, ids), spec)
 
 
-def token_output(docs: DataFrame, tokenizer_path: str, end_id: int = 0, special: bool = True) -> DataFrame:
+def token_output(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
     """Write the token files of ``docs`` to the shared folder and describe each document from them.
 
     One row per row of ``docs``: doc_id, start, n_tokens, ids_crc32.  An empty table gives
     empty files and no rows.
     """
     path = scratch(docs.sparkSession, "token-files")
-    write_token_files(docs, tokenizer_path, path, end_id, special)
+    write_token_files(docs, tokenizer_path, path, end_id)
     return read_token_files(docs.sparkSession, path)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import tile_uid
+from .ranks import quantiles
 
 
 def check_tile_arguments(size: float | None, width: float | None, height: float | None) -> None:
@@ -36,69 +39,90 @@ def sliding(points: DataFrame, x0: float, y0: float, step: float, size: float, m
     return points.withColumn("i", F.explode(windows("x", x0))).withColumn("j", F.explode(windows("y", y0)))
 
 
-def _split(points: DataFrame, nodes: list[dict], at) -> list[tuple[dict, str, float]]:
-    """Of each node, the side to cut and the quantile there; one aggregate for all nodes of a level."""
-    case = F.lit(None).cast("int")
-    for k, b in enumerate(nodes):
-        inside = (F.col("x") > b["x0"]) & (F.col("x") <= b["x1"]) & (F.col("y") > b["y0"]) & (F.col("y") <= b["y1"])
-        case = F.when(inside, F.lit(k)).otherwise(case)
-    tagged = points.select("x", "y", case.alias("node")).where("node is not null")
-    quantiles = sorted({at(b) for b in nodes})
-    rows = tagged.groupBy("node").agg(F.percentile("x", F.array(*map(F.lit, quantiles))).alias("qx"), F.percentile("y", F.array(*map(F.lit, quantiles))).alias("qy"), F.min("x").alias("lx"), F.max("x").alias("hx"), F.min("y").alias("ly"), F.max("y").alias("hy")).collect()  # one row per region
+Box = tuple[float, float, float, float]
+INF = float("inf")
+#: Points of a box up to which its quantiles come from one group of an aggregate.
+GROUP = 200_000
+
+
+def _cuts(points: DataFrame, boxes: list[Box], shares: list[float]) -> list[tuple[int, int, str, float, float]]:
+    """Per box with points: its number, count, longest side, the exact quantile of its share there, and that side's end.
+
+    One pass counts all boxes of a level; small boxes share an aggregate, large ones are
+    refined by histograms, so no task holds the coordinates of a large box.
+    """
+    tagged = tag(points.select("x", "y"), boxes, "node")
+    stats = tagged.groupBy("node").agg(F.count("*").alias("n"), F.min("x").alias("lx"), F.max("x").alias("hx"), F.min("y").alias("ly"), F.max("y").alias("hy")).collect()  # one row per box
+    small = points.sparkSession.createDataFrame([(r.node,) for r in stats if r.n <= GROUP], "node int")
+    every = sorted(set(shares))
+    at = {}
+    if any(r.n <= GROUP for r in stats):
+        q = tagged.join(F.broadcast(small), "node").groupBy("node").agg(*(F.percentile(c, F.array(*map(F.lit, every))).alias(c) for c in ("x", "y")))
+        at = {r.node: r for r in q.collect()}
     out = []
-    for r in rows:
-        b = nodes[r["node"]]
-        axis = "x" if r["hx"] - r["lx"] >= r["hy"] - r["ly"] else "y"
-        out.append((b, axis, r[f"q{axis}"][quantiles.index(at(b))]))
+    for r in sorted(stats):
+        axis = "x" if r.hx - r.lx >= r.hy - r.ly else "y"
+        if r.node in at:
+            q = at[r.node][axis][every.index(shares[r.node])]
+        else:
+            (q,) = quantiles(points.where(_inside(boxes[r.node])), axis, [shares[r.node]])
+        out.append((r.node, r.n, axis, q, r[f"h{axis}"]))
     return out
 
 
-def regions(points: DataFrame, n: int) -> list[tuple[float, float, float, float]]:
+def _inside(box: Box) -> Column:
+    return (F.col("x") > box[0]) & (F.col("x") <= box[2]) & (F.col("y") > box[1]) & (F.col("y") <= box[3])
+
+
+def _halves(box: Box, axis: str, q: float) -> tuple[Box, Box]:
+    x0, y0, x1, y1 = box
+    return ((x0, y0, q, y1), (q, y0, x1, y1)) if axis == "x" else ((x0, y0, x1, q), (x0, q, x1, y1))
+
+
+def regions(points: DataFrame, n: int) -> list[Box]:
     """n boxes of about as many points each: the longest side is cut at the quantile of the share that goes left (at or below the cut)."""
-    inf = float("inf")
-    done, level = [], [{"x0": -inf, "y0": -inf, "x1": inf, "y1": inf, "n": n}]
+    done, level = [], [((-INF, -INF, INF, INF), n)]
     while level:
-        done += [b for b in level if b["n"] == 1]
-        cut = [b for b in level if b["n"] > 1]
-        if not cut:
-            break
+        done += [box for box, k in level if k == 1]
+        cut = [(box, k) for box, k in level if k > 1]
         level = []
-        for b, axis, q in _split(points, cut, lambda b: (b["n"] // 2) / b["n"]):
-            less = b["n"] // 2
-            level += [b | {f"{axis}1": q, "n": less}, b | {f"{axis}0": q, "n": b["n"] - less}]
-    return sorted((b["x0"], b["y0"], b["x1"], b["y1"]) for b in done)
+        for node, _, axis, q, _ in _cuts(points, [box for box, _ in cut], [(k // 2) / k for _, k in cut]) if cut else ():
+            box, k = cut[node]
+            low, high = _halves(box, axis, q)
+            level += [(low, k // 2), (high, k - k // 2)]
+    return sorted(done)
 
 
-def balanced(points: DataFrame, max_size: int, leaf: int = 100) -> list[tuple[float, float, float, float]]:
+def balanced(points: DataFrame, max_size: int, leaf: int = 100) -> list[Box]:
     """Boxes of at most ``max_size`` points: the widest side is cut at the median until they fit.  The boxes go to the driver, the points never."""
     if max_size < leaf:
         raise ValueError("a tile can't be smaller than a leaf")
-    inf = float("inf")
-    done, level = [], [(-inf, -inf, inf, inf)]
+    done, level = [], [(-INF, -INF, INF, INF)]
     while level:
-        nodes = [dict(zip(("x0", "y0", "x1", "y1"), b)) for b in level]
-        case = F.lit(None).cast("int")
-        for k, b in enumerate(nodes):
-            case = F.when((F.col("x") > b["x0"]) & (F.col("x") <= b["x1"]) & (F.col("y") > b["y0"]) & (F.col("y") <= b["y1"]), F.lit(k)).otherwise(case)
-        rows = points.select("x", "y", case.alias("node")).where("node is not null").groupBy("node").agg(F.count("*").alias("n"), F.percentile("x", F.lit(0.5)).alias("qx"), F.percentile("y", F.lit(0.5)).alias("qy"), F.min("x").alias("lx"), F.max("x").alias("hx"), F.min("y").alias("ly"), F.max("y").alias("hy")).collect()
-        level = []
-        for r in rows:
-            b = nodes[r["node"]]
-            axis = "x" if r["hx"] - r["lx"] >= r["hy"] - r["ly"] else "y"
-            q = r[f"q{axis}"]
-            if r["n"] <= max_size or q >= r[f"h{axis}"]:  # all at one place can't be cut
-                done.append(tuple(b.values()))
+        boxes, level = level, []
+        for node, n, axis, q, high in _cuts(points, boxes, [0.5] * len(boxes)):
+            if n <= max_size or q >= high:  # all at one place can't be cut
+                done.append(boxes[node])
             else:
-                level += [tuple((b | {f"{axis}1": q}).values()), tuple((b | {f"{axis}0": q}).values())]
+                level += _halves(boxes[node], axis, q)
     return sorted(done)
 
 
-def tag(points: DataFrame, boxes: list[tuple[float, float, float, float]], column: str = "tile") -> DataFrame:
-    """Points with the number of the half-open box (low, high] that holds them."""
-    spark = points.sparkSession
-    table = spark.createDataFrame([(k, *map(float, b)) for k, b in enumerate(boxes)], f"{column} int, bx0 double, by0 double, bx1 double, by1 double")
-    on = (F.col("x") > F.col("bx0")) & (F.col("x") <= F.col("bx1")) & (F.col("y") > F.col("by0")) & (F.col("y") <= F.col("by1"))
-    return points.join(F.broadcast(table), on).drop("bx0", "by0", "bx1", "by1")  # tiles were counted on the driver
+def tag(points: DataFrame, boxes: list[Box], column: str = "tile") -> DataFrame:
+    """Points with the number of the half-open box (low, high] that holds them: an equi-join on grid cells that a few boxes meet each."""
+    side = 2 * math.ceil(len(boxes) ** 0.5)
+    edges = [sorted({v for b in boxes for v in (b[k], b[k + 2]) if abs(v) < INF}) for k in (0, 1)]
+    low = [e[0] if e else 0.0 for e in edges]
+    step = [max((e[-1] - e[0]) / side, 1e-300) if e else 1.0 for e in edges]
+
+    def cell(v: float, k: int) -> int:
+        return (0 if v < 0 else side - 1) if abs(v) == INF else max(0, min(side - 1, math.floor((v - low[k]) / step[k])))
+
+    rows = [(i, j, k, *map(float, b)) for k, b in enumerate(boxes) for i in range(cell(b[0], 0), cell(b[2], 0) + 1) for j in range(cell(b[1], 1), cell(b[3], 1) + 1)]
+    table = points.sparkSession.createDataFrame(rows, f"bi int, bj int, {column} int, bx0 double, by0 double, bx1 double, by1 double")
+    at = lambda c, k: F.greatest(F.lit(0), F.least(F.lit(side - 1), F.floor((F.col(c) - F.lit(low[k])) / F.lit(step[k])))).cast("int")
+    out = points.withColumn("bi", at("x", 0)).withColumn("bj", at("y", 1)).join(F.broadcast(table), ["bi", "bj"])  # some four rows per box, which the driver made
+    return out.where((F.col("x") > F.col("bx0")) & (F.col("x") <= F.col("bx1")) & (F.col("y") > F.col("by0")) & (F.col("y") <= F.col("by1"))).drop("bi", "bj", "bx0", "by0", "bx1", "by1")
 
 
 def hash_share(key: Column) -> Column:

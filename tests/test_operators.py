@@ -313,3 +313,24 @@ def test_stream(spark, tmp_path):
     s = ingest.tiled(ingest.stream_points(spark, str(tmp_path / "in"), src.schema, ("BLANK_",)), 10)
     ingest.run_available(s, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert [r.tile_id for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["x=0_y=0_w=10_h=10"]
+
+
+@pytest.mark.parametrize("group", [10**9, 50])
+def test_boxes_against_recursion(spark, monkeypatch, group):
+    import numpy as np
+
+    monkeypatch.setattr(tiling, "GROUP", group)
+    r = np.random.default_rng(5)
+    p = np.round(r.normal(size=(700, 2)) * [5, 2], 2)
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(p)], "id long, x double, y double")
+
+    def cut(some, most, n=None):
+        if (n == 1) if n else len(some) <= most:
+            return [len(some)]
+        k = 0 if np.ptp(some[:, 0]) >= np.ptp(some[:, 1]) else 1
+        q = np.quantile(some[:, k], (n // 2) / n if n else 0.5)
+        return cut(some[some[:, k] <= q], most, n and n // 2) + cut(some[some[:, k] > q], most, n and n - n // 2)
+
+    for boxes, want in ((tiling.balanced(df, 110), cut(p, 110)), (tiling.regions(df, 5), cut(p, 0, 5))):
+        tagged = tiling.tag(df, boxes).groupBy("tile").count().collect()
+        assert sorted(x["count"] for x in tagged) == sorted(want) and len(boxes) == len(want)

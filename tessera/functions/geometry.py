@@ -57,7 +57,12 @@ def valid_scaled(ring: Column, factor: float) -> Column:
 
 def contains(ring: Column, x: Column, y: Column) -> Column:
     """Ray casting: an odd number of edges to the right.  Half-open on the outline itself."""
-    crossings = F.aggregate(edges(ring), F.lit(0), lambda n, e: n + F.when(((e["y1"] > y) != (e["y2"] > y)) & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]), 1).otherwise(0))
+    return crosses(edges(ring), x, y)
+
+
+def crosses(edge_list: Column, x: Column, y: Column) -> Column:
+    """Whether the ray from a point to the right meets an odd number of edges."""
+    crossings = F.aggregate(edge_list, F.lit(0), lambda n, e: n + F.when(((e["y1"] > y) != (e["y2"] > y)) & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]), 1).otherwise(0))
     return crossings % 2 == 1
 
 

@@ -8,7 +8,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import contains, edges, rings
+from ..functions.geometry import contains, crosses, edges, rings
 
 
 def _cell(c: str, size: float) -> Column:
@@ -101,15 +101,16 @@ def radius_graph(points: DataFrame, radius: float) -> DataFrame:
 
 
 def _dealt(vertices: DataFrame) -> DataFrame:
-    """Rings in the grid cells that they meet: cell_id, level, gx, gy, full, ring.
+    """Rings in the grid cells that they meet: cell_id, level, gx, gy, edges.
 
-    A ring's level follows from its box, and the cells of a level are a quarter of its
-    scale, so every ring meets 81 cells at most.  A cell is full if no edge's box meets it and
-    its centre is inside; cells that no edge's box meets and whose centre is outside go.
+    A ring's level follows from its box, and the cells of a level are an eighth of its
+    scale, so every ring meets 289 cells at most.  A cell that no edge's box meets lies
+    inside (no edges are kept) or outside (it goes).  Of a cell that an edge's box meets, the
+    edges are kept that a ray to the right from one of its points may meet.
     """
     r = rings(vertices).where(F.size("ring") >= 3)
     wide = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"), F.lit(1e-9))
-    r = r.withColumn("level", F.floor(F.log2(wide)).cast("int")).withColumn("g", F.pow(F.lit(2.0), F.col("level") - 2))
+    r = r.withColumn("level", F.floor(F.log2(wide)).cast("int")).withColumn("g", F.pow(F.lit(2.0), F.col("level") - 3))
     span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / F.col("g")).cast("long"), F.floor(F.col(hi) / F.col("g")).cast("long"))
     r = r.withColumn("gx", F.explode(span("xmin", "xmax"))).withColumn("gy", F.explode(span("ymin", "ymax")))
     x0, y0 = F.col("gx") * F.col("g"), F.col("gy") * F.col("g")
@@ -117,7 +118,8 @@ def _dealt(vertices: DataFrame) -> DataFrame:
     crossed = F.exists(edges(F.col("ring")), lambda e: (F.least(e["x1"], e["x2"]) <= x1) & (F.greatest(e["x1"], e["x2"]) >= x0) & (F.least(e["y1"], e["y2"]) <= y1) & (F.greatest(e["y1"], e["y2"]) >= y0))
     centre = contains(F.col("ring"), (x0 + x1) / 2, (y0 + y1) / 2)
     r = r.withColumn("crossed", crossed).where(F.col("crossed") | centre)
-    return r.select("cell_id", "level", "gx", "gy", (~F.col("crossed")).alias("full"), F.when(F.col("crossed"), F.col("ring")).alias("ring"))
+    ahead = F.filter(edges(F.col("ring")), lambda e: (F.least(e["y1"], e["y2"]) <= y1) & (F.greatest(e["y1"], e["y2"]) >= y0) & (F.greatest(e["x1"], e["x2"]) >= x0))
+    return r.select("cell_id", "level", "gx", "gy", F.when(F.col("crossed"), ahead).alias("edges"))
 
 
 def points_in_rings(points: DataFrame, vertices: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -132,10 +134,10 @@ def points_in_rings(points: DataFrame, vertices: DataFrame, keep: tuple[str, ...
     levels = [r.level for r in dealt.select("level").distinct().collect()]  # one for each doubling of size
     if not levels:
         return points.select("id", *keep, F.lit(None).cast(dict(dealt.dtypes)["cell_id"]).alias("cell_id")).where("false")
-    at = lambda c, k: F.floor(F.col(c) / F.lit(2.0 ** (k - 2))).cast("long")
+    at = lambda c, k: F.floor(F.col(c) / F.lit(2.0 ** (k - 3))).cast("long")
     p = points.select("id", *keep, "x", "y", F.explode(F.array(*(F.struct(F.lit(k).alias("level"), at("x", k).alias("gx"), at("y", k).alias("gy")) for k in sorted(levels)))).alias("g"))
     hit = p.select("id", *keep, "x", "y", "g.*").join(dealt, ["level", "gx", "gy"])
-    return hit.where(F.col("full") | contains(F.col("ring"), F.col("x"), F.col("y"))).select("id", *keep, "cell_id")
+    return hit.where(F.col("edges").isNull() | crosses(F.col("edges"), F.col("x"), F.col("y"))).select("id", *keep, "cell_id")
 
 
 def first_ring(points: DataFrame, vertices: DataFrame) -> DataFrame:

@@ -169,6 +169,29 @@ def percent_assigned(points: DataFrame) -> DataFrame:
     return k.select("method", "gene", F.when(top > 0, F.col("k") / top * 100).otherwise(F.lit(0.0)).alias("percent"))
 
 
+def method_cells(points: DataFrame) -> DataFrame:
+    """(method, cell_id, counts): a method's points of each cell plus one."""
+    return points.where("cell_id is not null").groupBy("method", "cell_id").agg((F.count("*") + 1).alias("counts"))
+
+
+def method_summary(points: DataFrame) -> DataFrame:
+    """(method, cells, median_counts): cells that a method has, and the median of their points plus one (whole numbers, few distinct)."""
+    return method_cells(points).groupBy("method").agg(F.count("*").alias("cells"), F.percentile("counts", F.lit(0.5)).alias("median_counts"))
+
+
+def normalised_gene_counts(points: DataFrame) -> DataFrame:
+    """(method, gene, share): a method's assigned points of a gene over the most any method has; null where none has any."""
+    k = points.groupBy("method", "gene").agg(F.count("cell_id").alias("k"))
+    top = F.max("k").over(Window.partitionBy("gene"))
+    return k.select("method", "gene", F.when(top > 0, F.col("k") / top).alias("share"))
+
+
+def method_areas(cells: DataFrame, counts: DataFrame) -> DataFrame:
+    """(cell_id, area_plus_one, log_density): what the area and density plots show."""
+    s = counts.groupBy("cell_id").agg(F.sum("n").alias("s")).join(cells.select("cell_id", "area"), "cell_id")
+    return s.select("cell_id", (F.col("area") + 1).alias("area_plus_one"), F.log2(F.col("s") / F.col("area") + 1).alias("log_density"))
+
+
 def compare_methods(a: DataFrame, b: DataFrame, on: str, value: str) -> DataFrame:
     """Two methods' values side by side."""
     return a.select(on, F.col(value).alias(f"{value}_1")).join(b.select(on, F.col(value).alias(f"{value}_2")), on)

@@ -846,6 +846,22 @@ def _(t):
     return metrics.compare_methods(m("A"), m("R"), "gene", "v")
 
 
+@query("q_method_summary", "select method, count(*) as cells, round(quantile_cont(counts, 0.5), 6) as median_counts from (select method, cell_id, count(*) + 1 as counts from v_transcripts where cell_id is not null group by 1, 2) group by method")
+def _(t):
+    return metrics.method_summary(t.tx).withColumn("median_counts", R("median_counts"))
+
+
+@query("q_gene_counts_normalised", "select method, gene, round(case when max(k) over (partition by gene) > 0 then k / max(k) over (partition by gene) end, 6) as share from (select method, gene, count(cell_id) as k from v_transcripts group by 1, 2)")
+def _(t):
+    return metrics.normalised_gene_counts(t.tx).withColumn("share", R("share"))
+
+
+@query("q_method_areas", f"select c.cell_id, round(area + 1, 6) as area_plus_one, round(log2(s / area + 1), 6) as log_density from v_cells c join (select cell_id, sum(n) as s from {COUNTS} group by 1) q on q.cell_id = c.cell_id")
+def _(t):
+    m = metrics.method_areas(t.cells, t.counts)
+    return m.select("cell_id", R("area_plus_one").alias("area_plus_one"), R("log_density").alias("log_density"))
+
+
 @query("q_method_correlation", "select round(corr(a.v, b.v), 6) as r from (select gene, avg(x) as v from v_transcripts where method = 'A' group by gene) a join (select gene, avg(x) as v from v_transcripts where method = 'R' group by gene) b on a.gene = b.gene")
 def _(t):
     m = lambda k: t.tx.where(F.col("method") == k).groupBy("gene").agg(F.avg("x").alias("v"))

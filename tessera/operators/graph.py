@@ -94,6 +94,11 @@ def merge_points(points: DataFrame, assignments: DataFrame, key: str = "transcri
     return points.join(assignments, key, "full_outer")
 
 
+def fill_from(points: DataFrame, other: DataFrame, key: str, cell: str = "cell_id") -> DataFrame:
+    """Points whose missing cell is taken from another table (key, new)."""
+    return points.join(other.select(key, F.col("new").alias("__new")), key, "left").withColumn(cell, F.coalesce(cell, "__new")).drop("__new")
+
+
 def leftover_edges(edges: DataFrame, assigned: DataFrame, cut: float | None = None, above_median: bool = True) -> DataFrame:
     """Point-point edges between unassigned points, no loops, of at least the median score and the cut.  ``assigned``: id."""
     if above_median:

@@ -71,6 +71,11 @@ def cluster_medians(counts: DataFrame, types: DataFrame, genes: list[str]) -> Da
     return full.groupBy("cell_type", "gene").agg(F.percentile(F.coalesce("n", F.lit(0)), F.lit(0.5)).alias("median"))
 
 
+def gene_percentiles(points: DataFrame, column: str, shares: list[float]) -> DataFrame:
+    """gene and p<percent> of a column over the gene's points."""
+    return points.groupBy("gene").agg(*(F.percentile(column, F.lit(s)).alias(f"p{round(s * 100)}") for s in shares))
+
+
 def top_genes(counts: DataFrame, n_cells: int, k: int = 30) -> DataFrame:
     """The k genes of greatest mean count; ties by name."""
     return counts.groupBy("gene").agg((F.sum("n") / F.lit(n_cells)).alias("mean_n")).orderBy(F.desc("mean_n"), "gene").limit(k)

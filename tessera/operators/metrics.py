@@ -41,6 +41,12 @@ def exclusive_pairs(exclusive: DataFrame) -> DataFrame:
     return a.join(b, F.col("a.cell_type") < F.col("b.cell_type")).select(F.least("a.gene", "b.gene").alias("gene1"), F.greatest("a.gene", "b.gene").alias("gene2")).where("gene1 <> gene2").distinct()
 
 
+def type_pairs(types: DataFrame) -> DataFrame:
+    """(type1, type2): the pairs of different cell types, a bounded table."""
+    c = types.select("cell_type").distinct()
+    return c.select(F.col("cell_type").alias("type1")).join(F.broadcast(c.select(F.col("cell_type").alias("type2"))), F.col("type1") < F.col("type2"))
+
+
 def mecr(counts: DataFrame, pairs: DataFrame, group: list[str] | None = None) -> DataFrame:
     """(gene1, gene2, mecr): cells with both genes over cells with either, 0 if none has.  ``group``: cell columns in ``counts``.
 
@@ -169,6 +175,17 @@ def percent_assigned(points: DataFrame) -> DataFrame:
     return k.select("method", "gene", F.when(top > 0, F.col("k") / top * 100).otherwise(F.lit(0.0)).alias("percent"))
 
 
+def density(counts: DataFrame, cells: DataFrame) -> DataFrame:
+    """(cell_id, density, log_density): points per area of a cell."""
+    s = counts.groupBy("cell_id").agg(F.sum("n").alias("s")).join(cells.select("cell_id", "area"), "cell_id")
+    return s.select("cell_id", (F.col("s") / F.col("area")).alias("density"), F.log2(F.col("s") / F.col("area") + 1).alias("log_density"))
+
+
+def average_expression(counts: DataFrame, types: DataFrame) -> DataFrame:
+    """(cell_type, gene, mean_n) over the cells of a type that have the gene."""
+    return counts.join(types.select("cell_id", "cell_type"), "cell_id").groupBy("cell_type", "gene").agg(F.avg("n").alias("mean_n"))
+
+
 def method_cells(points: DataFrame) -> DataFrame:
     """(method, cell_id, counts): a method's points of each cell plus one."""
     return points.where("cell_id is not null").groupBy("method", "cell_id").agg((F.count("*") + 1).alias("counts"))
@@ -188,8 +205,7 @@ def normalised_gene_counts(points: DataFrame) -> DataFrame:
 
 def method_areas(cells: DataFrame, counts: DataFrame) -> DataFrame:
     """(cell_id, area_plus_one, log_density): what the area and density plots show."""
-    s = counts.groupBy("cell_id").agg(F.sum("n").alias("s")).join(cells.select("cell_id", "area"), "cell_id")
-    return s.select("cell_id", (F.col("area") + 1).alias("area_plus_one"), F.log2(F.col("s") / F.col("area") + 1).alias("log_density"))
+    return density(counts, cells).join(cells.select("cell_id", (F.col("area") + 1).alias("area_plus_one")), "cell_id").select("cell_id", "area_plus_one", "log_density")
 
 
 def compare_methods(a: DataFrame, b: DataFrame, on: str, value: str) -> DataFrame:

@@ -425,23 +425,22 @@ def _(t):
 @query("q_left_coalesce", "select transcript_id, coalesce(cell_id, nucleus_id) as cell_id from v_transcripts t left join (select s_suppkey from supplier) s on s.s_suppkey = t.nucleus_id")
 def _(t):
     s = t.table("supplier").select(F.col("s_suppkey").alias("nucleus_id"), F.col("s_suppkey").alias("new"))
-    return t.tx.join(s, "nucleus_id", "left").select("transcript_id", F.coalesce("cell_id", "new").cast("long").alias("cell_id"))
+    return graph.fill_from(t.tx, s, "nucleus_id").select("transcript_id", F.col("cell_id").cast("long").alias("cell_id"))
 
 
 @query("q_common_genes", "select gene from (select distinct gene from v_transcripts where method = 'A' intersect select distinct p_brand from part where p_size < 10)")
 def _(t):
-    return t.tx.where("method = 'A'").select("gene").intersect(t.table("part").where("p_size < 10").select("p_brand"))
+    return readers.common_genes(t.tx.where("method = 'A'"), t.table("part").where("p_size < 10").select(F.col("p_brand").alias("gene")))
 
 
 @query("q_genes_without", "select distinct gene from v_transcripts except select distinct p_brand from part where p_size < 10")
 def _(t):
-    return t.tx.select("gene").distinct().join(t.table("part").where("p_size < 10").select(F.col("p_brand").alias("gene")), "gene", "left_anti")
+    return readers.genes_without(t.tx, t.table("part").where("p_size < 10").select(F.col("p_brand").alias("gene")))
 
 
 @query("q_type_pairs", "select a.t as type1, b.t as type2 from (select distinct cell_type as t from v_cells) a join (select distinct cell_type as t from v_cells) b on a.t < b.t")
 def _(t):
-    c = t.cells.select("cell_type").distinct()
-    return c.select(F.col("cell_type").alias("type1")).join(c.select(F.col("cell_type").alias("type2")), F.col("type1") < F.col("type2"))
+    return metrics.type_pairs(t.cells)
 
 
 @query("q_submatrix", f"select src, dst from {_TX_BD} where src in (select transcript_id from v_transcripts where nuclear = 1) and dst in (select s_suppkey from supplier where s_acctbal > 0)")
@@ -528,7 +527,7 @@ def _(t):
 
 @query("q_percentiles", "select gene, round(quantile_cont(x, 0.05), 6) as p5, round(quantile_cont(x, 0.95), 6) as p95 from v_transcripts group by gene")
 def _(t):
-    return t.tx.groupBy("gene").agg(R(F.percentile("x", F.lit(0.05))).alias("p5"), R(F.percentile("x", F.lit(0.95))).alias("p95"))
+    return matrix.gene_percentiles(t.tx, "x", [0.05, 0.95]).select("gene", R("p5").alias("p5"), R("p95").alias("p95"))
 
 
 _BIN = lambda c, src: f"select s.*, 1 + " + " + ".join(f"(case when {c} > e{i} then 1 else 0 end)" for i in range(1, 10)) + f" as bin from {src} s cross join (select " + ", ".join(f"quantile_cont({c}, {i / 10}) as e{i}" for i in range(1, 10)) + f" from {src})"
@@ -836,8 +835,8 @@ def _(t):
 
 @query("q_density", f"select c.cell_id, round(s / area, 6) as density, round(log2(s / area + 1), 6) as log_density from v_cells c join (select cell_id, sum(n) as s from {COUNTS} group by 1) q on q.cell_id = c.cell_id")
 def _(t):
-    s = t.counts.groupBy("cell_id").agg(F.sum("n").alias("s")).join(t.cells, "cell_id")
-    return s.select("cell_id", R(F.col("s") / F.col("area")).alias("density"), R(F.log2(F.col("s") / F.col("area") + 1)).alias("log_density"))
+    d = metrics.density(t.counts, t.cells)
+    return d.select("cell_id", R("density").alias("density"), R("log_density").alias("log_density"))
 
 
 @query("q_method_compare", "select a.gene, a.v as v_1, b.v as v_2 from (select gene, round(avg(qv), 6) as v from v_transcripts where method = 'A' group by gene) a join (select gene, round(avg(qv), 6) as v from v_transcripts where method = 'R' group by gene) b on a.gene = b.gene")
@@ -881,7 +880,7 @@ def _(t):
 
 @query("q_average_expression", f"select cell_type, gene, round(avg(n), 6) as mean_n from {COUNTS} c join v_cells t on t.cell_id = c.cell_id group by 1, 2")
 def _(t):
-    return t.counts.join(t.cells, "cell_id").groupBy("cell_type", "gene").agg(R(F.avg("n")).alias("mean_n"))
+    return metrics.average_expression(t.counts, t.cells).withColumn("mean_n", R("mean_n"))
 
 
 @query("q_explorer_cells", "select cell_id, count(*) as n, round(avg(x), 9) as cx, round(avg(y), 9) as cy, cast(floor(avg(z) / 3) * 3 as bigint) as z_level from v_transcripts where cell_id is not null group by cell_id having count(*) >= 5")

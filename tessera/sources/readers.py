@@ -97,6 +97,16 @@ def features(df: DataFrame, prefixes: tuple[str, ...] = (), weights: DataFrame |
     return out if weights is None else out.join(weights.select("gene").distinct(), "gene", "left_semi")
 
 
+def common_genes(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Genes that two tables share."""
+    return a.select("gene").intersect(b.select("gene"))
+
+
+def genes_without(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Genes of a table that another lacks."""
+    return a.select("gene").distinct().join(b.select("gene").distinct(), "gene", "left_anti")
+
+
 def read_tiles(spark: SparkSession, root: str, split: str | None = None) -> DataFrame:
     """Rows of a tile store written by ``sinks.write_tiles``; the split prunes folders."""
     df = spark.read.parquet(root)

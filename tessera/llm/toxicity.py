@@ -23,7 +23,9 @@ from .labelled import fold_of, labelled_sample
 SIZES = (4, 5)
 BITS = 22
 #: Bounds of the labelled rows and of their bytes of text.
-SAMPLE, SAMPLE_BYTES = 8000, 12 << 20
+SAMPLE, SAMPLE_BYTES = 8000, 8 << 20
+#: Cells of rows that training looks at together.
+CHUNK = 1 << 20
 SMOOTH, PENALTY, STEPS = 30.0, 1e-3, 80
 WINDOW = 1 << 20
 
@@ -79,22 +81,35 @@ def _rows(it):
 
 
 def train(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, penalty: float = PENALTY, steps: int = STEPS) -> Model:
-    """The logistic model of rows of cells, by Adam on the whole sample."""
+    """The logistic model of rows of cells, by Adam on the whole sample, in chunks of rows."""
     n = np.array([len(x) for x in rows])
-    cells, col = np.unique(np.concatenate(rows) if len(rows) else np.zeros(0, np.int32), return_inverse=True)
-    col = col.astype(np.int32)
-    start = np.concatenate([[0], np.cumsum(n)[:-1]])
-    some = np.flatnonzero(n > 0)
+    seen = np.zeros(1 << BITS, bool)
+    for x in rows:
+        seen[x] = True
+    cells = np.flatnonzero(seen)
+    number = np.zeros(1 << BITS, np.int32)
+    number[cells] = np.arange(len(cells))
+    chunks, i = [], 0
+    while i < len(rows):
+        j = max(i + 1, int(np.searchsorted(np.cumsum(n[i:]), CHUNK, "right")) + i)
+        some = np.flatnonzero(n[i:j])
+        if len(some):
+            chunks.append((i + some, n[i:j][some], number[np.concatenate(rows[i:j])]))
+        i = j
     rate = ratios[cells].astype(np.float32)
     base = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
     w, b = np.zeros(len(cells), np.float32), np.log(base / (1 - base))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
-        z = np.full(len(rows), b)
-        z[some] += np.add.reduceat((w * rate)[col], start[some])
-        d = (0.5 * (1 + np.tanh(0.5 * z)) - y) / len(rows)
-        g = rate * np.bincount(col, np.repeat(d.astype(np.float32), n), len(cells)).astype(np.float32) + penalty * w
-        gb = d.sum()
+        scaled, total, gb = w * rate, np.zeros(len(cells)), 0.0
+        for at, k, col in chunks:
+            z = b + np.add.reduceat(scaled[col], np.cumsum(k) - k, dtype=np.float64)
+            d = (0.5 * (1 + np.tanh(0.5 * z)) - y[at]) / len(rows)
+            total += np.bincount(col, np.repeat(d, k), len(cells))
+            gb += d.sum()
+        bare = n == 0  # rows without n-grams teach the bias alone
+        gb += ((0.5 * (1 + np.tanh(0.5 * b)) - y[bare]) / len(rows)).sum()
+        g = rate * total.astype(np.float32) + penalty * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         step = 0.1 * (1 - t / (steps + 1))
@@ -127,8 +142,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds
     # one row per cell at most
     counts = rows.mapInArrow(_counts, "cell int, yes long, no long").groupBy("cell").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).toPandas()
     ratios = log_count_ratios(counts["cell"].to_numpy(), counts["yes"].to_numpy(), counts["no"].to_numpy(), n[1], n[0])
-    got = rows.mapInArrow(_rows, "x binary, y int").toPandas()
-    got = sorted(zip(got["y"], got["x"]))  # whatever order the tasks ended in
+    # in an order of their own, whatever order the tasks ended in
+    got = sorted((r["y"], bytes(r["x"])) for r in rows.mapInArrow(_rows, "x binary, y int").toLocalIterator())
     return train([np.frombuffer(x, "<i4") for _, x in got], np.array([y for y, _ in got], float), ratios)
 
 

@@ -33,6 +33,8 @@ UNSEEN = 0.5
 #: Bits of an n-gram's hash.  Among k distinct n-grams, about k / 2^56 share one.
 HASH_BITS = 56
 BLOCK_BYTES = 8 << 20
+#: Effort of the compression of a block's texts, which are written once and sent once.
+LEVEL = 9
 #: n-grams that one partition of the count table is asked for.
 PER_PARTITION = 3_000_000
 ROW_GROUP = 16 << 20
@@ -53,7 +55,7 @@ def _blocks(it):
         known = [0 if i is None else i for i in ids]
         nameless = [k for k, i in enumerate(ids) if i is None]
         lists = [pa.array([x], pa.list_(pa.int64())) for x in (known, nameless, sizes)]
-        return pa.record_batch([pa.array([(part << 32) + seq], pa.int64()), *lists, pa.array([zstandard.compress(b"".join(parts), 3)], pa.binary()), pa.array([held], pa.int64()), pa.array([n_words], pa.int64())], names=["block", "ids", "nameless", "sizes", "texts", "bytes", "words"])
+        return pa.record_batch([pa.array([(part << 32) + seq], pa.int64()), *lists, pa.array([zstandard.compress(b"".join(parts), LEVEL)], pa.binary()), pa.array([held], pa.int64()), pa.array([n_words], pa.int64())], names=["block", "ids", "nameless", "sizes", "texts", "bytes", "words"])
 
     for batch in it:
         docs, texts = batches(batch, ["doc_id", "text"])

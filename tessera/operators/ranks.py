@@ -46,6 +46,30 @@ def quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float | N
     return [value[int(x)] + (x - int(x)) * (value[min(int(x) + 1, n - 1)] - value[int(x)]) for x in at]
 
 
+def weighted_quantiles(df: DataFrame, column: str, weight: str, shares: list[float]) -> list[float | None]:
+    """``quantiles`` of a table in which a row counts ``weight`` times (whole numbers of at least 1)."""
+    df = df.select(F.col(column).cast("double").alias(column), F.col(weight).alias(weight)).where(F.col(column).isNotNull() & ~F.isnan(column))
+    n, low, high = df.agg(F.sum(weight), F.min(column), F.max(column)).first()
+    if not n:
+        return [None] * len(shares)
+    at = [s * (n - 1) for s in shares]
+    ranks = sorted({r for x in at for r in (int(x), min(int(x) + 1, n - 1))})
+    value, spans = {}, [(low, high, 0, ranks)]
+    while spans:
+        low, high, before, wanted = spans.pop()
+        if low == high:
+            value |= dict.fromkeys(wanted, low)
+            continue
+        part = F.least(F.floor((F.col(column) - low) / ((high - low) / BINS)), F.lit(BINS - 1)).cast("int")
+        bins = df.where(F.col(column).between(low, high)).groupBy(part.alias("b")).agg(F.sum(weight).alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi"))
+        for _, k, lo, hi in sorted(bins.collect()):  # BINS rows at most
+            here = [r for r in wanted if before <= r < before + k]
+            if here:
+                spans.append((lo, hi, before, here))
+            before += k
+    return [value[int(x)] + (x - int(x)) * (value[min(int(x) + 1, n - 1)] - value[int(x)]) for x in at]
+
+
 def running_total(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
     """``df`` with the sum of ``value`` over the rows up to each one in the order of a unique column.
 

@@ -3,7 +3,9 @@
 import numpy as np
 import pytest
 
-from tessera.operators import spatial_join
+from pyspark.sql import functions as F
+
+from tessera.operators import graph, ranks, spatial_join
 
 
 def brute(left, right, k, distance, include_self=True):
@@ -60,3 +62,23 @@ def test_knn_forms_no_pairs_outside_its_tasks(spark):
         assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
         rows = out.collect()
         assert len(rows) == 60_000 and {r.dst for r in rows} == {0, 1, 2, 3}
+
+
+def test_leftover_pairs_equal_the_edges_of_all_pairs(spark):
+    p = [(i, x, y, f"g{i % 2}") for i, x, y in points(2)]
+    df = spark.createDataFrame(p, "id long, x double, y double, gene string")
+    taken = spark.createDataFrame([(i,) for i in range(0, 400, 3)], "id long")
+    score = lambda d: 1 / (1 + d)
+    edges = spatial_join.self_pairs(df, 4, by=("gene",)).withColumn("score", score(F.col("d")))
+    for cut, above in ((0.25, True), (None, False)):
+        want = sorted(map(tuple, graph.leftover_edges(edges, taken, cut, above).select("src", "dst").collect()))
+        got = graph.leftover_pairs(df, taken, 4, score, cut, above, by=("gene",))
+        assert want and sorted(map(tuple, got.select("src", "dst").collect())) == want
+
+
+def test_leftover_pairs_of_one_place_are_rows_of_the_result_only(spark):
+    """20,000 points at one place, of which two are free: 400 million pairs count for the median."""
+    df = spark.range(20_000).selectExpr("id", "1.0D as x", "2.0D as y")
+    got = graph.leftover_pairs(df, df.where("id > 1").select("id"), 4, lambda d: 1 / (1 + d), 0.25)
+    assert sorted(map(tuple, got.select("src", "dst").collect())) == [(0, 1), (1, 0)]
+    assert ranks.weighted_quantiles(spark.createDataFrame([(1.0, 3), (2.0, 1), (4.0, 2)], "v double, n long"), "v", "n", [0.0, 0.5, 0.7, 1.0]) == [1.0, 1.5, 3.0, 4.0]

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import graph, ranks, spatial_join
+from tessera.plans import dataset
 
 
 def brute(left, right, k, distance, include_self=True):
@@ -82,3 +83,17 @@ def test_leftover_pairs_of_one_place_are_rows_of_the_result_only(spark):
     got = graph.leftover_pairs(df, df.where("id > 1").select("id"), 4, lambda d: 1 / (1 + d), 0.25)
     assert sorted(map(tuple, got.select("src", "dst").collect())) == [(0, 1), (1, 0)]
     assert ranks.weighted_quantiles(spark.createDataFrame([(1.0, 3), (2.0, 1), (4.0, 2)], "v double, n long"), "v", "n", [0.0, 0.5, 0.7, 1.0]) == [1.0, 1.5, 3.0, 4.0]
+
+
+def test_tile_graph_saves_no_edges_and_counts_what_it_gives(spark, monkeypatch):
+    saved, save = [], dataset.save
+    monkeypatch.setattr(dataset, "save", lambda df, name: saved.append((name, df.columns)) or save(df, name))
+    p = spark.range(3000).selectExpr("id as transcript_id", "cast(id % 30 as double) as x", "cast(id % 20 as double) as y", "null as z", "'g' as gene", "1 as nuclear", "id % 2 as cell_id")
+    ring = [(c, i, 8.0 + 8 * c + dx, 10.0 + dy) for c in (0, 1) for i, (dx, dy) in enumerate([(0, 0), (3, 0), (3, 3), (0, 3)])]
+    g = dataset.tile_graph(p, spark.createDataFrame(ring, "cell_id long, vertex_idx int, x double, y double"), 40, 40, margin=2)
+    assert not [n for n, columns in saved if {"src", "dst"} & set(columns)]
+    (t,) = g.tiles.collect()
+    assert (t.n_tx, t.n_bd, t.n_tx_tx) == (3000, 2, 9000) and t.n_tx_bd > 0 and t.n_belongs == 3000
+    for name in ("tx", "bd", "tx_tx", "tx_bd"):
+        assert getattr(g, name).count() == t[f"n_{name}"]
+    assert g.belongs.where("label = 1").count() == t.n_belongs

@@ -5,8 +5,8 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from tessera.operators import graph, ranks, spatial_join
-from tessera.plans import dataset
+from tessera.operators import components, graph, ranks, spatial_join
+from tessera.plans import dataset, segment
 
 
 def brute(left, right, k, distance, include_self=True):
@@ -97,3 +97,41 @@ def test_tile_graph_saves_no_edges_and_counts_what_it_gives(spark, monkeypatch):
     for name in ("tx", "bd", "tx_tx", "tx_bd"):
         assert getattr(g, name).count() == t[f"n_{name}"]
     assert g.belongs.where("label = 1").count() == t.n_belongs
+
+
+def test_components_contract_in_tasks_and_link_what_tasks_share(spark, monkeypatch):
+    r = np.random.default_rng(7)
+    chain = [(i, i + 1) for i in range(1000, 1400)]
+    pairs = [(int(a), int(b)) for a, b in r.integers(0, 300, (220, 2))]
+    links = chain + pairs
+    label = {n: n for e in links for n in e}
+    for _ in range(len(label)):
+        new = dict(label)
+        for a, b in links:
+            new[a] = new[b] = min(new[a], new[b])
+        if new == label:
+            break
+        label = new
+    want = {n: c for n, c in label.items() if any(n in e and e[0] != e[1] for e in links)}
+    rounds, save = [], components.save
+    monkeypatch.setattr(components, "save", lambda df, name: rounds.append(name) or save(df, name))
+    df = spark.createDataFrame([links[i] for i in r.permutation(len(links))], "src long, dst long")
+    for n, held in ((8, 4_000_000), (3, 50), (1, 4_000_000)):
+        monkeypatch.setattr(components, "HELD", held)
+        rounds.clear()
+        got = components.components(df.repartition(n)).collect()
+        assert len(got) == len(want) and {g.node: g.component for g in got} == want
+    assert rounds.count("edges") <= 3  # one task holds all: the chain of 400 needs no rounds of its own
+    text = components.components(df.selectExpr("concat('n', src) as src", "concat('n', dst) as dst").repartition(4)).collect()
+    assert len({t.component for t in text}) == len(set(want.values()))
+
+
+def test_segment_saves_no_edges_between_points(spark, monkeypatch):
+    p = spark.range(2000).selectExpr("id as transcript_id", "cast(id % 4 * 50 as double) as x", "0.0D as y", "1.0D as z", "cast(null as long) as cell_id")
+    ring = spark.createDataFrame([(1, i, x, y) for i, (x, y) in enumerate([(-2.0, -2.0), (2.0, -2.0), (2.0, 2.0), (-2.0, 2.0)])], "cell_id long, vertex_idx int, x double, y double")
+    saved = []
+    for module in (segment, graph):
+        monkeypatch.setattr(module, "save", lambda df, name, f=module.save: saved.append(df.columns) or f(df, name))
+    got = segment.segment(p, ring, segment.by_distance(10), dist_tx=2).collect()
+    assert saved and not [c for c in saved if {"src", "dst"} <= set(c)]
+    assert len(got) == 2000 and len({g.cell_id for g in got}) == 4 and sum(g.bound == 1 and g.cell_id == "1" for g in got) == 500

@@ -12,7 +12,9 @@ file: place in the order, first id's position, documents, lengths and coded bloc
 from __future__ import annotations
 
 import zlib
+from array import array
 from functools import cache as once
+from operator import itemgetter
 
 import numpy as np
 import regex
@@ -55,6 +57,8 @@ _LETTERS = {i: c for i, c in enumerate(_byte_letters())}
 #: The word pattern of byte-level BPE vocabularies of this family (a fixed value).
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _LATIN = "\u024f"
+_SPACE = _LETTERS[ord(" ")]
+_MARKS = frozenset(".,;:!?")
 
 
 class _Pieces(dict):
@@ -74,14 +78,17 @@ class _Chunks(dict):
 
     def __init__(self, tokenizer, dtype: str):
         self.tokenizer, self.dtype, self.pieces = tokenizer, dtype, _Pieces(tokenizer, dtype)
+        self.code = next(c for c in "HIL" if array(c).itemsize == np.dtype(dtype).itemsize)
 
     def __missing__(self, chunk: str) -> bytes:
-        text = " " + chunk
-        if chunk.isalpha() and max(chunk) <= _LATIN:
-            letters = text.encode().decode("latin-1").translate(_LETTERS)
-            ids = np.array([t.id for t in self.pieces.model.tokenize(letters)], self.dtype).tobytes()
+        head = chunk[:-1]
+        if chunk.isalpha() and (chunk.isascii() or max(chunk) <= _LATIN):
+            letters = _SPACE + chunk if chunk.isascii() else (" " + chunk).encode().decode("latin-1").translate(_LETTERS)
+            ids = array(self.code, [t.id for t in self.pieces.model.tokenize(letters)]).tobytes()
+        elif chunk[-1:] in _MARKS and head.isalpha() and head.isascii():  # a word and a mark are two pieces
+            ids = self[head] + self.pieces[chunk[-1]]
         else:
-            ids = self.of(text)
+            ids = self.of(" " + chunk)
         self[chunk] = ids
         return ids
 
@@ -128,25 +135,32 @@ class ChunkEncoder:
             known.clear()
         if len(known.pieces) > REMEMBERED:
             known.pieces.clear()
-        get, out, whole = known.__getitem__, [], []
+        out, whole = [], []
         for text in texts:
             if "  " in text or text[:1] == " " or text[-1:] == " " or (self.added and self.added.search(text)):
                 out.append(None)
                 whole.append(text)
             else:
                 first, *rest = text.split(" ")
-                out.append(known.of(first) + b"".join(map(get, rest)))
+                # with a key more, itemgetter always gives a tuple
+                out.append(known.of(first) + b"".join(itemgetter(*rest, *rest[:1])(known)[: len(rest)]) if rest else known.of(first))
         coded = iter(self._whole(whole) if whole else ())
         return [next(coded) if x is None else x for x in out]
 
 
+@once
+def _coder(path: str, dtype: str) -> ChunkEncoder:
+    """A worker's encoder: what it remembers serves all its tasks."""
+    return ChunkEncoder(path, dtype)
+
+
 def _segments(path: str, dtype: str, end_id: int):
     width = np.dtype(dtype).itemsize
 
     def run(it):
         import pyarrow as pa
 
-        coder = ChunkEncoder(path, dtype)
+        coder = _coder(path, dtype)
         end = np.array([end_id], dtype).tobytes()
         part, seq, before = TaskContext.get().partitionId(), 0, 0
         docs: list[int | None] = []

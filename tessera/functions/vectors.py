@@ -33,6 +33,13 @@ def leaky_relu(a: Column, slope: float = 0.2) -> Column:
     return F.transform(a, lambda x: F.when(x > 0, x).otherwise(x * slope))
 
 
+def rounded(c: Column, k: int) -> Column:
+    """``round(c, k)`` of doubles; only those near a tie, negative or large take its decimal arithmetic."""
+    scaled = c * F.lit(10.0**k)
+    clear = (c >= 0) & (scaled < 2.0**32) & (F.abs(scaled - F.floor(scaled) - 0.5) > 1e-4)
+    return F.when(clear, F.floor(scaled + 0.5).cast("double") / F.lit(10.0**k)).otherwise(F.round(c, k))
+
+
 def softmax(df: DataFrame, group: list[str], logit: str, out: str = "weight") -> DataFrame:
     """Weights per group; the greatest logit is taken off first."""
     top = df.groupBy(*group).agg(F.max(logit).alias("__top"))

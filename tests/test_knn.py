@@ -5,7 +5,8 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from tessera.operators import components, graph, ranks, spatial_join
+from tessera.functions import vectors
+from tessera.operators import components, graph, knn, ranks, spatial_join
 from tessera.plans import dataset, segment
 
 
@@ -65,6 +66,38 @@ def test_knn_forms_no_pairs_outside_its_tasks(spark):
         assert len(rows) == 60_000 and {r.dst for r in rows} == {0, 1, 2, 3}
 
 
+def test_knn_sends_python_one_number_beside_the_rows(spark):
+    """Each column costs with every row; two keys of a tile would also be compared row by row."""
+    df = spark.createDataFrame(points(2), "id long, x double, y double")
+    plan = spatial_join.self_knn(df, 3, 2.0)._jdf.queryExecution().executedPlan().toString()
+    (call,) = [line for line in plan.splitlines() if "FlatMapGroupsInArrow" in line]
+    sent = call[call.index("run(") :].split(")")[0]
+    assert [c.strip().split("#")[0] for c in sent[len("run(") :].split(",")] == ["id", "x", "y", "__at"]
+    assert [line.count(" ASC ") for line in plan.splitlines() if "Sort [" in line] == [1]
+
+
+def test_knn_beyond_the_outermost_tile(spark):
+    p = [(i, s * x, y) for i, (s, x, y) in enumerate((s, x, y) for s in (-1, 1) for x in (1e13, 1e13 + 1, 2e13, 137438953000.0) for y in (0.0, 1.5, -4e13))]
+    got = spatial_join.self_knn(spark.createDataFrame(p, "id long, x double, y double"), 3, 2.0)
+    assert {(r.src, r.dst, round(r.d, 9), r.rank) for r in got.collect()} == brute(p, p, 3, 2.0)
+
+
+def test_order_by_one_number_is_the_order_by_all(spark):
+    r = np.random.default_rng(3)
+    d = np.concatenate([r.uniform(0, 2, 500), 1 + r.integers(0, 9, 500) * 2.0**-52, np.nextafter(2.0, 0) - r.integers(0, 2, 100) * 2.0**-52, np.zeros(100)])
+    owner, ids = r.integers(0, 7, len(d)), r.permutation(len(d))
+    assert (knn._order(owner, d, ids, 2.0) == np.lexsort((ids, d, owner))).all()
+    assert (knn._order(owner, d * 1e-300, ids, 2e-300) == np.lexsort((ids, d * 1e-300, owner))).all()
+
+
+def test_rounded_equals_round(spark):
+    r = np.random.default_rng(4)
+    ties = (r.integers(0, 4_000_000, 2000) + 0.5) / 1e6
+    values = [*ties, *np.nextafter(ties, 0), *np.nextafter(ties, 9), *r.uniform(0, 2, 2000), *r.uniform(-2, 1e9, 500), 0.0, -0.0, 1e300, -0.0000005, float("inf"), float("nan"), None]
+    df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "v double")
+    assert df.where(~F.round("v", 6).eqNullSafe(vectors.rounded(F.col("v"), 6))).count() == 0
+
+
 def test_leftover_pairs_equal_the_edges_of_all_pairs(spark):
     p = [(i, x, y, f"g{i % 2}") for i, x, y in points(2)]
     df = spark.createDataFrame(p, "id long, x double, y double, gene string")

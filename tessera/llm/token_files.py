@@ -11,6 +11,7 @@ file: place in the order, first id's position, documents, lengths and coded bloc
 
 from __future__ import annotations
 
+import string
 import zlib
 from array import array
 from functools import cache as once
@@ -26,8 +27,8 @@ from . import rans
 from .common import batches, drop, save, scratch, shuffle_partitions
 
 SEGMENT = 1 << 19
-#: Distinct chunks a worker remembers; above that it forgets them all.
-REMEMBERED = 400_000
+#: Distinct chunks a worker remembers; above that it forgets those not met for the longest time.
+REMEMBERED = 800_000
 ROW_GROUP = 16 << 20
 
 
@@ -58,7 +59,7 @@ _LETTERS = {i: c for i, c in enumerate(_byte_letters())}
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _LATIN = "\u024f"
 _SPACE = _LETTERS[ord(" ")]
-_MARKS = frozenset(".,;:!?")
+_MARKS = string.punctuation
 
 
 class _Pieces(dict):
@@ -79,19 +80,48 @@ class _Chunks(dict):
     def __init__(self, tokenizer, dtype: str):
         self.tokenizer, self.dtype, self.pieces = tokenizer, dtype, _Pieces(tokenizer, dtype)
         self.code = next(c for c in "HIL" if array(c).itemsize == np.dtype(dtype).itemsize)
+        self.former: dict[str, bytes] = {}
+
+    def age(self) -> None:
+        """Forget what was not met since the last time."""
+        self.former = dict(self)
+        self.clear()
 
     def __missing__(self, chunk: str) -> bytes:
-        head = chunk[:-1]
-        if chunk.isalpha() and (chunk.isascii() or max(chunk) <= _LATIN):
-            letters = _SPACE + chunk if chunk.isascii() else (" " + chunk).encode().decode("latin-1").translate(_LETTERS)
-            ids = array(self.code, [t.id for t in self.pieces.model.tokenize(letters)]).tobytes()
-        elif chunk[-1:] in _MARKS and head.isalpha() and head.isascii():  # a word and a mark are two pieces
-            ids = self[head] + self.pieces[chunk[-1]]
-        else:
-            ids = self.of(" " + chunk)
+        ids = self.former.get(chunk)
+        if ids is None:
+            if chunk.isalpha() and (chunk.isascii() or max(chunk) <= _LATIN):
+                letters = _SPACE + chunk if chunk.isascii() else (" " + chunk).encode().decode("latin-1").translate(_LETTERS)
+                ids = array(self.code, [t.id for t in self.pieces.model.tokenize(letters)]).tobytes()
+            elif "\n" in chunk and self._apart(lines := chunk.split("\n")):  # seldom met again: not remembered
+                return self[lines[0]] + b"".join([self.pieces["\n"] + self._start(line) for line in lines[1:]])
+            else:
+                head = chunk.rstrip(_MARKS)
+                if len(head) < len(chunk) and self._word(head):  # a word and marks are two pieces
+                    ids = self[head] + self.pieces[chunk[len(head) :]]
+                else:
+                    ids = self.of(" " + chunk)
         self[chunk] = ids
         return ids
 
+    @staticmethod
+    def _word(text: str) -> bool:
+        return text.isalpha() and (text.isascii() or max(text) <= _LATIN)
+
+    @staticmethod
+    def _apart(lines: list[str]) -> bool:
+        """Whether each line break stands alone between visible characters: then it is a piece of its own."""
+        for line in lines:
+            if not line or line[0].isspace() or line[-1].isspace() or not (line.isascii() or max(line) <= _LATIN):
+                return False
+        return True
+
+    def _start(self, line: str) -> bytes:
+        head = line.rstrip(_MARKS)
+        if not self._word(head):
+            return self.of(line)
+        return self.pieces[head] + self.pieces[line[len(head) :]] if len(head) < len(line) else self.pieces[head]
+
     def of(self, text: str) -> bytes:
         if text and max(text) > _LATIN:  # leave the classes of other scripts to the library
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -131,9 +161,9 @@ class ChunkEncoder:
         if not self.fast:
             return self._whole(texts)
         known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        if len(known.pieces) > REMEMBERED:
+        if len(known) > REMEMBERED // 2:
+            known.age()
+        if len(known.pieces) > REMEMBERED // 2:
             known.pieces.clear()
         out, whole = [], []
         for text in texts:

@@ -14,3 +14,33 @@ def test_chunks_equal_the_library_and_words_with_marks_are_not_searched(monkeypa
     monkeypatch.setattr(coder.known, "of", lambda text: pytest.fail(f"searched {text}") if text != "x" else b"")
     assert coder.encode(["x zebras, quills. zebras!"])[0] == coder._whole([" zebras, quills. zebras!"])[0]
     assert token_files._coder(path, "<u2") is token_files._coder(path, "<u2")
+
+
+def test_lines_and_marks_are_put_together_from_words(monkeypatch):
+    coder = token_files.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"), "<u2")
+    odd = ["x a.\nB c\n\nd e\n", "x end.\nStart&&&\nnext!? y", "x w'\ns w's\n's it'\n'll", "x é&&&\nÅb  c\x85\nd e\x1c\nf\tg\n\rh", "x \na b\n c", "x a_b\n1,2\n日本\nc __ &\n& a%\n%b", "x 'a'\n\"b\" c\r\nd", "x ª.\nº ß\nÿ ñ'\nñ's"]
+    assert coder.encode(odd) == coder._whole(odd) and [coder.encode([t])[0] for t in odd] == coder._whole(odd)
+    monkeypatch.setattr(coder.known, "of", lambda text: pytest.fail(f"searched {text}") if text != "x" else b"")
+    tail = " quagga.\nZebu%%%\nokapi, tapir&&&"
+    assert coder.encode(["x" + tail])[0] == coder._whole([tail])[0]
+    assert "quagga." in coder.known and "quagga.\nZebu%%%\nokapi," not in coder.known
+
+
+def test_chunks_met_lately_are_remembered_when_others_are_forgotten(monkeypatch):
+    monkeypatch.setattr(token_files, "REMEMBERED", 60)
+    coder = token_files.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"), "<u2")
+    asked = []
+    made = coder.known.pieces.model
+
+    class Model:
+        def tokenize(self, letters):
+            asked.append(letters)
+            return made.tokenize(letters)
+
+    coder.known.pieces.model = Model()
+    names = ["".join(chr(97 + int(c)) for c in str(i)) for i in range(1000, 1200)]
+    for i in range(0, 200, 5):
+        text = " ".join(["x", "often", *names[i : i + 5]])
+        assert coder.encode([text]) == coder._whole([text])
+        assert len(coder.known) + len(coder.known.former) <= 60 + 12
+    assert sum(a.endswith("often") for a in asked) == 1

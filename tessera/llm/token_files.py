@@ -28,7 +28,7 @@ from .common import batches, drop, save, scratch, shuffle_partitions
 
 SEGMENT = 1 << 19
 #: Distinct chunks a worker remembers; above that it forgets those not met for the longest time.
-REMEMBERED = 800_000
+REMEMBERED = 600_000
 ROW_GROUP = 16 << 20
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, save
+from .common import drop, lean, save
 
 #: Links that one task contracts.
 PER_TASK = 500_000
@@ -64,7 +64,7 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
     links = save(e, "links")
     tasks = -(-links.count() // PER_TASK)
     # Parquet splits are not cut by rows: a task may get some more links than PER_TASK
-    first = e = save(links.coalesce(max(1, tasks)).mapInArrow(_contract, "u long, v long"), "links")
+    first = e = save(links.coalesce(max(1, tasks)).mapInArrow(lean(_contract), "u long, v long"), "links")
     before = None
     for _ in range(max_rounds if tasks > 1 else 0):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, U64, batches, gram_hashes, row_slices, save, utf8
+from .common import LOWER, SPACE, U64, batches, gram_hashes, lean, row_slices, save, utf8
 
 Q = 12
 #: Edits allowed per byte of an item.
@@ -341,11 +341,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float
     numbered, parts = None, []
     for blocks, index in _indexes(benchmark, q, rate):
         if blocks == 1:
-            out = base.mapInArrow(_rows(index), f"doc_id long, matches {_MATCH_SQL}")
+            out = base.mapInArrow(lean(_rows(index)), f"doc_id long, matches {_MATCH_SQL}")
             break
         if numbered is None:
             numbered = save(base.withColumn("row", F.monotonically_increasing_id()), "decontaminate")
-        hits = numbered.select("row", "text").mapInArrow(_scan(index), "row long, item_id long, edits int, start long, end long")
+        hits = numbered.select("row", "text").mapInArrow(lean(_scan(index)), "row long, item_id long, edits int, start long, end long")
         parts.append(save(hits, "matches"))
     else:
         every = parts[0]
@@ -369,6 +369,6 @@ def decontaminated_documents(docs: DataFrame, benchmark: DataFrame, q: int = Q,
     text = F.col(names[docs.columns.index("text")]).cast("string").alias("text")
     kept = numbered = save(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "decontaminate")
     for _, index in _indexes(benchmark, q, rate):
-        hits = numbered.select("row", text).mapInArrow(_scan(index), "row long, item_id long, edits int, start long, end long")
+        hits = numbered.select("row", text).mapInArrow(lean(_scan(index)), "row long, item_id long, edits int, start long, end long")
         kept = kept.join(save(hits.select("row").distinct(), "leaks"), "row", "left_anti")
     return kept.select(*names).toDF(*docs.columns)

@@ -41,7 +41,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, drop, release, row_words, save, shingles, utf8
+from .common import batches, drop, lean, release, row_words, save, shingles, utf8
 from .components import connected_components
 from .lots import frequencies, lot_ids, rows_with_shared
 
@@ -98,7 +98,7 @@ def shingle_table(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """doc_id, t (hash of the text), n, h1, h2, longest, prefix, row: saved; ``row`` numbers the rows."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = base.withColumn("t", F.xxhash64("text"))
-    out = base.mapInArrow(_features(n, num, den, GROWTH), "doc_id long, t long, n long, h1 long, h2 long, longest int, prefix array<long>")
+    out = base.mapInArrow(lean(_features(n, num, den, GROWTH)), "doc_id long, t long, n long, h1 long, h2 long, longest int, prefix array<long>")
     return save(out.withColumn("row", F.monotonically_increasing_id()), "shingles")
 
 
@@ -142,7 +142,7 @@ def _whole_sets(docs: DataFrame, feats: DataFrame, keep: DataFrame, n: int) -> D
     key = keep.join(again, ["h1", "h2", "doc_id"], "left").select("doc_id", "id", "h1", "h2", F.coalesce("many", F.lit(False)).alias("many"))
     key = save(key.where("doc_id is not null"), "keys")
     sets = docs.join(_small(key), "doc_id").select("id", "text", "h1", "h2", "many")
-    sets = save(sets.mapInArrow(_sets(n), "id long, n long, lot long, many boolean, tokens array<long>, odd array<long>"), "sets")
+    sets = save(sets.mapInArrow(lean(_sets(n)), "id long, n long, lot long, many boolean, tokens array<long>, odd array<long>"), "sets")
     if sets.where("many").isEmpty():
         return sets
     # rows that repeat id and text: one of them

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import lean, lean_group, shuffle_partitions
 
 #: Tokens of a lot, and of a bucket on average at most.
 LOT, BUCKET = 1 << 17, 1 << 20
@@ -157,10 +157,10 @@ def _rows_kept(table):
 def rows_with_shared(rows: DataFrame) -> DataFrame:
     """Of rows (row, longest, prefix), the ids of those with ``longest`` or more distinct tokens that other rows hold."""
     n = _buckets(rows, "prefix")
-    asked = rows.select("row", "longest", "prefix").mapInArrow(_ask_shared(n), "bucket int, lot long, tokens binary, note binary, rows binary, need binary")
-    answers = asked.groupBy("bucket").applyInArrow(_answer_shared, "lot long, rows binary, need binary, found binary")
+    asked = rows.select("row", "longest", "prefix").mapInArrow(lean(_ask_shared(n)), "bucket int, lot long, tokens binary, note binary, rows binary, need binary")
+    answers = asked.groupBy("bucket").applyInArrow(lean_group(_answer_shared), "lot long, rows binary, need binary, found binary")
     answers = answers.where("rows is not null or length(found) > 0")
-    return answers.groupBy("lot").applyInArrow(_rows_kept, "row long")
+    return answers.groupBy("lot").applyInArrow(lean_group(_rows_kept), "row long")
 
 
 # -- frequencies of the tokens of whole sets ---------------------------------------------
@@ -234,7 +234,7 @@ def _postings(choose):
 
 def frequencies(sets: DataFrame, choose: Callable) -> DataFrame:
     """Postings token, id, n, u, l, o of the prefixes that ``choose(n, shared tokens, their frequencies)`` takes of rows id, n, lot, tokens."""
-    asked = sets.select("lot", "tokens").mapInArrow(_ask_frequencies(_buckets(sets, "tokens")), "bucket int, lot long, tokens binary, note binary")
-    answers = asked.groupBy("bucket").applyInArrow(_answer_frequencies, "lot long, shared binary, df binary").where("length(shared) > 0")
+    asked = sets.select("lot", "tokens").mapInArrow(lean(_ask_frequencies(_buckets(sets, "tokens"))), "bucket int, lot long, tokens binary, note binary")
+    answers = asked.groupBy("bucket").applyInArrow(lean_group(_answer_frequencies), "lot long, shared binary, df binary").where("length(shared) > 0")
     both = sets.select("lot", "id", "n", "tokens").groupBy("lot").cogroup(answers.groupBy("lot"))
-    return both.applyInArrow(_postings(choose), "token long, id long, n long, u long, l long, o long")
+    return both.applyInArrow(lean_group(_postings(choose)), "token long, id long, n long, u long, l long, o long")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rans
-from .common import batches, drop, save, scratch, shuffle_partitions
+from .common import REMEMBERED_BY, batches, drop, save, scratch, shuffle_partitions, tidy
 
 SEGMENT = 1 << 19
 #: Distinct chunks a worker remembers; above that it forgets those not met for the longest time.
@@ -184,6 +184,9 @@ def _coder(path: str, dtype: str) -> ChunkEncoder:
     return ChunkEncoder(path, dtype)
 
 
+REMEMBERED_BY["token_files"] = [_coder.cache_clear, _tokenizer.cache_clear]
+
+
 def _segments(path: str, dtype: str, end_id: int):
     width = np.dtype(dtype).itemsize
 
@@ -219,6 +222,7 @@ def _segments(path: str, dtype: str, end_id: int):
                         docs, lens, held, size = [], [], [], 0
         if docs:
             yield out()
+        tidy()
 
     return run
 

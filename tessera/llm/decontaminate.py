@@ -28,8 +28,8 @@ Q = 12
 RATE = 0.05
 #: Bytes of items in one index.
 BLOCK_BYTES = 8 << 20
-#: Bytes of text scanned at a time.
-WINDOW = 1 << 20
+#: Bytes of text scanned at a time; the matches are the same whatever it is.
+WINDOW = 1 << 18
 #: Pairs of places that are looked at together.
 SLICE = 1 << 20
 

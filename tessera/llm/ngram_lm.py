@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, batches, mix, row_word_offsets, row_words, save, shuffle_partitions, utf8
+from .common import U64, batches, lean, lean_group, mix, row_word_offsets, row_words, save, shuffle_partitions, utf8
 
 ALPHA = 0.4
 UNSEEN = 0.5
@@ -99,12 +99,29 @@ def _grams(packed: bytes, sizes: np.ndarray, order: int) -> tuple[np.ndarray, li
         prev[1:] = acc[:-1]
         acc = mix(prev * U64(0xA24BAED4963EE407) + h + U64(k))
         out.append(acc >> drop_bits)
-    return n, out, np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+    return n, out, (np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
 
 
-def _keys(grams: list[np.ndarray], place: np.ndarray) -> np.ndarray:
-    """Every n-gram occurrence of a block, all orders."""
-    return np.concatenate([g[place >= k] for k, g in enumerate(grams)])
+def _sorted(grams: list[np.ndarray], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every n-gram occurrence of a block, all orders, sorted; and which are the first of their n-gram."""
+    keys = np.concatenate([g[place >= k] for k, g in enumerate(grams)])
+    keys.sort()
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    return keys, new
+
+
+def _elsewhere(keys: np.ndarray, doc: np.ndarray, table: np.ndarray, corpus: np.ndarray) -> np.ndarray:
+    """Per occurrence of ``keys`` in ascending documents: the count in ``corpus`` less the document's own."""
+    by = np.argsort(keys, kind="stable")  # so documents ascend within a key
+    keys, doc = keys[by], doc[by]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])
+    first = np.flatnonzero(new)
+    own = np.diff(first, append=len(keys))
+    out = np.empty(len(keys), np.int64)
+    out[by] = np.repeat(corpus[np.searchsorted(table, keys[first])] - own, own)
+    return out
 
 
 def pack(keys: np.ndarray) -> bytes:
@@ -150,8 +167,9 @@ def _ask(order: int, bits: int):
         for batch in it:
             block, sizes, texts = batches(batch, ["block", "sizes", "texts"])
             for k in range(len(block)):
-                _, grams, place = _grams(texts[k].as_py(), np.array(sizes[k].as_py(), np.int64), order)
-                keys, counts = np.unique(_keys(grams, place), return_counts=True)
+                keys, new = _sorted(*_grams(texts[k].as_py(), np.array(sizes[k].as_py(), np.int64), order)[1:])
+                counts = np.diff(np.flatnonzero(new), append=len(keys))
+                keys = keys[new]
                 edges = np.searchsorted(keys, np.arange((1 << bits) + 1, dtype=U64) << U64(HASH_BITS - bits))
                 some = [b for b in range(1 << bits) if edges[b] < edges[b + 1]]
                 base = lambda b: U64(b) << U64(HASH_BITS - bits)
@@ -200,29 +218,30 @@ def _score(order: int, n_all: int):
         answers = answers.sort_values("bucket")
         for ids, nameless, sizes, texts in zip(blocks["ids"], blocks["nameless"], blocks["sizes"], blocks["texts"]):
             n, grams, place = _grams(texts, np.asarray(sizes, np.int64), order)
-            doc = np.repeat(np.arange(len(n)), n)
-            every = [np.flatnonzero(place >= k) for k in range(order)]
-            keys, back = np.unique(_keys(grams, place), return_inverse=True)
-            corpus = np.concatenate([np.zeros(0, np.int64), *(unpack_counts(x) for x in answers["counts"])])
-            if len(corpus) != len(keys):
+            doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
+            keys, new = _sorted(grams, place)
+            table = keys[new]
+            del keys, new
+            corpus, at = np.empty(len(table), np.int64), 0
+            for x in map(unpack_counts, answers["counts"]):
+                corpus[at : at + len(x)] = x[: len(table) - at]
+                at += len(x)
+            if at != len(table):
                 raise ValueError("a block and its answers differ")
-            # less the document's own occurrences
-            pair = np.concatenate([doc[e] for e in every]) * max(1, len(keys)) + back
-            _, where, times = np.unique(pair, return_inverse=True, return_counts=True)
-            left = corpus[back] - times[where]
-            c, at = [], 0
-            for e in every:
-                x = np.zeros(len(doc), np.int64)
-                x[e] = left[at : at + len(e)]
-                c.append(x)
-                at += len(e)
-            s = np.log(np.maximum(c[0], UNSEEN)) - np.log(max(1, n_all))
-            for k in range(1, order):  # longer histories replace what they have seen
-                history = np.zeros(len(doc), np.int64)
-                history[1:] = c[k - 1][:-1]
-                seen = c[k] > 0
-                longer = np.log(np.maximum(c[k], 1)) - np.log(np.maximum(history, 1))
-                s = np.where(place >= k, np.where(seen, longer, np.log(ALPHA) + s), s)
+            # an order at a time, so that a worker holds the occurrences of one
+            c = s = np.zeros(0)
+            for k in range(order):
+                at = np.flatnonzero(place >= k)
+                history, c = c, np.zeros(len(doc), np.int64)
+                c[at] = _elsewhere(grams[k][at], doc[at], table, corpus)
+                if not k:
+                    s = np.log(np.maximum(c, UNSEEN)) - np.log(max(1, n_all))
+                    continue
+                # longer histories replace what they have seen
+                seen = c[at] > 0
+                s[at[~seen]] += np.log(ALPHA)
+                at = at[seen]
+                s[at] = np.log(c[at]) - np.log(np.maximum(history[at - 1], 1))
             total = np.bincount(doc, s, len(n))
             out.append(pd.DataFrame({"doc_id": _ids(ids, nameless), "n_words": n.astype(np.int64), "log_score": total, "mean_log_score": np.where(n > 0, total / np.maximum(n, 1), np.nan)}))
         return pd.concat(out) if out else pd.DataFrame({"doc_id": pd.array([], "Int64"), "n_words": np.zeros(0, np.int64), "log_score": np.zeros(0), "mean_log_score": np.zeros(0)})
@@ -232,18 +251,18 @@ def _score(order: int, n_all: int):
 
 def _asked(docs: DataFrame, order: int) -> tuple[DataFrame, DataFrame, int]:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = save(base.mapInArrow(_blocks, "block long, ids array<long>, nameless array<long>, sizes array<long>, texts binary, bytes long, words long"), "lm-blocks", row_group=ROW_GROUP)
+    blocks = save(base.mapInArrow(lean(_blocks), "block long, ids array<long>, nameless array<long>, sizes array<long>, texts binary, bytes long, words long"), "lm-blocks", row_group=ROW_GROUP)
     size = blocks.agg(F.sum("bytes")).first()[0] or 0
     parts = max(shuffle_partitions(docs.sparkSession), size // 6 * order // PER_PARTITION)
     bits = min(24, max(0, int(parts - 1).bit_length()))
-    asked = blocks.select("block", "sizes", "texts").mapInArrow(_ask(order, bits), "bucket int, block long, keys binary, counts binary")
+    asked = blocks.select("block", "sizes", "texts").mapInArrow(lean(_ask(order, bits)), "bucket int, block long, keys binary, counts binary")
     return blocks, asked, parts
 
 
 def count_tables(docs: DataFrame, order: int = 3) -> DataFrame:
     """The corpus counts of n-grams of all orders up to ``order``: bucket, n, packed keys, packed counts."""
     _, asked, _ = _asked(docs, order)
-    return asked.groupBy("bucket").applyInPandas(_table, "bucket int, n long, keys binary, counts binary")
+    return asked.groupBy("bucket").applyInPandas(lean_group(_table), "bucket int, n long, keys binary, counts binary")
 
 
 def score_documents(docs: DataFrame, order: int = 3) -> DataFrame:
@@ -254,8 +273,8 @@ def score_documents(docs: DataFrame, order: int = 3) -> DataFrame:
     a text are documents of their own, each counted.  Other columns are not read.
     """
     blocks, asked, _ = _asked(docs, order)
-    answers = asked.groupBy("bucket").applyInPandas(_answer, "block long, bucket int, counts binary")
+    answers = asked.groupBy("bucket").applyInPandas(lean_group(_answer), "block long, bucket int, counts binary")
     n_all = blocks.agg(F.sum("words")).first()[0] or 0
-    out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score(order, n_all), "doc_id long, n_words long, log_score double, mean_log_score double")
+    out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(lean_group(_score(order, n_all)), "doc_id long, n_words long, log_score double, mean_log_score double")
     return out.select("doc_id", "n_words", "log_score", F.when(F.col("n_words") > 0, F.col("mean_log_score")).alias("mean_log_score"))
 

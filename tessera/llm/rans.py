@@ -71,6 +71,7 @@ def encode_block(ids: np.ndarray, table: Table) -> bytes:
     both = table.packed[ids]
     freq, start = both >> 32, both & 0xFFFFFFFF
     limit = freq << (LOW + 32 - BITS)
+    rest = (1 << BITS) - freq
     for t in range(steps - 1, -1, -1):
         a, b = t * lanes, min(n, (t + 1) * lanes)
         f, y = freq[a:b], x[: b - a]
@@ -79,7 +80,10 @@ def encode_block(ids: np.ndarray, table: Table) -> bytes:
         words[t] = (emit & 0xFFFFFFFF).astype(np.uint32)
         y[over] = emit >> 32
         q = (y / f).astype(np.int64)
-        x[: b - a] = (q << BITS) + (y - q * f) + start[a:b]
+        q *= rest[a:b]  # (q << BITS) + (y - q * f) + start
+        q += y
+        q += start[a:b]
+        x[: b - a] = q
         if t and t % CHECKPOINT_STEPS == 0:
             marks[t] = x.copy()
     offsets = np.concatenate([[0], np.cumsum([len(w) for w in words])])

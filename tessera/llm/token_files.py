@@ -13,9 +13,8 @@ from __future__ import annotations
 
 import string
 import zlib
-from array import array
+from collections.abc import Iterator
 from functools import cache as once
-from operator import itemgetter
 
 import numpy as np
 import regex
@@ -24,12 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rans
-from .common import REMEMBERED_BY, batches, drop, save, scratch, shuffle_partitions, tidy
+from .common import REMEMBERED_BY, batches, drop, row_slices, save, scratch, shuffle_partitions, tidy
 
 SEGMENT = 1 << 19
 #: Distinct chunks a worker remembers; above that it forgets those not met for the longest time.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 ROW_GROUP = 16 << 20
+#: Bytes of the texts that are encoded together (one text, if it is longer).
+ENCODED_AT_ONCE = 4 << 20
 
 
 @once
@@ -60,6 +61,8 @@ _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 _LATIN = "\u024f"
 _SPACE = _LETTERS[ord(" ")]
 _MARKS = string.punctuation
+#: Before a line's first chunk, in texts that do not hold it themselves.
+_LINE = "\0"
 
 
 class _Pieces(dict):
@@ -75,11 +78,11 @@ class _Pieces(dict):
 
 
 class _Chunks(dict):
-    """Chunk between spaces -> bytes of the ids of " " + chunk."""
+    """Chunk between spaces -> bytes of the ids of " " + chunk; after _LINE, of a line break and the chunk."""
 
     def __init__(self, tokenizer, dtype: str):
         self.tokenizer, self.dtype, self.pieces = tokenizer, dtype, _Pieces(tokenizer, dtype)
-        self.code = next(c for c in "HIL" if array(c).itemsize == np.dtype(dtype).itemsize)
+        self.bytes_of = [i.to_bytes(np.dtype(dtype).itemsize, "little") for i in range(max(tokenizer.get_vocab().values(), default=-1) + 1)]
         self.former: dict[str, bytes] = {}
 
     def age(self) -> None:
@@ -92,7 +95,9 @@ class _Chunks(dict):
         if ids is None:
             if chunk.isalpha() and (chunk.isascii() or max(chunk) <= _LATIN):
                 letters = _SPACE + chunk if chunk.isascii() else (" " + chunk).encode().decode("latin-1").translate(_LETTERS)
-                ids = array(self.code, [t.id for t in self.pieces.model.tokenize(letters)]).tobytes()
+                ids = b"".join([self.bytes_of[t.id] for t in self.pieces.model.tokenize(letters)])
+            elif chunk[:1] == _LINE:
+                ids = self.pieces["\n"] + self._start(chunk[1:])
             elif "\n" in chunk and self._apart(lines := chunk.split("\n")):  # seldom met again: not remembered
                 return self[lines[0]] + b"".join([self.pieces["\n"] + self._start(line) for line in lines[1:]])
             else:
@@ -128,6 +133,17 @@ class _Chunks(dict):
         return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text)))
 
 
+def _lines_apart(text: str) -> str:
+    """The text with a space and _LINE for its line breaks, if each stands alone between visible characters: then it is a piece of its own."""
+    if "\n" not in text:
+        return text
+    lines = text.split("\n")
+    for line in lines:
+        if not line or line[0].isspace() or line[-1].isspace():
+            return text
+    return f" {_LINE}".join(lines)
+
+
 class ChunkEncoder:
     """Encodes texts by their chunks between spaces, each distinct chunk once.
 
@@ -160,22 +176,37 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.fast:
             return self._whole(texts)
+        out, whole, plain = [b""] * len(texts), [], []
+        for i, text in enumerate(texts):
+            apart = "  " in text or text[:1] == " " or text[-1:] == " " or _LINE in text or (self.added and self.added.search(text))
+            (whole if apart else plain).append(i)
+        for i, ids in zip(whole, self._whole([texts[i] for i in whole]) if whole else ()):
+            out[i] = ids
+        for i, ids in zip(plain, self._by_chunks([texts[i] for i in plain]) if plain else ()):
+            out[i] = ids
+        return out
+
+    def _by_chunks(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of texts without spaces that meet; each distinct chunk of theirs is looked up once."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         known = self.known
         if len(known) > REMEMBERED // 2:
             known.age()
         if len(known.pieces) > REMEMBERED // 2:
             known.pieces.clear()
-        out, whole = [], []
-        for text in texts:
-            if "  " in text or text[:1] == " " or text[-1:] == " " or (self.added and self.added.search(text)):
-                out.append(None)
-                whole.append(text)
-            else:
-                first, *rest = text.split(" ")
-                # with a key more, itemgetter always gives a tuple
-                out.append(known.of(first) + b"".join(itemgetter(*rest, *rest[:1])(known)[: len(rest)]) if rest else known.of(first))
-        coded = iter(self._whole(whole) if whole else ())
-        return [next(coded) if x is None else x for x in out]
+        chunks = pc.split_pattern(pa.array(texts := [*map(_lines_apart, texts)], pa.large_string()), " ")
+        at = np.asarray(chunks.offsets)
+        # a text's first chunk has no space before it
+        rest = np.ones(int(at[-1]), bool)
+        rest[at[:-1]] = False
+        rest = chunks.values.filter(pa.array(rest)).dictionary_encode()
+        # one more, so that the array is of objects even without chunks
+        ids = np.array([*map(known.__getitem__, rest.dictionary.to_numpy(zero_copy_only=False)), None], object)[np.asarray(rest.indices)]
+        at = (at - np.arange(len(at))).tolist()
+        for text, a, b in zip(texts, at, at[1:]):
+            yield known.of(text.partition(" ")[0]) + b"".join(ids[a:b].tolist())
 
 
 @once
@@ -187,11 +218,13 @@ def _coder(path: str, dtype: str) -> ChunkEncoder:
 REMEMBERED_BY["token_files"] = [_coder.cache_clear, _tokenizer.cache_clear]
 
 
-def _segments(path: str, dtype: str, end_id: int):
+def _segments(path: str, dtype: str, end_id: int, vocab: int):
+    """Segments of a task's documents; the last one has the counts of all ids of the task."""
     width = np.dtype(dtype).itemsize
 
     def run(it):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         coder = _coder(path, dtype)
         end = np.array([end_id], dtype).tobytes()
@@ -200,18 +233,22 @@ def _segments(path: str, dtype: str, end_id: int):
         lens: list[int] = []
         held: list[bytes] = []
         size = 0
+        total = np.zeros(vocab, np.int64)
 
-        def out():
+        def out(last: bool = False):
+            ids = b"".join(held)
+            np.add(total, np.bincount(np.frombuffer(ids, dtype), minlength=vocab), out=total)
             return pa.record_batch(
-                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([size], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int64())), pa.array([b"".join(held)], pa.binary())],
-                names=["part", "seq", "before", "n_ids", "docs", "lens", "ids"],
+                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([size], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int64())), pa.array([ids], pa.binary()), pa.array([total.astype("<i8").tobytes() if last else None], pa.binary())],
+                names=["part", "seq", "before", "n_ids", "docs", "lens", "ids", "counts"],
             )
 
         for batch in it:
             ids, texts = batches(batch, ["doc_id", "text"])
-            for i in range(0, len(ids), 256):
-                some = [t or "" for t in texts.slice(i, 256).to_pylist()]
-                for doc, coded in zip(ids.slice(i, 256).to_pylist(), coder.encode(some)):
+            ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            for i, j in row_slices(np.append(0, ends), ENCODED_AT_ONCE):
+                some = [t or "" for t in texts.slice(i, j - i).to_pylist()]
+                for doc, coded in zip(ids.slice(i, j - i).to_pylist(), coder.encode(some)):
                     docs.append(doc)
                     held.append(coded + end)
                     lens.append(len(coded) // width + 1)
@@ -220,21 +257,21 @@ def _segments(path: str, dtype: str, end_id: int):
                         yield out()
                         seq, before = seq + 1, before + size
                         docs, lens, held, size = [], [], [], 0
-        if docs:
-            yield out()
+        if docs or seq:
+            yield out(last=True)
         tidy()
 
     return run
 
 
-def _histogram(dtype: str, vocab: int):
+def _histogram(vocab: int):
     def run(it):
         import pyarrow as pa
 
         total = np.zeros(vocab, np.int64)
         for batch in it:
             for x in batch.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), dtype), minlength=vocab)
+                total += np.frombuffer(x.as_buffer(), "<i8")
         seen = np.flatnonzero(total)
         yield pa.record_batch([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
@@ -271,9 +308,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out_path: str, end_i
     dtype = "<u2" if vocab <= 1 << 16 else "<u4"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    spec = "part int, seq int, before long, n_ids long, docs array<long>, lens array<long>, ids binary"
-    ids = save(rows.mapInArrow(_segments(tokenizer_path, dtype, end_id), spec), "token-ids", row_group=ROW_GROUP)
-    counts = ids.select("ids").mapInArrow(_histogram(dtype, vocab), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    spec = "part int, seq int, before long, n_ids long, docs array<long>, lens array<long>, ids binary, counts binary"
+    ids = save(rows.mapInArrow(_segments(tokenizer_path, dtype, end_id, vocab), spec), "token-ids", row_group=ROW_GROUP)
+    counts = ids.where("counts is not null").select("counts").mapInArrow(_histogram(vocab), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     total = np.zeros(vocab, np.int64)
     for id_, n in counts.collect():  # at most the vocabulary
         total[id_] = n
@@ -281,7 +318,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out_path: str, end_i
     offsets, at = {}, 0
     for part, n in ids.groupBy("part").agg(F.sum("n_ids")).orderBy("part").collect():  # one row per partition
         offsets[part], at = at, at + n
-    files = ids.mapInArrow(_encode(dtype, freq, offsets), _FILE)
+    files = ids.drop("counts").mapInArrow(_encode(dtype, freq, offsets), _FILE)
     files.write.option("compression", "none").option("parquet.block.size", ROW_GROUP).parquet(f"{out_path}/segments")
     spark.createDataFrame([(rans.BITS, freq.astype("<u4").tobytes())], "bits int, freq binary").coalesce(1).write.parquet(f"{out_path}/table")
     drop(ids)
